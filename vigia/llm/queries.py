@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigia.llm.bpe_codec import op10_byte_bpe
 from vigia.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from vigia.llm.html_extraction import op8_html_extraction
 from vigia.llm.jaccard_join import op3_jaccard_join
 from vigia.llm.license_scan import OP2_SQL, op2_license_scan
 from vigia.llm.packing import op4_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
