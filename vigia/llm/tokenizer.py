@@ -1,9 +1,11 @@
 """Byte-pair encoding of whole texts with the tokenizers library, as a helper inside Spark tasks.
 
-The library spends most of its time on words it has met before. A text is therefore cut before each
-space that follows a character other than white space. All pre-tokenizer patterns used here end a match
-in front of such a space and look ahead only inside runs of white space, so the pieces' ids, put
-together, are the ids of the text; each distinct piece is encoded once and remembered.
+The library spends most of its time on words it has met before. A text is therefore cut into pieces where
+the pre-tokenizer pattern is sure to end a match: before a space that follows a character other than white
+space, around a single line break between such characters, and before full stops, commas and the like at
+the end of a piece that follow a Latin letter. The ids of the pieces, put together, are the ids of
+the text. Pieces are remembered, and those of a batch that are new are encoded in one call; the lengths of
+the tokens in bytes tell which ids belong to which piece.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import filterfalse
 
 import numpy as np
 
-#: Remembered pieces; the memory of one Python worker stays bounded.
-MEMO_ENTRIES = 250_000
+#: Pieces and words remembered by one Python worker; its memory stays bounded.
+MEMO_ENTRIES = 600_000
 AFTER_SPACE = re.compile(r"\s ")
+#: White space by Python's rules, which take in all that the patterns count as such.
+WHITE = re.compile(r"\s")
+STOPS = ".,;:!?"
 CUT = re.compile(r"(?<=\S) ")
 
 
@@ -62,30 +68,117 @@ def tokenizer_from_ranks(ranks: dict[bytes, int], pattern: str):
     return tokenizer
 
 
-class _Memo(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[piece] = ids = self.encode(piece)
-        return ids
-
-
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        one = lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self.first, self.rest = _Memo(one), _Memo(lambda piece: one(" " + piece))
+        added = tokenizer.get_added_tokens_decoder()
+        self.lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        for token, k in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.lengths[k] = len(token.encode()) if k in added else len(token)
+        #: Pieces after a space, by their text without it; words after a space, and words after none.
+        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
+        self.line_break = self._alone("\n")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *tail = CUT.split(text) if AFTER_SPACE.search(text) else text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [CUT.split(text) if AFTER_SPACE.search(text) else text.split(" ") for text in texts]
+        heads = [c[0] for c in cut]
+        self._forget(self.pieces, self.spaced, self.plain)
+        new: set[str] = set()
+        for c in cut:
+            new.update(filterfalse(self.pieces.__contains__, c))
+        new.discard("")
+        if "" not in self.pieces:
+            self.pieces[""] = self._alone(" ")
+        self._learn(new, [h for h in heads if h])
+        pieces = self.pieces.__getitem__
+        return [(self._piece(c[0], self.plain) if c[0] else b"") + b"".join(map(pieces, c[1:])) for c in cut]
+
+    def _forget(self, *memos: dict) -> None:
+        for memo in memos:
+            if len(memo) > MEMO_ENTRIES:
+                memo.clear()
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        """The lines of a piece, if single line breaks between other characters are its only white space."""
+        lines = piece.split("\n")
+        return lines if all(lines) and not any(map(WHITE.search, lines)) else []
+
+    @staticmethod
+    def _word(line: str) -> str:
+        """A line without the stops at its end, if they follow a Latin letter."""
+        if line[-1] in STOPS:
+            word = line.rstrip(STOPS)
+            if word and word[-1].isalpha() and word[-1] < "\u0250":
+                return word
+        return line
+
+    def _learn(self, pieces: set[str], heads: list[str]) -> None:
+        spaced, plain = set(), set()
+        # Most pieces are letters only, or letters and one stop.
+        whole = [p for p in pieces if p.isalpha()]
+        stopped = [p for p in pieces if p[-1] in STOPS and p[:-1].isalpha() and p[-2] < "\u0250"]
+        spaced.update(whole, [p[:-1] for p in stopped])
+        rest = pieces.difference(whole, stopped)
+        for group, first in ((rest, spaced), (heads, plain)):
+            for piece in group:
+                if lines := self._parts(piece):
+                    first.add(self._word(lines[0]))
+                    plain.update(map(self._word, lines[1:]))
+        self._encode_words([w for w in spaced if w not in self.spaced], self.spaced, " ", 0)
+        self._encode_words([w for w in plain if w not in self.plain], self.plain, "\n", 1)
+        known = self.spaced
+        self.pieces.update(zip(whole, map(known.__getitem__, whole), strict=True))
+        end = {stop: self._alone(stop) for stop in {p[-1] for p in stopped}}
+        self.pieces.update((p, known[p[:-1]] + end[p[-1]]) for p in stopped)
+        for piece in rest:
+            self.pieces[piece] = self._piece(piece, known)
+
+    def _piece(self, piece: str, first: dict[str, bytes]) -> bytes:
+        lines = self._parts(piece)
+        if not lines:
+            return self._alone(" " + piece if first is self.spaced else piece)
+        return self.line_break.join([self._line(lines[0], first), *(self._line(x, self.plain) for x in lines[1:])])
+
+    def _line(self, line: str, memo: dict[str, bytes]) -> bytes:
+        word = self._word(line)
+        if len(word) == len(line):
+            return memo[word]
+        stops = line[len(word) :]
+        if stops not in self.stops:
+            self._forget(self.stops)
+            self.stops[stops] = self._alone(stops)
+        return memo[word] + self.stops[stops]
+
+    def _encode_words(self, words: list[str], memo: dict[str, bytes], mark: str, skip: int) -> None:
+        """Encode words with a mark before each in one text, and deal the ids out; ``skip`` ids are the mark's own."""
+        for start in range(0, len(words), 20_000):
+            some = words[start : start + 20_000]
+            text = mark + mark.join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            # A word has no white space, so the marks are where one begins.
+            data = np.frombuffer(text.encode(), np.uint8)
+            limits = np.append(np.flatnonzero(data == ord(mark))[1:], len(data))
+            stop = np.searchsorted(ends, limits) + 1
+            if not np.array_equal(ends[stop - 1], limits):  # a token that crosses words: none is known, so encode one by one
+                memo.update((w, self._alone(mark + w)[4 * skip :]) for w in some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(some, stop.tolist(), strict=True):
+                memo[w] = data[4 * (begin + skip) : 4 * end]
+                begin = end
 
 
 _built: dict[str, Encoder] = {}
