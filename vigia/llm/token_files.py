@@ -78,9 +78,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
             return row
 
         for batch in small_batches(batches):
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, value in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 keys.append(k)
-                parts.append(encoder(value) + end)
+                parts.append(value + end)
                 n += len(parts[-1]) // 4
                 if n >= BLOCK_IDS:
                     yield close()
