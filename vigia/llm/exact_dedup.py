@@ -14,6 +14,8 @@ from vigia.llm.common import SPACE, materialize, table, text_or_empty
 
 #: Keys of one filter, on average.
 BUCKET_KEYS = 100_000
+#: Up to this many ids (8 bytes each) are sent to where the texts are read; beyond, the texts are shuffled.
+MAX_SENT_IDS = 1_000_000
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -158,9 +160,16 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", key:
     met = screened.where("maybe").join(groups.drop("bucket"), ["digest", "text_sha256"])
     met = materialize(met.select("text_sha256", "new_id", "keep_id", "new_size", "size"), "dedup-met")
     # Byte checks: one text for each side of a met group, however many rows the group has.
-    bytes_of = lambda df, name: df.select(F.col(key).alias(name), normalized(text).alias(f"{name}_text"))
-    kept_texts = bytes_of(snapshot, "old_id").withColumnRenamed("old_id_text", "keep_id_text")
-    checked = met.join(bytes_of(batch, "new_id"), "new_id").join(kept_texts, F.col("keep_id").eqNullSafe(F.col("old_id")))
+    few = met.count() <= MAX_SENT_IDS
+
+    def bytes_of(rows: DataFrame, name: str) -> DataFrame:
+        """The texts of a side's keepers."""
+        ids = met.select(F.col(name).alias("id")).distinct()
+        rows = rows.select(F.col(key).alias(f"{name}_key"), F.col(text).alias("text"))
+        found = rows.join(F.broadcast(ids) if few else ids, F.col(f"{name}_key").eqNullSafe(F.col("id")), "left_semi")
+        return found.select(f"{name}_key", normalized().alias(f"{name}_text"))
+
+    checked = met.join(bytes_of(batch, "new_id"), F.col("new_id").eqNullSafe(F.col("new_id_key"))).join(bytes_of(snapshot, "keep_id"), F.col("keep_id").eqNullSafe(F.col("keep_id_key")))
     equal = checked.where(F.col("new_id_text") == F.col("keep_id_text")).select("text_sha256").distinct()
     joined = met.join(equal, "text_sha256", "left_semi").select("text_sha256", F.least("new_id", "keep_id").alias("keep_id"), (F.col("new_size") + F.col("size")).alias("group_size"))
     alone = lambda df, a, b: df.join(joined, "text_sha256", "left_anti").select("text_sha256", F.col(a).alias("keep_id"), F.col(b).alias("group_size"))
