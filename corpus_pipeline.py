@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import scratch_root, table
+from vigia.llm.common import materialize, scratch_root, table
 from vigia.llm.exact_dedup import exact_dedup, halves
 from vigia.llm.jaccard_join import jaccard_classes
 from vigia.llm.packing import pack_documents
@@ -41,7 +41,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     marked = exact_dedup(*halves(docs))
-    return keep_rows(docs, marked.where("kept").select(F.col("key").alias("doc_id"))).dropDuplicates(["doc_id", "text"])
+    kept = materialize(marked.where("kept").select(F.col("key").alias("doc_id")), "pipeline-kept")
+    out = keep_rows(docs, kept)
+    # Rows that repeat an id and its text are marked alike; where there are any, one of them stays.
+    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
