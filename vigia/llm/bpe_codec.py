@@ -60,7 +60,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
         encoder, parts = encoder_from_ranks(sent.value, pattern), byte_table(sent.value)
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
-            ids = [np.frombuffer(encoder(x), "<u4").astype(np.int32) for x in texts]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(texts)]
             columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             if offsets:
                 both = [char_offsets(x, [parts[i] for i in y]) for x, y in zip(texts, ids, strict=True)]
@@ -100,8 +100,8 @@ def round_trip(documents: DataFrame, ranks_path: str, pattern: str, text: str =
         shown = [str(k) for k in range(len(parts))]
         for batch in small_batches(batches):
             n, ids_sha, data_sha = [], [], []
-            for value in batch.column(1).to_pylist():
-                ids = np.frombuffer(encoder(value), "<u4").tolist()
+            for value in encoder.encode(batch.column(1).to_pylist()):
+                ids = np.frombuffer(value, "<u4").tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
                 data_sha.append(hashlib.sha256(b"".join(map(parts.__getitem__, ids))).hexdigest())
