@@ -294,6 +294,23 @@ def test_jaccard_join_of_a_chain_and_large_family(spark):
     assert got == {d: c for d, (_, c) in brute_classes(rows).items()}
 
 
+def test_jaccard_windows_lose_no_link():
+    rng = np.random.default_rng(3)
+    parities = lambda x: np.frombuffer(jaccard_join.pivot_parities(np.sort(x)), np.uint64)
+    left = 0
+    for size in (1, 5, 31, 32, 33, 250, 4095, 4096, 40_000):
+        base = rng.integers(0, 1 << 64, size, np.uint64)
+        for share in (0, 0.05, 0.1, 0.2, 0.25, 0.5):
+            lost = int(size * share)
+            other = np.concatenate([base[lost:], rng.integers(0, 1 << 64, int(rng.integers(0, lost + 1)), np.uint64)])
+            shared = size - lost
+            linked = 100 * shared >= 80 * (size + len(other) - shared)
+            found = bool(jaccard_join.may_link(parities(base), size, parities(other)[None], np.array([len(other)]))[0])
+            assert found or not linked
+            left += found and share == 0.5 and size > 5
+    assert left == 0
+
+
 def test_jaccard_join_of_odd_rows(spark):
     got = jaccard_join.jaccard_classes(odd(spark)).collect()
     assert len(got) == len(ODD)
