@@ -360,6 +360,26 @@ def test_quality_agrees_with_labels(spark):
     assert kept[1] > 0.99 and kept[0] < 0.6
 
 
+def test_quality_rejects_bare_and_foreign_texts(spark):
+    rng = np.random.default_rng(5)
+    word = lambda lang: str(rng.choice(quality_rules.COMMON_WORDS[lang])) if rng.random() < 0.22 else "".join(rng.choice(list("abcdefghij"), 6))
+    prose = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    rows = [(k, prose(lang, 400), lang) for k, lang in enumerate(["en", "de", "fr", "es"] * 25)]
+    other = {"en": "de", "de": "en", "fr": "es", "es": "fr"}
+    rows += [(1000 + k, prose(other[lang], 150), lang) for k, lang in enumerate(other)]
+    rows += [(2000 + 10 * k + j, " ".join(f"{c * 5}{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i, c in zip(range(n), "klm" * n, strict=False)), lang) for k, lang in enumerate(other) for j, n in enumerate((60, 99))]
+    kept = {r["key"] for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == set(range(100))
+
+
+def test_quality_limits_agree_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    both = quality_rules.quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, F.col("key") == F.col("doc_id")).where("not base_failed and n_words >= 50")
+    kept = {r["quality"]: r["k"] for r in both.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1] > 0.99 and kept[0] < 0.15
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -25,6 +25,16 @@ GUARD_WORDS = 50
 #: Jensen-Shannon distances (base 2) above which a text is rejected.
 MAX_CHARACTER_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.60
+#: Fewest words of each length band. Noise of the distances falls with length.
+BANDS = (50, 75, 100, 150, 200, 300, 500, 1000)
+#: Distances above which a text of a band is rejected: the largest of a clean labelled text of the language at sf0.1
+#: in this or a longer band, and 0.04 more.
+MAX_DISTANCES = {
+    "en": {"chars": (0.28, 0.27, 0.26, 0.24, 0.2, 0.2, 0.17, 0.17), "commons": (0.36, 0.33, 0.3, 0.27, 0.25, 0.21, 0.17, 0.13)},
+    "de": {"chars": (0.24, 0.24, 0.24, 0.18, 0.18, 0.18, 0.16, 0.16), "commons": (0.36, 0.36, 0.36, 0.24, 0.23, 0.2, 0.19, 0.13)},
+    "fr": {"chars": (0.3, 0.28, 0.27, 0.22, 0.19, 0.19, 0.18, 0.16), "commons": (0.42, 0.3, 0.28, 0.28, 0.24, 0.21, 0.17, 0.12)},
+    "es": {"chars": (0.24, 0.24, 0.24, 0.21, 0.19, 0.19, 0.18, 0.17), "commons": (0.37, 0.31, 0.3, 0.25, 0.25, 0.21, 0.15, 0.11)},
+}
 
 
 def _n_of(text: Column, pattern: str) -> Column:
@@ -108,12 +118,22 @@ def _distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
-def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def _limit(name: str) -> Column:
+    """The largest distance that a text's language and number of words allow; null for texts without a verdict."""
+    found = F.lit(None).cast("double")
+    for language, limits in MAX_DISTANCES.items():
+        for least, limit in zip(BANDS, limits[name], strict=True):
+            found = F.when((F.col("lang") == language) & (F.col("n_words") >= least), F.lit(limit)).otherwise(found)
+    return found
+
+
+def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", banded: bool = True) -> DataFrame:
     """The base rule and the method's verdict on each text; one row for each row, copies included.
 
     References are the histograms of all texts of a language in ``COMMON_WORDS``. A text is rejected when its
-    characters or its common words diverge too far from its language's. Null texts count as empty and fail the
-    base rule. Short texts and texts of other or null languages get no verdict from the histograms. The only
+    characters or its common words diverge too far from its language's, by the limits of its language and
+    length (``banded``) or by one limit each as in ``OP9_SQL``. With ``banded``, a text without any common word is
+    rejected, too: about every fifth word is one. Null texts count as empty and fail the base rule. Short texts and texts of other or null languages get no verdict from the histograms. The only
     shuffle is that of one partial sum for each task and language; the references are at most one row for
     each language listed.
     """
@@ -128,12 +148,18 @@ def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_i
     apart = both.withColumns({"char_distance": _distance(F.col("chars"), F.col("ref_chars")), "word_distance": _distance(F.col("commons"), F.col("ref_commons"))})
     n = F.col("n_words")
     base_failed = (n < MIN_WORDS) | (MAX_REPEATED[1] * F.col("n_repeat_words") > MAX_REPEATED[0] * n)
-    diverges = (n >= GUARD_WORDS) & ((F.coalesce("char_distance", F.lit(0.0)) > MAX_CHARACTER_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
+    if banded:
+        bare = F.col("commons")[n_commons - 1] == n
+        apart = apart.withColumns({"max_char": _limit("chars"), "max_word": _limit("commons")})
+        beyond = (F.col("char_distance") > F.col("max_char")) | (F.col("word_distance") > F.col("max_word"))
+        diverges = F.coalesce(F.col("max_word").isNotNull() & (bare | beyond), F.lit(False))
+    else:
+        diverges = (n >= GUARD_WORDS) & ((F.coalesce("char_distance", F.lit(0.0)) > MAX_CHARACTER_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
     return apart.select("key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~diverges).alias("kept"), "char_distance", "word_distance")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_verdicts(table(spark, sf_dir, "documents"))
+    found = quality_verdicts(table(spark, sf_dir, "documents"), banded=False)
     return found.drop("char_distance", "word_distance").withColumnRenamed("key", "doc_id")
 
 
