@@ -294,6 +294,25 @@ def test_jaccard_join_of_a_chain_and_large_family(spark):
     assert got == {d: c for d, (_, c) in brute_classes(rows).items()}
 
 
+def test_jaccard_join_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", 16)  # several blocks in a class
+    rng = np.random.default_rng(4)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(90):  # near copies of one text, of several sizes
+        copy = list(base[: 120 - int(rng.integers(0, 30))])
+        for at in rng.integers(0, len(copy), int(rng.integers(1, 3))):
+            copy[at] = f"near{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(200 + k, rows[7 * k][1].upper()) for k in range(10)]  # exact copies
+    rows += [(300, "far from all others in each of its words"), (301, ""), (302, None), (302, rows[0][1])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    want = sorted((d, sum(100 * len(s & z) >= 80 * len(s | z) for j, z in enumerate(sets) if j != i) if s else 0) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["key"], r["n_links"]) for r in got) == want
+    assert max(n for _, n in want) > 20
+
+
 def test_jaccard_windows_lose_no_link():
     rng = np.random.default_rng(3)
     parities = lambda x: np.frombuffer(jaccard_join.pivot_parities(np.sort(x)), np.uint64)

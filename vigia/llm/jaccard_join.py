@@ -13,6 +13,8 @@ The sets are a text's distinct n-word shingles, the metric is the Jaccard distan
   first. Texts inside its ball are one class; whatever lies outside is joined again with the classes so far, round
   after round, and a last round compares all pairs of different classes that the windows leave.
 * Links are verified on whole texts. No pair within the radius is lost.
+* **Counts.** All links of a text lie in its class, so at the end each class is cut into blocks by size classes and hash,
+  and whole sets are compared for all pairs of blocks that can link. Tasks send counts for each text, not pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ FREQUENT = 8
 MAX_FREQUENT = 2_000_000
 #: Members of a cell that one task compares at once; larger cells are compared block by block.
 CELL_BLOCK = 256
+#: Sets of a block of a class when links are counted, and their shingles (8 bytes each), unless one set has more.
+COUNT_BLOCK, COUNT_SHINGLES = 128, 250_000
+#: Columns of the 0/1 matrices that are multiplied at once.
+COUNT_COLUMNS = 8192
 ROUNDS = 2
 #: Sets that a task remembers to have sent already; sets beyond are merely sent again.
 SEEN_SETS = 200_000
@@ -436,21 +442,107 @@ def verified(pairs: DataFrame, holders: DataFrame, documents: DataFrame) -> Data
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_shingles, component_id, n_links`` for each row.
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one."""
+    values = [np.concatenate(sets) for sets in (left, right)]
+    common = np.intersect1d(*values)
+    shared = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for sets, v in zip((left, right), values, strict=True):
+        at = np.searchsorted(common, v).clip(max=max(0, len(common) - 1))
+        known = common[at] == v if len(common) else np.zeros(len(v), bool)
+        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[known], at[known]
+        order = np.argsort(column, kind="stable")
+        places.append((row[order], column[order]))
+    for start in range(0, len(common), COUNT_COLUMNS):
+        width = min(COUNT_COLUMNS, len(common) - start)
+        ones = []
+        for sets, (row, column) in zip((left, right), places, strict=True):
+            a, b = np.searchsorted(column, (start, start + width))
+            x = np.zeros((len(sets), width), np.float32)
+            x[row[a:b], column[a:b] - start] = 1
+            ones.append(x)
+        shared += (ones[0] @ ones[1].T).astype(np.int64)
+    return shared
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``m1, m2, same`` (lists of ``entity, n_rows, shingles``) the rows that each set's rows link with in the other block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            blocks = []
+            for column in (0, 1):
+                members = batch.column(column)[k].as_py()
+                blocks.append((np.array([m["entity"] for m in members], np.int64), np.array([m["n_rows"] for m in members], np.int64), [np.frombuffer(m["shingles"], np.uint64) for m in members]))
+            (ids1, rows1, sets1), (ids2, rows2, sets2) = blocks
+            shared = _shared(sets1, sets2)
+            sizes1, sizes2 = (np.array([len(x) for x in sets], np.int64) for sets in (sets1, sets2))
+            linked = DENOMINATOR * shared >= NUMERATOR * (sizes1[:, None] + sizes2[None] - shared)
+            if batch.column(2)[k].as_py():
+                linked &= ids1[:, None] != ids2[None]
+                ids, counts = ids1, linked @ rows2
+            else:
+                ids, counts = np.concatenate([ids1, ids2]), np.concatenate([linked @ rows2, linked.T @ rows1])
+            yield _batch(["entity", "n"], [ids[counts > 0], counts[counts > 0]])
+
+
+def link_counts(labels: DataFrame, holders: DataFrame, documents: DataFrame) -> DataFrame:
+    """``entity, n``: the rows with other sets that each set of a class links with; sets without any may lack.
+
+    ``labels``: ``entity, component``; ``holders``: ``entity, key, n_rows``. Pairs of blocks are made of the blocks'
+    numbers, before the sets are joined to them.
+    """
+    several = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component")
+    members = labels.join(several, "component").join(holders, "entity")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = [shingle_set(x) for x in batch.column(3).to_pylist()]
+            own = pa.array([_entity(s) == e for s, e in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())  # not another text under the same key
+            columns = [*(batch.column(k) for k in range(3)), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield _batch(["entity", "component", "n_rows", "size", "shingles"], [c.filter(own) for c in columns])
+
+    texts = members.join(documents, "key").select("entity", "component", "n_rows", "text")
+    found = texts.mapInArrow(sets, "entity long, component long, n_rows long, size long, shingles binary").dropDuplicates(["entity"])
+    kind = F.floor(F.log("size") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int").alias("kind")
+    found = materialize(found.select("entity", "component", "n_rows", "size", "shingles", kind), "jaccard-sets", compression="lz4")
+    splits = F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_BLOCK, F.sum("size") / COUNT_SHINGLES)).cast("int").alias("splits")
+    numbers = materialize(found.groupBy("component", "kind").agg(splits), "jaccard-numbers")
+    part = F.pmod(F.xxhash64("entity"), F.col("splits")).cast("int").alias("part")
+    blocks = found.join(numbers, ["component", "kind"]).select("component", "kind", part, F.struct("entity", "n_rows", "shingles").alias("m"))
+    listed = materialize(blocks.groupBy("component", "kind", "part").agg(F.collect_list("m").alias("m")), "jaccard-blocks", compression="lz4")
+    names = lambda k: listed.select(F.col("component"), F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"))
+    later = (F.col("kind1") == F.col("kind2")) & (F.col("part1") <= F.col("part2"))
+    pairs = names(1).join(names(2), "component").where(later | (F.col("kind1") + 1 == F.col("kind2")))
+    # Either side is first in half of the pairs, so that no block is second in most of its pairs.
+    turned = F.pmod(F.col("part1") + F.col("part2"), F.lit(2)) == 1
+    sides = [F.when(turned, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in ("kind", "part")]
+    pairs = materialize(pairs.select("component", *sides), "jaccard-block-pairs")
+    held = lambda k: listed.select(F.col("component"), F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"), F.col("m").alias(f"m{k}"))
+    both = pairs.join(held(1), ["component", "kind1", "part1"]).join(held(2), ["component", "kind2", "part2"])
+    same = (F.col("kind1") == F.col("kind2")) & (F.col("part1") == F.col("part2"))
+    counted = both.select("m1", "m2", same.alias("same")).mapInArrow(_links_of_blocks, "entity long, n long")
+    out = materialize(counted.groupBy("entity").agg(F.sum("n").alias("n")), "jaccard-counts")
+    for used in (found, numbers, listed, pairs):
+        remove(used)
+    return out
+
+
+def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
+    """``key, n_shingles, component_id`` and, with ``counts``, ``n_links`` for each row.
 
     Two texts link when the Jaccard similarity of their sets is 0.8 or more. ``component_id`` is the smallest key
-    reachable; ``n_links`` counts the verified links of the text's set that classes were built from (links inside
-    a class that is already connected are not all looked for). Texts without words, empty or null, have an empty
-    set, link with nothing and are their own component. Rows with a null key are dropped from linking the same way:
-    they keep a row with a null component. Repeated rows are equal sets and share a component.
+    reachable; ``n_links`` is the number of all other rows that the row's text links with, exact copies included. Texts
+    without words, empty or null, have an empty set, link with nothing and are their own component. Rows with a null
+    key are dropped from linking the same way: they keep a row with a null component, have no links and don't count
+    as links of others. Repeated rows are equal sets, share a component and link.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).cast("binary").alias("text"))
     described = materialize(describe(rows), "jaccard-documents")
     total = described.agg(F.sum("size")).first()[0] or 0
     buckets = max(8 * partitions(spark), total // 5 // BUCKET_ENTRIES)
-    holders = materialize(described.where("entity is not null and key is not null").groupBy("entity").agg(F.min("key").alias("key")), "jaccard-holders")
+    holders = materialize(described.where("entity is not null and key is not null").groupBy("entity").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_rows")), "jaccard-holders")
     found, entities = cells(rows, frequent_shingles(rows, buckets), buckets)
     everywhere = materialize(placed(found), "jaccard-placed")
     nodes = entities.select("entity")
@@ -468,10 +560,18 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
         if new.limit(1).count():
             labels = materialize(components(nodes, links), "jaccard-components")
     lowest = labels.join(holders, "entity").groupBy("component").agg(F.min("key").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_links"))
-    named = materialize(labels.join(lowest, "component").join(degree, "entity", "left").select("entity", "component_id", "n_links"), "jaccard-named")
+    if not counts:
+        named = materialize(labels.join(lowest, "component").select("entity", "component_id"), "jaccard-named")
+        return described.join(named, "entity", "left").select("key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    degree = link_counts(labels, holders, rows)
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_links")
+    named = labels.join(lowest, "component").join(holders.select("entity", "n_rows"), "entity").join(degree, "entity", "left")
+    named = materialize(named.select("entity", "component_id", n_links), "jaccard-named")
     return described.join(named, "entity", "left").select(
-        "key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "key",
+        F.col("size").alias("n_shingles"),
+        F.coalesce("component_id", "key").alias("component_id"),
+        F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
     )
 
 
