@@ -446,6 +446,21 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert all(got[k] == f"Own words {k}" for k in range(20)) and all(got[100 + k] == "The same article" for k in range(20))
 
 
+def test_style_tree_counts_distinct_pages(spark):
+    page = lambda k: f'<body><div class="text"><p>All the words of page {k}</p></div></body>'
+    rows = [(k, f"https://h.example/{k}", page(0)) for k in range(8)] + [(8, "https://h.example/8", page(1))]
+    rows += [(100 + k, f"https://i.example/{k}", page(max(0, k - 80))) for k in range(100)]
+    got = {r["key"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: re.search("<p>(.*)</p>", t)[1] for k, _, t in rows}
+
+
+def test_main_text_keeps_formulas_and_drawn_text(spark):
+    page = """<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow><annotation encoding="tex">x=2</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math> hold.</p>
+<svg><title>Icon</title><desc>No</desc><path d="M0"/><text>Axis</text></svg><p>After</p><object data="a.swf"><p>Instead</p></object></article>"""
+    pages = spark.createDataFrame([(1, "http://a.example", page)], "page_id long, url string, html string")
+    assert html_extraction.extract_main_text(pages).first()["text"] == "Let x=2 hold. Axis After Instead"
+
+
 def test_html_query_keeps_the_article(spark):
     import html as h
 

@@ -23,7 +23,10 @@ PRESENTATION = 0.1
 # Element names by their role on a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = "script style noscript template iframe textarea title svg math select object".split()
+#: Parts of formulas; rows and cells of their tables stay apart as blocks.
+INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none semantics".split())
+#: What a page doesn't show as text; of formulas their second notation, of drawings their descriptions.
+RAW = "script style noscript template iframe textarea title annotation-xml annotation desc metadata select".split()
 REMOVED = set("nav footer aside form head button input select menu dialog".split())
 CONTENT = {"article", "main"}
 # Words in class names, ids and roles of what isn't the article.
@@ -158,7 +161,10 @@ def host_of(url: str | None) -> str:
 
 
 def style_nodes(pages: DataFrame, url: str, source: str) -> DataFrame:
-    """``host, path, parent, layout, content`` once for each page and neutral node: the merged DOMs of a host."""
+    """``host, path, source, layout, content`` once for each distinct page and neutral node: the merged DOMs of a host.
+
+    ``source`` is the digest of the whole page. Copies of a page say nothing about what a host's pages share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
@@ -171,12 +177,14 @@ def style_nodes(pages: DataFrame, url: str, source: str) -> DataFrame:
                         one = met.setdefault(node.path, ([], []))
                         one[0].extend(node.children)
                         one[1].extend(node.digest)
-                rows += [(host, path, _digest(children), _digest(texts) if texts else None) for path, (children, texts) in met.items()]
-            names = ["host", "path", "layout", "content"]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                whole = _digest([text])
+                rows += [(host, path, whole, _digest(children), _digest(texts) if texts else None) for path, (children, texts) in met.items()]
+            names = ["host", "path", "source", "layout", "content"]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return pages.select(F.col(url), text_or_empty(source).alias("text")).mapInArrow(run, "host string, path long, layout long, content long")
+    found = pages.select(F.col(url), text_or_empty(source).alias("text")).mapInArrow(run, "host string, path long, source long, layout long, content long")
+    return found.dropDuplicates(["host", "path", "source"])
 
 
 def _entropy(nodes: DataFrame, value: str) -> DataFrame:
