@@ -20,38 +20,52 @@ from vigia.llm.quality_rules import quality_verdicts
 from vigia.llm.toxicity import fit_chain, toxicity_scores
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``kept``'s; rows without an id are kept, too."""
-    return docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+#: The number of a row in a stage's input. Ids may lack or repeat, so verdicts are joined by it.
+ROW = "pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written so that it stays the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows other than those of ``gone``."""
+    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group (``ROW, group``) the row with the smallest id stays, the first one if it repeats; no id is larger than any."""
+    named = materialize(groups.join(rows.select(ROW, "doc_id"), ROW), "pipeline-groups")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return without(rows, named.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_anti"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go; a repeated id goes if any of its texts is rejected."""
+    """Documents that the classifier chain rejects go."""
     chain = fit_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    toxic = toxicity_scores(docs, chain).where("toxic and doc_id is not null").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    rows = numbered(docs)
+    return without(rows, toxicity_scores(rows, chain, key=ROW).where("toxic"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go; a repeated id stays only if all of its texts pass."""
-    poor = quality_verdicts(docs).where("not kept and key is not null").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(poor, "doc_id", "left_anti")
+    """Documents that fail the quality rules go."""
+    rows = numbered(docs)
+    return without(rows, quality_verdicts(rows, key=ROW).where("not kept").select(F.col("key").alias(ROW)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
-    marked = exact_dedup(*halves(docs))
-    kept = materialize(marked.where("kept").select(F.col("key").alias("doc_id")), "pipeline-kept")
-    out = keep_rows(docs, kept)
-    # Rows that repeat an id and its text are marked alike; where there are any, one of them stays.
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    rows = numbered(docs)
+    marked = exact_dedup(*halves(rows, ROW), key=ROW)
+    return first_of_groups(rows, marked.where("group_size > 1").select(F.col("key").alias(ROW), F.col("keep_id").alias("group")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    classes = jaccard_classes(docs)
-    return keep_rows(docs, classes.where("key = component_id").select(F.col("key").alias("doc_id")))
+    rows = numbered(docs)
+    classes = jaccard_classes(rows, key=ROW, counts=False)
+    return first_of_groups(rows, classes.select(F.col("key").alias(ROW), F.col("component_id").alias("group")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

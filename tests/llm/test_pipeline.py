@@ -46,3 +46,25 @@ def test_odd_and_empty_tables(spark, tmp_path):
     assert docs.where(F.col("doc_id").isNull()).count() <= 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_stages_judge_rows_without_and_with_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.where("length(text) between 300 and 3000").collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, SF).select("doc_id").collect()}
+    toxic = next(t for d, t in sorted(texts.items()) if d not in left)
+    clean = next(t for d, t in sorted(texts.items()) if d in left)
+    words = [f"w{k}" for k in range(100)]
+    base, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(f"v{k}" for k in range(100))
+    cases = {
+        "toxicity": ([(None, toxic), (None, clean), (7, toxic), (7, clean)], [(None, clean), (7, clean)]),
+        "quality rules": ([(None, "too short"), (None, base), (7, "too short"), (7, base)], [(None, base), (7, base)]),
+        "exact dedup": ([(None, base), (None, base), (7, base), (7, base), (7, other), (9, other), (None, near), (None, near)], [(7, base), (7, other), (None, near)]),
+        "n-gram Jaccard join": ([(None, near), (7, base), (7, near), (7, other), (9, other), (3, "a b c"), (None, "a b c"), (3, "a b d")], [(7, base), (7, other), (3, "a b c"), (3, "a b d")]),
+    }
+    order = lambda rows: sorted(rows, key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        if name in cases:
+            given, want = cases[name]
+            rows = spark.createDataFrame([(d, t, "xx") for d, t in given], "doc_id long, text string, lang string").coalesce(1)
+            assert order((r["doc_id"], r["text"]) for r in stage(spark, rows, SF).collect()) == order(want), name
