@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import materialize, small_batches, table, text_or_empty
-from vigia.llm.tokenizer import encoder_from_json
+from vigia.llm.common import materialize, sized_batches, table, text_or_empty
+from vigia.llm.tokenizer import encoder_from_json, with_end
 
 #: Pieces that one population packs; a larger table has more such groups, each of about this size.
 GROUP_PIECES = 4000
@@ -29,26 +29,23 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, length: int, end_id:
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         sent = documents.sparkSession.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_from_json(sent.value)
-        for batch in small_batches(batches):
-            keys, pieces, starts, lengths, sums = [], [], [], [], []
-            for k, value in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                data = value + end
-                n = len(data) // 4
-                cuts = [0, *range(n % length or length, n + 1, length)] if n > length else [0, n]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    keys.append(k)
-                    pieces.append(piece)
-                    starts.append(a)
-                    lengths.append(b - a)
-                    sums.append(zlib.crc32(data[4 * a : 4 * b]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))],
-                names=["key", "piece", "start", "length", "ids_crc32"],
-            )
+        for batch in sized_batches(batches, 1):
+            ids, ends = with_end(*encoder.encode_array(batch.column(1)), end_id)
+            sizes = np.diff(ends, prepend=0)
+            # A longer text's first piece takes what is over.
+            n_pieces = -(-sizes // length)
+            row = np.repeat(np.arange(len(sizes)), n_pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            stop = sizes[row] - (n_pieces[row] - 1 - piece) * length
+            start = np.maximum(stop - length, 0)
+            first = (ends - sizes)[row]
+            data = memoryview(ids).cast("B")
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((first + start).tolist(), (first + stop).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32"])
 
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")

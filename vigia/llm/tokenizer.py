@@ -1,29 +1,28 @@
 """Byte-pair encoding of whole texts with the tokenizers library, as a helper inside Spark tasks.
 
-The library spends most of its time on words it has met before. A text is therefore cut into pieces where
-the pre-tokenizer pattern is sure to end a match: before a space that follows a character other than white
-space, around a single line break between such characters, and before full stops, commas and the like at
-the end of a piece that follow a Latin letter. The ids of the pieces, put together, are the ids of
-the text. Pieces are remembered, and those of a batch that are new are encoded in one call; the lengths of
-the tokens in bytes tell which ids belong to which piece.
+Invented or natural, most words come again and again, so the library should meet each once. The bytes of a batch of
+texts are cut where the word pattern is sure to end a match: before a space or a line break that follows a character
+which is not white space, after such a break, and before a full stop or the like that follows a letter. Arrow numbers the distinct pieces of the batch; those not met before are encoded in a
+few calls of the library, and the ids of the texts are gathered from those of the pieces with numpy. The ids of the
+pieces, put together, are the ids of the text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces and words remembered by one Python worker; its memory stays bounded.
-MEMO_ENTRIES = 600_000
-AFTER_SPACE = re.compile(r"\s ")
-#: White space by Python's rules, which take in all that the patterns count as such.
-WHITE = re.compile(r"\s")
-STOPS = ".,;:!?"
-CUT = re.compile(r"(?<=\S) ")
+#: Bytes of the pieces that one Python worker remembers, with what an entry needs besides; then it forgets all.
+MEMO_BYTES, ENTRY_BYTES = 160 << 20, 160
+# Fixed value: the word pattern of the byte-level vocabularies that texts are cut for; others are encoded uncut.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters of two bytes in UTF-8 at most.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -68,117 +67,177 @@ def tokenizer_from_ranks(ranks: dict[bytes, int], pattern: str):
     return tokenizer
 
 
+def _cuts(tokenizer) -> bool:
+    """Whether the tokenizer matches ``WORDS`` and nothing of it looks across white space."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    if any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    state = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    steps = state["pretokenizers"] if state["type"] == "Sequence" else [state]
+    if steps[-1]["type"] != "ByteLevel" or steps[-1]["add_prefix_space"]:
+        return False
+    if len(steps) == 1:
+        return steps[0]["use_regex"]
+    return len(steps) == 2 and not steps[1]["use_regex"] and steps[0].get("pattern") == {"Regex": WORDS} and steps[0]["behavior"] == "Isolated" and not steps[0]["invert"]
+
+
+#: Kinds of bytes. A stop is an ASCII sign that always starts a match after a letter; a lead starts a letter of two bytes.
+SIGN, LETTER, STOP, LEAD, INNER, SPACE, BREAK, OTHER = range(8)
+
+
+def _kinds(added: set[str]) -> np.ndarray:
+    """The kind of each byte; signs of added tokens are never cut off."""
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[0x21:0x7F] = SIGN
+    for first, last in ("AZ", "az"):
+        kinds[ord(first) : ord(last) + 1] = LETTER
+    for sign in ".,;:!?()[]{}#*$%&+-/=\"":
+        if sign not in added:
+            kinds[ord(sign)] = STOP
+    kinds[0xC3:0xC9], kinds[0x80:0xC0] = LEAD, INNER
+    kinds[0x20], kinds[0x0A] = SPACE, BREAK
+    return kinds
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with ``end_id`` after each text, as little-endian unsigned 32-bit values, and the new ends."""
+    out = np.empty(len(ids) + len(ends), "<u4")
+    own = np.ones(len(out), bool)
+    own[ends + np.arange(len(ends))] = False
+    out[own], out[~own] = ids, end_id
+    return out, ends + np.arange(1, len(ends) + 1)
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        added = tokenizer.get_added_tokens_decoder()
-        self.lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
-        for token, k in tokenizer.get_vocab(with_added_tokens=True).items():
-            self.lengths[k] = len(token.encode()) if k in added else len(token)
-        #: Pieces after a space, by their text without it; words after a space, and words after none.
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
-        self.line_break = self._alone("\n")
-
-    def __call__(self, text: str) -> bytes:
-        return self.encode([text])[0]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.cuts = tokenizer, _cuts(tokenizer)
+        self.vocabulary_size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.lengths = np.zeros(self.vocabulary_size + 1, np.int64)
+        for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+            self.lengths[k] = len(token)
+        self.kinds = _kinds({c for t in tokenizer.get_added_tokens_decoder().values() for c in t.content})
+        # The same model for words of letters, which need no pattern: each is a match, after a space or not.
+        self.words = {}
+        for mark in (" ", ""):
+            self.words[mark] = Tokenizer(tokenizer.model)
+            self.words[mark].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=bool(mark), use_regex=False)])
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each known piece; its ids are ``pool[start : start + length]``.
+        self.known: dict[str, int] = {}
+        self.bytes = 0
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.n_ids = self.n_pieces = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [CUT.split(text) if AFTER_SPACE.search(text) else text.split(" ") for text in texts]
-        heads = [c[0] for c in cut]
-        self._forget(self.pieces, self.spaced, self.plain)
-        new: set[str] = set()
-        for c in cut:
-            new.update(filterfalse(self.pieces.__contains__, c))
-        new.discard("")
-        if "" not in self.pieces:
-            self.pieces[""] = self._alone(" ")
-        self._learn(new, [h for h in heads if h])
-        pieces = self.pieces.__getitem__
-        return [(self._piece(c[0], self.plain) if c[0] else b"") + b"".join(map(pieces, c[1:])) for c in cut]
-
-    def _forget(self, *memos: dict) -> None:
-        for memo in memos:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _parts(piece: str) -> list[str]:
-        """The lines of a piece, if single line breaks between other characters are its only white space."""
-        lines = piece.split("\n")
-        return lines if all(lines) and not any(map(WHITE.search, lines)) else []
-
-    @staticmethod
-    def _word(line: str) -> str:
-        """A line without the stops at its end, if they follow a Latin letter."""
-        if line[-1] in STOPS:
-            word = line.rstrip(STOPS)
-            if word and word[-1].isalpha() and word[-1] < "\u0250":
-                return word
-        return line
-
-    def _learn(self, pieces: set[str], heads: list[str]) -> None:
-        spaced, plain = set(), set()
-        # Most pieces are letters only, or letters and one stop.
-        whole = [p for p in pieces if p.isalpha()]
-        stopped = [p for p in pieces if p[-1] in STOPS and p[:-1].isalpha() and p[-2] < "\u0250"]
-        spaced.update(whole, [p[:-1] for p in stopped])
-        rest = pieces.difference(whole, stopped)
-        for group, first in ((rest, spaced), (heads, plain)):
-            for piece in group:
-                if lines := self._parts(piece):
-                    first.add(self._word(lines[0]))
-                    plain.update(map(self._word, lines[1:]))
-        self._encode_words([w for w in spaced if w not in self.spaced], self.spaced, " ", 0)
-        self._encode_words([w for w in plain if w not in self.plain], self.plain, "\n", 1)
-        known = self.spaced
-        self.pieces.update(zip(whole, map(known.__getitem__, whole), strict=True))
-        end = {stop: self._alone(stop) for stop in {p[-1] for p in stopped}}
-        self.pieces.update((p, known[p[:-1]] + end[p[-1]]) for p in stopped)
-        for piece in rest:
-            self.pieces[piece] = self._piece(piece, known)
-
-    def _piece(self, piece: str, first: dict[str, bytes]) -> bytes:
-        lines = self._parts(piece)
-        if not lines:
-            return self._alone(" " + piece if first is self.spaced else piece)
-        return self.line_break.join([self._line(lines[0], first), *(self._line(x, self.plain) for x in lines[1:])])
-
-    def _line(self, line: str, memo: dict[str, bytes]) -> bytes:
-        word = self._word(line)
-        if len(word) == len(line):
-            return memo[word]
-        stops = line[len(word) :]
-        if stops not in self.stops:
-            self._forget(self.stops)
-            self.stops[stops] = self._alone(stops)
-        return memo[word] + self.stops[stops]
-
-    def _encode_words(self, words: list[str], memo: dict[str, bytes], mark: str, skip: int) -> None:
-        """Encode words with a mark before each in one text, and deal the ids out; ``skip`` ids are the mark's own."""
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        data, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's end; null counts as empty."""
+        if self.bytes > MEMO_BYTES:
+            self._forget()
+        pieces, per_text = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = list(map(self.known.get, distinct))
+        if None in numbers:
+            self._learn([p for p, k in zip(distinct, numbers, strict=True) if k is None])
+            numbers = list(map(self.known.__getitem__, distinct))
+        which = np.array(numbers, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
+        lengths = self.counts[which]
+        ends = np.r_[0, np.cumsum(lengths)][np.cumsum(per_text)]
+        return _gather(self.pool, self.starts[which], lengths), ends
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in order, and how many each text has."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        limits = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[limits[0] : limits[-1]] if data is not None else np.zeros(0, np.uint8)
+        limits = limits - limits[0]
+        first = np.zeros(len(raw) + 1, bool)
+        if self.cuts and len(raw):
+            kind = self.kinds[raw]
+            # Bytes that end a character, and one that is not white space: ASCII, or the second byte of a character of two.
+            tail = np.zeros(len(raw), bool)
+            tail[1:] = (kind[1:] == INNER) & (kind[:-1] == LEAD)
+            tail[1:] &= (raw[:-1] != 0xC3) | ((raw[1:] != 0x97) & (raw[1:] != 0xB7))  # the signs of times and division
+            letter = (kind == LETTER) | tail
+            solid = letter | (kind == STOP) | (kind == SIGN)
+            after_solid = ((kind == SPACE) | (kind == BREAK))[1:] & solid[:-1]
+            first[1:-1] = after_solid | ((kind == STOP)[1:] & letter[:-1])
+            alone = np.flatnonzero((kind[1:-1] == BREAK) & solid[:-2]) + 2
+            first[alone[kind[alone] < SPACE]] = True
+        first[limits] = True
+        first[-1] = True
+        starts = np.flatnonzero(first)
+        # Empty texts start where the next text does, and have no piece.
+        before = np.searchsorted(starts, limits)
+        return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)), np.diff(before)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = self.n_pieces + len(pieces), self.n_ids + len(ids)
+        if m > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.n_ids], np.zeros(m, np.uint32)])
+        if n > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x[: self.n_pieces], np.zeros(n, np.int64)]) for x in (self.starts, self.counts))
+        self.pool[self.n_ids : m] = ids
+        self.counts[self.n_pieces : n] = counts
+        self.starts[self.n_pieces : n] = self.n_ids + np.cumsum(counts) - counts
+        self.known.update(zip(pieces, range(self.n_pieces, n), strict=True))
+        self.n_pieces, self.n_ids = n, m
+        self.bytes += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces) + 4 * len(ids)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces that are not known: words of letters in one text each call, other pieces as they are."""
+        alone, spaced, plain = [], [], []
+        for piece in pieces:
+            mark = piece[:1] == " "
+            word = piece[1:] if mark else piece
+            if self.cuts and word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+                (spaced if mark else plain).append(word)
+            else:
+                alone.append(piece)
+        self._learn_alone(alone)
+        self._learn_words(spaced, " ")
+        self._learn_words(plain, "")
+
+    def _learn_alone(self, pieces: list[str]) -> None:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        self._add(pieces, np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _learn_words(self, words: list[str], mark: str) -> None:
+        """Encode many words in one text and deal the ids out by the lengths of their tokens in bytes."""
         for start in range(0, len(words), 20_000):
             some = words[start : start + 20_000]
-            text = mark + mark.join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.lengths[ids])
-            # A word has no white space, so the marks are where one begins.
+            text = " ".join(some)
+            ids = np.array(self.words[mark].encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             data = np.frombuffer(text.encode(), np.uint8)
-            limits = np.append(np.flatnonzero(data == ord(mark))[1:], len(data))
+            # Bytes of all tokens up to each word's last; spaces between words are tokens' only with the mark.
+            limits = np.append(np.flatnonzero(data == 32), len(data)) + (1 if mark else -np.arange(len(some)))
+            ends = np.cumsum(self.lengths[ids])
             stop = np.searchsorted(ends, limits) + 1
-            if not np.array_equal(ends[stop - 1], limits):  # a token that crosses words: none is known, so encode one by one
-                memo.update((w, self._alone(mark + w)[4 * skip :]) for w in some)
-                continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(some, stop.tolist(), strict=True):
-                memo[w] = data[4 * (begin + skip) : 4 * end]
-                begin = end
+            names = [mark + w for w in some] if mark else some
+            if len(ids) and ends[-1] == limits[-1] and np.array_equal(ends[stop - 1], limits):
+                self._add(names, ids, np.diff(stop, prepend=0))
+            else:  # a vocabulary that lacks letters
+                self._learn_alone(names)
 
 
 _built: dict[str, Encoder] = {}
