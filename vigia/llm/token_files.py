@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigia.llm.common import partitions, scratch_root, small_batches, table, text_or_empty
-from vigia.llm.tokenizer import encoder_from_json
+from vigia.llm.common import partitions, scratch_root, sized_batches, small_batches, table, text_or_empty
+from vigia.llm.tokenizer import encoder_from_json, with_end
 
 #: A block is closed at the end of the document that takes it to this many ids.
 BLOCK_IDS = 1 << 16
@@ -49,8 +49,9 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     """Encode every whole text, append ``end_id`` and write all ids in ascending order of ``key``.
 
     Null counts as the empty text (one id, the end id). Rows that share a key stay together, in the order of
-    their texts; a null key comes first. Ranges of the key go to shards of their own, so no task sees more
-    than a range; the files are written by Spark's committed writer, which survives lost executors.
+    the input; null keys come first. An empty table makes no blocks. Ranges of key and place go to shards of their own,
+    so rows of one key may fill several shards and no task sees more than a range; the files are written by Spark's
+    committed writer, which survives lost executors.
     """
     from tokenizers import Tokenizer
 
@@ -60,16 +61,16 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
     sent, width = spark.sparkContext.broadcast(content), bits_for(Tokenizer.from_str(content).get_vocab_size())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_from_json(sent.value), np.array([end_id], "<u4").tobytes()
+        encoder = encoder_from_json(sent.value)
         shard, block, block_start = TaskContext.get().partitionId(), 0, 0
         keys: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         n = 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, block_start, keys, parts, n
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            starts = np.cumsum([0] + [len(p) // 4 for p in parts])[:-1]
+            ids = np.concatenate(parts)
+            starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
             known = [k for k in keys if k is not None]
             values = (shard, block, block_start, min(known, default=None), max(known, default=None), width, n, keys, starts.tolist(), pack(ids, width))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
@@ -77,19 +78,20 @@ def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_
             block, block_start, keys, parts, n = block + 1, block_start + n, [], [], 0
             return row
 
-        for batch in small_batches(batches):
-            for k, value in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in sized_batches(batches, 1):
+            ids, ends = with_end(*encoder.encode_array(batch.column(1)), end_id)
+            for k, value in zip(batch.column(0).to_pylist(), np.split(ids, ends[:-1]), strict=True):
                 keys.append(k)
-                parts.append(value + end)
-                n += len(parts[-1]) // 4
+                parts.append(value)
+                n += len(value)
                 if n >= BLOCK_IDS:
                     yield close()
         if parts:
             yield close()
 
-    rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
+    rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(partitions(spark), "key", "place").sortWithinPartitions("key", "place")
+    ordered.select("key", "text").mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
