@@ -9,10 +9,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import small_batches, table, text_or_empty
+from vigia.llm.common import sized_batches, small_batches, table, text_or_empty
 from vigia.llm.tokenizer import encoder_from_ranks, ranks_from_tiktoken
 
 _bytes_of: dict[str, list[bytes]] = {}
@@ -49,7 +50,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     """Ids of each whole text: ``key, ids array<int>`` and, if asked for, ``starts`` and ``ends`` in characters.
 
     Null counts as the empty text, which has no ids. Repeated rows each keep a row. Special tokens in a text
-    are ordinary text. The work is one pass over Arrow batches without a shuffle.
+    are ordinary text. An empty table gives no rows. The work is one pass over Arrow batches without a shuffle.
     """
     with open(ranks_path, "rb") as file:
         sent = documents.sparkSession.sparkContext.broadcast(file.read())
@@ -58,12 +59,11 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, parts = encoder_from_ranks(sent.value, pattern), byte_table(sent.value)
-        for batch in small_batches(batches):
-            texts = batch.column(1).to_pylist()
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(texts)]
-            columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
+        for batch in sized_batches(batches, 1, 2 << 20):
+            ids, ends = encoder.encode_array(batch.column(1))
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32)))]
             if offsets:
-                both = [char_offsets(x, [parts[i] for i in y]) for x, y in zip(texts, ids, strict=True)]
+                both = [char_offsets(x, [parts[i] for i in y]) for x, y in zip(batch.column(1).to_pylist(), np.split(ids, ends[:-1]), strict=True)]
                 columns += [pa.array([b[k] for b in both], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "starts", "ends"][: len(columns)])
 
@@ -90,22 +90,26 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", key: str = "do
 
 
 def round_trip(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode and decode each text in one pass, keeping only counts and digests of the ids and bytes."""
+    """Encode and decode each text in one pass, keeping only counts and digests of the ids and bytes.
+
+    Null counts as the empty text, which has no ids. Repeated rows and rows without a key each keep a row; an empty
+    table gives none.
+    """
     with open(ranks_path, "rb") as file:
         sent = documents.sparkSession.sparkContext.broadcast(file.read())
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, parts = encoder_from_ranks(sent.value, pattern), byte_table(sent.value)
-        shown = [str(k) for k in range(len(parts))]
-        for batch in small_batches(batches):
-            n, ids_sha, data_sha = [], [], []
-            for value in encoder.encode(batch.column(1).to_pylist()):
-                ids = np.frombuffer(value, "<u4").tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
-                data_sha.append(hashlib.sha256(b"".join(map(parts.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(data_sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder, parts = encoder_from_ranks(sent.value, pattern), pa.array(byte_table(sent.value), pa.large_binary())
+        shown = pa.array([str(k) for k in range(len(parts))], pa.large_string())
+        for batch in sized_batches(batches, 1):
+            ids, ends = encoder.encode_array(batch.column(1))
+            cuts, ids = pa.array(np.r_[0, ends], pa.int64()), pa.array(ids)
+            joined = lambda names, mark: pc.binary_join(pa.LargeListArray.from_arrays(cuts, names.take(ids)), mark)  # noqa: E731,B023
+            ids_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined(shown, pa.scalar(" ", pa.large_string()))]
+            data_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined(parts, pa.scalar(b"", pa.large_binary()))]
+            columns = [batch.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(ids_sha), pa.array(data_sha)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(key, text_or_empty(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
