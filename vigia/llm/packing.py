@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.llm.common import materialize, sized_batches, table, text_or_empty
@@ -16,7 +18,9 @@ from vigia.llm.tokenizer import encoder_from_json, with_end
 
 #: Pieces that one population packs; a larger table has more such groups, each of about this size.
 GROUP_PIECES = 4000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 3, 16, 6, 2
+#: Items of a bin, and displaced ones, that a search for a better filling looks at.
+SWAPS = 40
 #: Bins of at least this fill are what crossover passes on, and what stays closed before the second round.
 WELL_FILLED = 0.999
 CLOSED = 0.97
@@ -112,14 +116,53 @@ class Packing:
         good = [b for b, r in zip(other.bins, other.room, strict=True) if r <= (1 - WELL_FILLED) * self.capacity] or other.bins
         taken = [good[k] for k in rng.permutation(len(good))[: max(1, len(good) // 2)]]
         keep, displaced = self.without({i for b in taken for i in b})
-        return Packing(self.lengths, self.capacity, [list(b) for b in keep + taken]).filled(displaced)
+        return Packing(self.lengths, self.capacity, [list(b) for b in keep + taken]).refilled(displaced, rng)
 
     def mutated(self, rng: np.random.Generator) -> Packing:
-        """The emptiest bins and a few others are emptied and their items best-fitted anew."""
+        """The emptiest bins and a few others are emptied and their items placed anew."""
         order = np.argsort(self.room)[::-1]
-        drop = {int(k) for k in order[: max(1, len(order) // 50)]} | {int(k) for k in rng.integers(0, len(order), max(1, len(order) // 50))}
+        few = max(2, len(order) // 50)
+        drop = {int(k) for k in order[:few]} | {int(k) for k in rng.integers(0, len(order), few)}
         kept = [list(b) for k, b in enumerate(self.bins) if k not in drop]
-        return Packing(self.lengths, self.capacity, kept).filled([i for k in drop for i in self.bins[k]])
+        return Packing(self.lengths, self.capacity, kept).refilled([i for k in drop for i in self.bins[k]], rng)
+
+    def refilled(self, items: list[int], rng: np.random.Generator) -> Packing:
+        """Displaced items first replace smaller ones in bins that this fills better, then what is left is best-fitted."""
+        out = sorted(items, key=lambda i: self.lengths[i])
+        for k in rng.permutation(len(self.bins)).tolist():
+            while self.room[k] and self._swap(k, out):
+                pass
+        return self.filled(out)
+
+    def _swap(self, k: int, out: list[int]) -> bool:
+        """Put one or two items of ``out`` (ascending lengths) in the place of one or two of bin ``k`` if this fills it better."""
+        size, room, members = self.lengths, self.room[k], self.bins[k][-SWAPS:]
+        leaving = [(size[i], (i,)) for i in members]
+        leaving += [(size[i] + size[j], (i, j)) for n, i in enumerate(members[:12]) for j in members[n + 1 : 12]]
+        sizes = [size[i] for i in out]
+        best, found = 0, None
+        for gone, who in leaving:
+            limit = gone + room
+            at = bisect_right(sizes, limit) - 1
+            if at >= 0 and sizes[at] - gone > best:
+                best, found = sizes[at] - gone, (who, (at,))
+            # Two come in: the largest partner of each of the candidates nearest below the limit.
+            for first in range(at, max(-1, at - SWAPS), -1):
+                second = bisect_right(sizes, limit - sizes[first], 0, first) - 1
+                if second >= 0 and sizes[first] + sizes[second] - gone > best:
+                    best, found = sizes[first] + sizes[second] - gone, (who, (first, second))
+            if best == room:
+                break
+        if not found:
+            return False
+        who, come = found
+        self.bins[k] = [i for i in self.bins[k] if i not in who] + [out[n] for n in come]
+        for n in sorted(come, reverse=True):
+            del out[n]
+        for i in who:
+            insort(out, i, key=lambda i: size[i])
+        self.room[k] = room - best
+        return True
 
     def codes(self) -> list[int]:
         code = [0] * len(self.lengths)
@@ -136,24 +179,44 @@ def from_codes(lengths: list[int], capacity: int, code: list[int]) -> Packing:
     return Packing(lengths, capacity, list(bins.values()))
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int) -> Packing:
-    """Some generations on one island, from the elites that it has or got."""
+def least_bins(lengths: list[int], capacity: int) -> int:
+    return -(-sum(lengths) // capacity)
+
+
+def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int) -> tuple[list[Packing], int]:
+    """Some generations on one island from the elites that it has and got: its best, and how many crossovers there were."""
     rng = np.random.default_rng(seed)
-    items = list(range(len(lengths)))
-    least = -(-sum(lengths) // capacity)
-    people = [from_codes(lengths, capacity, e) for e in elites] or [Packing(lengths, capacity).filled(items)]
+    items, least, crossovers = list(range(len(lengths))), least_bins(lengths, capacity), 0
+    people = [from_codes(lengths, capacity, e) for e in elites]
     while len(people) < POPULATION:
         # A random half of the items is best-fitted before the rest: other bins than plain best fit makes.
         half = rng.random(len(items)) < 0.5
         people.append(Packing(lengths, capacity).filled([i for i in items if half[i]]).filled([i for i in items if not half[i]]))
+    people.sort(key=Packing.fitness, reverse=True)
     for _ in range(GENERATIONS):
-        people.sort(key=Packing.fitness, reverse=True)
         if len(people[0].bins) == least:
             break
-        a, b = rng.permutation(min(3, len(people)))[:2]
+        a, b = rng.permutation(min(4, len(people)))[:2]
         child = people[a].crossed(people[b], rng)
-        people[-1] = max((child, child.mutated(rng)), key=Packing.fitness)
-    return max(people, key=Packing.fitness)
+        crossovers += 1
+        people[-2:] = [child, child.mutated(rng)]
+        people.sort(key=Packing.fitness, reverse=True)
+    return people[:ELITES], crossovers
+
+
+def _seeds(capacity: int):
+    """Plain best fit of each group, and whether it misses the least number of bins."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for group, lengths in zip(frame["group"], frame["lengths"], strict=True):
+                lengths = list(map(int, lengths))
+                found = Packing(lengths, capacity).filled(list(range(len(lengths))))
+                out.append((group, found.codes(), len(found.bins), len(found.bins) > least_bins(lengths, capacity)))
+            yield pd.DataFrame(out, columns=["group", "code", "bins", "open"])
+
+    return run
 
 
 def _epoch(capacity: int, epoch: int):
@@ -161,78 +224,75 @@ def _epoch(capacity: int, epoch: int):
         for frame in frames:
             out = []
             for group, island, lengths, elites in zip(frame["group"], frame["island"], frame["lengths"], frame["elites"], strict=True):
-                best = evolve(list(map(int, lengths)), capacity, [list(map(int, e)) for e in elites], zlib.crc32(f"{group} {island} {epoch}".encode()))
-                out.append((group, island, lengths, best.codes(), *best.fitness()))
-            yield pd.DataFrame(out, columns=["group", "island", "lengths", "code", "bins", "filling"])
+                lengths = list(map(int, lengths))
+                best, crossovers = evolve(lengths, capacity, [list(map(int, e)) for e in elites], zlib.crc32(f"{group} {island} {epoch}".encode()))
+                out.append((group, island, lengths, [p.codes() for p in best], *best[0].fitness(), len(best[0].bins) > least_bins(lengths, capacity), crossovers))
+            yield pd.DataFrame(out, columns=["group", "island", "lengths", "elites", "bins", "filling", "open", "crossovers"])
 
     return run
 
 
-def pack_groups(pieces: DataFrame, capacity: int, label: str) -> DataFrame:
-    """``key, piece, length`` with ``group`` and ``bin``: each group's pieces packed on islands.
+def evolved_groups(listed: DataFrame, capacity: int, label: str) -> DataFrame:
+    """``group, code, bins, crossovers`` of groups ``group, lengths``: the bin of each of the group's items.
 
-    An island's elite goes to the next island after each epoch. Groups are dealt by a hash of the piece, so
-    their sizes don't depend on skewed keys.
+    Groups where plain best fit needs as few bins as their total length does are done. The others are given to islands
+    that evolve apart; after each epoch the best packing of an island goes to the next one of its group, and groups
+    that have reached the bound leave.
     """
-    count = pieces.count()
-    groups = max(1, -(-count // GROUP_PIECES))
-    dealt = F.pmod(F.xxhash64("key", "piece", "start", "copy"), F.lit(groups)).alias("group")
-    member = F.struct("length", "key", "piece", "copy")
-    listed = materialize(pieces.select(dealt, member.alias("m")).groupBy("group").agg(F.sort_array(F.collect_list("m")).alias("members")), f"{label}-groups")
-    islands = listed.select("group", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.transform("members", lambda m: m["length"]).alias("lengths"))
-    state = islands.withColumn("elites", F.array().cast("array<array<long>>"))
-    schema = "group long, island int, lengths array<long>, code array<long>, bins long, filling double"
+    spark = listed.sparkSession
+    spread = lambda df: df.repartition(4 * spark.sparkContext.defaultParallelism)
+    seeds = materialize(spread(listed).mapInPandas(_seeds(capacity), "group long, code array<long>, bins long, open boolean"), f"{label}-seeds")
+    found = seeds.select("group", "code", "bins", F.lit(0.0).alias("filling"), F.lit(0).cast("long").alias("crossovers"))
+    state = listed.join(seeds.where("open"), "group").select("group", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array("code").alias("elites"))
+    schema = "group long, island int, lengths array<long>, elites array<array<long>>, bins long, filling double, open boolean, crossovers long"
     for epoch in range(EPOCHS):
-        spread = state.repartition(max(2, min(4 * groups, state.sparkSession.sparkContext.defaultParallelism * 4)), "group", "island")
-        done = materialize(spread.mapInPandas(_epoch(capacity, epoch), schema), f"{label}-epoch{epoch}")
-        moved = done.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("code").alias("migrant"))
-        state = done.join(moved, ["group", "island"]).select("group", "island", "lengths", F.array("code", "migrant").alias("elites"))
-    best = done.groupBy("group").agg(F.max_by("code", F.struct("bins", "filling", "island")).alias("code"))
+        done = materialize(spread(state).mapInPandas(_epoch(capacity, epoch), schema), f"{label}-epoch{epoch}")
+        found = found.unionByName(done.select("group", F.col("elites")[0].alias("code"), (-F.col("bins")).alias("bins"), "filling", "crossovers"))
+        still = done.groupBy("group").agg(F.min("open").alias("open")).where("open").select("group")
+        if epoch + 1 == EPOCHS or not still.limit(1).count():
+            break
+        moved = done.select("group", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elites")[0].alias("migrant"))
+        state = done.join(still, "group").join(moved, ["group", "island"]).select("group", "island", "lengths", F.array_append("elites", F.col("migrant")).alias("elites"))
+    return found.groupBy("group").agg(F.max_by("code", F.struct(-F.col("bins"), "filling")).alias("code"), F.min("bins").alias("bins"), F.sum("crossovers").alias("crossovers"))
+
+
+def pack_groups(pieces: DataFrame, capacity: int, label: str) -> DataFrame:
+    """``row, length`` with ``group`` and ``bin``: each group's pieces packed by ``evolved_groups``.
+
+    Groups are dealt by a hash of the row's number, so their sizes don't depend on keys.
+    """
+    groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    member = F.struct("length", "row").alias("m")
+    dealt = pieces.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"), member)
+    listed = materialize(dealt.groupBy("group").agg(F.sort_array(F.collect_list("m")).alias("members")), f"{label}-groups")
+    best = evolved_groups(listed.select("group", F.transform("members", lambda m: m["length"]).alias("lengths")), capacity, label)
     placed = listed.join(best, "group").select("group", F.explode(F.arrays_zip("members", "code")).alias("x"))
     return placed.select("group", F.col("x.code").alias("bin"), "x.members.*")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``sequence_id`` and ``offset`` for each piece, so that few sequences of ``capacity`` are used.
+    """``sequence_id`` and ``offset`` for each row, so that few sequences of ``capacity`` are used.
 
-    ``pieces``: ``key, piece, start, length`` and more. Full pieces are sequences of their own. The others are
-    packed in groups; what lies in bins that stay poorly filled is packed once more over all groups.
-    Repeated rows (the same key and piece twice) are told apart by ``copy``.
+    ``pieces`` has a ``length`` column and any others. Full pieces are sequences of their own. The others are packed in
+    groups; what lies in bins that stay poorly filled is packed once more over all groups. Rows are told apart by
+    a number each, so keys may lack or repeat.
     """
-    copy = F.row_number().over(_same_piece()).alias("copy")
-    pieces = materialize(pieces.select("*", copy), "pack-pieces")
-    part = pieces.where(F.col("length") < capacity).select("key", "piece", "start", "length", "copy")
-    names = ["key", "piece", "length", "copy"]
-    first = materialize(pack_groups(part, capacity, "pack-a").select("group", "bin", *names), "pack-first")
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    first = materialize(pack_groups(pieces.where(F.col("length") < capacity).select("row", "length"), capacity, "pack-a"), "pack-first")
     fill = first.groupBy("group", "bin").agg(F.sum("length").alias("used"))
     closed = first.join(fill.where(F.col("used") >= CLOSED * capacity), ["group", "bin"], "left_semi")
     rest = first.join(fill.where(F.col("used") < CLOSED * capacity), ["group", "bin"], "left_semi")
-    second = pack_groups(rest.withColumn("start", F.lit(1)), capacity, "pack-b").select("group", "bin", *names)
-    whole = pieces.where(F.col("length") == capacity).select(F.lit(0).alias("round"), F.monotonically_increasing_id().alias("group"), F.lit(0).cast("long").alias("bin"), *names)
-    packed = whole.unionByName(closed.withColumn("round", F.lit(1))).unionByName(second.withColumn("round", F.lit(2)))
-    inside = W_bin().rowsBetween(-(1 << 31), -1)
+    second = pack_groups(rest.select("row", "length"), capacity, "pack-b")
+    whole = pieces.where(F.col("length") == capacity).select(F.col("row").alias("group"), F.lit(0).cast("long").alias("bin"), "length", "row")
+    packed = whole.withColumn("round", F.lit(0)).unionByName(closed.withColumn("round", F.lit(1))).unionByName(second.withColumn("round", F.lit(2)))
+    inside = W.partitionBy("round", "group", "bin").orderBy(F.col("length").desc(), "row").rowsBetween(W.unboundedPreceding, -1)
     packed = packed.select(
-        *names,
+        "row",
         # Round in the two highest bits used, then group, then bin: numbers of different rounds never meet.
         (F.col("round").cast("long") * (1 << 60) + F.when(F.col("round") == 0, F.col("group")).otherwise(F.col("group") * (1 << 20) + F.col("bin"))).alias("sequence_id"),
         F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"),
     )
-    # Both sides have one row for each piece and copy; null keys meet as well.
-    a, b = pieces.alias("a"), packed.drop("length").alias("b")
-    same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.copy") == F.col("b.copy"))
-    return a.join(b, same).select("a.*", "b.sequence_id", "b.offset").drop("copy")
-
-
-def _same_piece():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key", "piece").orderBy("start", "length", "ids_crc32")
-
-
-def W_bin():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("round", "group", "bin").orderBy(F.col("length").desc(), "key", "piece", "copy")
+    return pieces.join(packed, "row").drop("row")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
