@@ -99,7 +99,7 @@ def normalized(text: str = "text"):
 
 
 def with_digest(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, text_sha256, digest``: the hash of the normalized text, and its first 64 bits."""
+    """``key, text_sha256, digest``: the hash of the normalized text, and its first 60 bits."""
     sha = F.sha2(normalized(text).cast("binary"), 256)
     rows = documents.select(F.col(key).alias("key"), sha.alias("text_sha256"))
     return rows.withColumn("digest", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long"))
@@ -123,10 +123,15 @@ def build_snapshot(digests: DataFrame, buckets: int) -> tuple[DataFrame, DataFra
     return groups, materialize(filters, "dedup-filters")
 
 
-def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """``digest, text_sha256`` and more of a batch's groups, with ``maybe``: the filter can't rule the digest out."""
-    bucket = F.pmod("digest", F.lit(buckets)).cast("int")
+def screen(digests: DataFrame, filters: DataFrame, buckets: int, salts: int) -> DataFrame:
+    """``digest, text_sha256`` and more of a batch's groups, with ``maybe``: the filter can't rule the digest out.
+
+    The snapshot's size gives the number of buckets, the batch's that of ``salts``: parts of a bucket, each of which meets
+    a copy of the bucket's filter. So neither a small snapshot nor a large batch makes a large group.
+    """
     names = digests.columns
+    dealt = digests.withColumns({"bucket": F.pmod("digest", F.lit(buckets)).cast("int"), "salt": F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int")})
+    copied = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def probe(batch: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         maybe = np.zeros(len(batch), bool)
@@ -135,7 +140,7 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
         return batch[names].assign(maybe=maybe)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.schema.fields) + ", maybe boolean"
-    return digests.withColumn("bucket", bucket).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, schema)
+    return dealt.groupBy("bucket", "salt").cogroup(copied.groupBy("bucket", "salt")).applyInPandas(probe, schema)
 
 
 def exact_dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -154,21 +159,22 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", key:
     old, new = materialize(with_digest(snapshot, text, key), "dedup-old"), materialize(with_digest(batch, text, key), "dedup-new")
     buckets = max(1, -(-old.count() // BUCKET_KEYS))
     groups, filters = build_snapshot(old, buckets)
-    fresh = new.groupBy("text_sha256", "digest").agg(F.min("key").alias("new_id"), F.count(F.lit(1)).alias("new_size"))
-    screened = materialize(screen(fresh, filters, buckets), "dedup-screened")
+    fresh = materialize(new.groupBy("text_sha256", "digest").agg(F.min("key").alias("new_id"), F.count(F.lit(1)).alias("new_size")), "dedup-fresh")
+    salts = max(1, -(-fresh.count() // (buckets * BUCKET_KEYS)))
+    screened = materialize(screen(fresh, filters, buckets, salts), "dedup-screened")
     met = screened.where("maybe").join(groups.drop("bucket"), ["digest", "text_sha256"])
     met = materialize(met.select("text_sha256", "new_id", "keep_id", "new_size", "size"), "dedup-met")
     # Byte checks: one text for each side of a met group, however many rows the group has.
     few = met.count() <= MAX_SENT_IDS
 
     def bytes_of(rows: DataFrame, name: str) -> DataFrame:
-        """The texts of a side's keepers."""
+        """The texts of a side's keepers. A key may lack or repeat, so a keeper's text is known by its hash as well."""
         ids = met.select(F.col(name).alias("id")).distinct()
         rows = rows.select(F.col(key).alias(f"{name}_key"), F.col(text).alias("text"))
         found = rows.join(F.broadcast(ids) if few else ids, F.col(f"{name}_key").eqNullSafe(F.col("id")), "left_semi")
-        return found.select(f"{name}_key", normalized().alias(f"{name}_text"))
+        return found.select(normalized().alias(f"{name}_text")).withColumn("text_sha256", F.sha2(F.col(f"{name}_text").cast("binary"), 256)).dropDuplicates(["text_sha256"])
 
-    checked = met.join(bytes_of(batch, "new_id"), F.col("new_id").eqNullSafe(F.col("new_id_key"))).join(bytes_of(snapshot, "keep_id"), F.col("keep_id").eqNullSafe(F.col("keep_id_key")))
+    checked = met.join(bytes_of(batch, "new_id"), "text_sha256").join(bytes_of(snapshot, "keep_id"), "text_sha256")
     equal = checked.where(F.col("new_id_text") == F.col("keep_id_text")).select("text_sha256").distinct()
     joined = met.join(equal, "text_sha256", "left_semi").select("text_sha256", F.least("new_id", "keep_id").alias("keep_id"), (F.col("new_size") + F.col("size")).alias("group_size"))
     alone = lambda df, a, b: df.join(joined, "text_sha256", "left_anti").select("text_sha256", F.col(a).alias("keep_id"), F.col(b).alias("group_size"))
@@ -178,7 +184,10 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, text: str = "text", key:
 
 
 def halves(documents: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The rows up to the middle of the keys' range as a snapshot that exists, the others as the batch that comes in."""
+    """The rows up to the middle of the keys' range as a snapshot that exists, the others as the batch that comes in.
+
+    Keys are whole numbers; rows without one are in the snapshot. An empty table gives two empty ones.
+    """
     low, high = documents.agg(F.min(key), F.max(key)).first()
     middle = 0 if low is None else (low + high) // 2
     older = F.coalesce(F.col(key) <= middle, F.lit(True))
