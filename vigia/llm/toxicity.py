@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ PREFIXES = (3, 4, 5, 6)
 MEMO_WORDS = 400_000
 THRESHOLD = 0.5
 EDGES = string.punctuation + "“”„«»¿¡…–—"
-# Words by which a labelled toxic text is counted to a category.
-CATEGORY_WORDS = {"insult": "idiot moron stupid loser clown".split(), "contempt": "trash scum worthless pathetic disgusting".split()}
+#: Kinds of toxic texts that are told apart; the categories are these and then the general one.
+KINDS = 2
+CATEGORIES = [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 
 
 def word_features(word: str) -> list[str]:
@@ -81,13 +84,29 @@ def feature_counts(texts: list[str], places: _Places) -> np.ndarray:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
-    """``text, toxic, fold`` and one 0/1 column for each category, of at most ``MAX_TRAINING_ROWS`` labelled rows."""
-    by_hash = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, F.col("toxic").cast("int").alias("toxic"))
-    taken = by_hash.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(MAX_TRAINING_ROWS)
+    """``text, toxic, fold`` of at most ``MAX_TRAINING_ROWS`` labelled keys; a key labelled twice is toxic if it ever is."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    taken = known.orderBy(F.xxhash64(key), key).limit(MAX_TRAINING_ROWS)
     rows = documents.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(taken), key)
-    lower = F.lower("text")
-    in_category = [(F.col("toxic") * lower.rlike(rf"\b({'|'.join(words)})\b").cast("int")).alias(name) for name, words in CATEGORY_WORDS.items()]
-    return rows.select("text", "toxic", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"), *in_category)
+    return rows.select("text", "toxic", F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+def with_kinds(data: DataFrame) -> DataFrame:
+    """``x, fold`` and one 0/1 column for each of ``CATEGORIES``, of feature rows ``x, fold, toxic``.
+
+    The labels say toxic or not; the kinds are clusters of the toxic training rows by their features, the larger
+    cluster first. They are made of training rows only, so their number is bounded.
+    """
+    scaled = Normalizer(inputCol="features", outputCol="unit").transform(data.withColumn("features", array_to_vector("x")))
+    toxic = scaled.where("toxic = 1")
+    if toxic.select("x").distinct().limit(KINDS).count() < KINDS:
+        placed = scaled.withColumn("place", F.lit(0))
+    else:
+        model = KMeans(k=KINDS, featuresCol="unit", predictionCol="kind", seed=1, maxIter=20).fit(toxic.select("unit"))
+        order = [r["kind"] for r in model.transform(toxic).groupBy("kind").count().orderBy(F.desc("count"), "kind").collect()]
+        placed = model.transform(scaled).withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("kind")).cast("int") - 1)
+    kinds = [((F.col("toxic") == 1) & (F.col("place") == k)).cast("int").alias(name) for k, name in enumerate(CATEGORIES[:-1])]
+    return placed.select("x", "fold", *kinds, "toxic")
 
 
 def choose_features(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
@@ -131,39 +150,46 @@ def choose_features(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
 def fit_chain(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Chain:
     """Fit the categories in order, the general ``toxic`` last.
 
-    Later models are trained with out-of-fold probabilities of the earlier ones, so they learn how far these
-    can be trusted on texts not seen. With one class only there is nothing to learn; then nothing is toxic.
+    With one class only there is nothing to learn; then nothing is toxic. Labels without a key, a value or a text are
+    left out; null texts count as empty; of rows that repeat a key each text is a training row.
     """
-    categories = [*CATEGORY_WORDS, "toxic"]
     rows = materialize(training_rows(documents, labels, text, key), "toxicity-training")
     n_toxic, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_toxic or n_toxic == n:
-        return Chain(categories)
+        return Chain(CATEGORIES)
     features = choose_features(rows, n_toxic, n - n_toxic)
     if not features:
-        return Chain(categories)
+        return Chain(CATEGORIES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places(features)
         for batch in small_batches(batches):
             x = np.log1p(feature_counts(batch.column(0).to_pylist(), places))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "fold", *categories])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "fold", "toxic"])
 
-    schema = "x array<double>, fold int, " + ", ".join(f"{c} int" for c in categories)
-    data = materialize(rows.select("text", "fold", *categories).mapInArrow(count, schema), "toxicity-features")
-    chain = Chain(categories, features)
-    for k, category in enumerate(categories):
-        usable = data.select("fold", F.col(category).alias("label"), "x", array_to_vector("x").alias("features"), *categories)
+    found = materialize(rows.select("text", "fold", "toxic").mapInArrow(count, "x array<double>, fold int, toxic int"), "toxicity-features")
+    return fit_models(materialize(with_kinds(found), "toxicity-kinds"), features)
+
+
+def fit_models(data: DataFrame, features: list[str]) -> Chain:
+    """The chain for rows ``x, fold`` with a 0/1 column for each category.
+
+    Later models are trained with out-of-fold probabilities of the earlier ones, so they learn how far these
+    can be trusted on texts not seen.
+    """
+    chain = Chain(CATEGORIES, features)
+    for k, category in enumerate(CATEGORIES):
+        usable = data.select("fold", F.col(category).alias("label"), "x", array_to_vector("x").alias("features"), *CATEGORIES)
         model = _fit(usable)
         chain.weights.append(model[0])
         chain.intercepts.append(model[1])
-        if k + 1 < len(categories):
+        if k + 1 < len(CATEGORIES):
             parts = []
             for fold in range(FOLDS):
                 w, b = _fit(usable.where(F.col("fold") != fold))
                 z = F.aggregate(F.zip_with("x", F.array(*map(F.lit, w)), lambda a, c: a * c), F.lit(float(b)), lambda a, c: a + c)
                 p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
-                parts.append(usable.where(F.col("fold") == fold).select(F.array_append("x", p).alias("x"), "fold", *categories))
+                parts.append(usable.where(F.col("fold") == fold).select(F.array_append("x", p).alias("x"), "fold", *CATEGORIES))
             data = materialize(_union(parts), "toxicity-features")
     return chain
 
@@ -188,7 +214,8 @@ def _fit(rows: DataFrame) -> tuple[list[float], float]:
 def toxicity_scores(documents: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``key``, a probability for each category (``p_<name>``) and ``toxic``, one row for each row.
 
-    Null counts as empty. There is no shuffle; the model that is sent has at most ``FEATURES`` features.
+    Null counts as empty; rows without a key and repeated rows each keep a row; an empty table gives none. There is no
+    shuffle; the model that is sent has at most ``FEATURES`` features.
     """
     sent = documents.sparkSession.sparkContext.broadcast(chain)
     kind = documents.schema[key].dataType.simpleString()
