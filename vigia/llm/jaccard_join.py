@@ -43,6 +43,8 @@ COUNT_COLUMNS = 8192
 ROUNDS = 2
 #: Sets that a task remembers to have sent already; sets beyond are merely sent again.
 SEEN_SETS = 200_000
+#: Groups of several blocks that are sent to all executors at most; with more, a shuffle joins them.
+MAX_SENT_GROUPS = 500_000
 #: Window entries of one bucket, on average.
 BUCKET_ENTRIES = 300_000
 
@@ -337,56 +339,99 @@ def _rows_that_may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """``mark, chunk, entity, central`` of all members of cells.
+    """``mark, chunk, members`` of all cells, with the members as ``entity, central``.
 
     ``central`` counts the others that a text meets in its cells: the text that copies were made from has most of
-    their shingles and meets more of them than they meet each other, so it makes the best pivot.
+    their shingles and meets more of them than they meet each other, so it makes the best pivot. What holds for a whole
+    cell is joined to its chunks, of a bounded size each, never to its members.
     """
-    members = found.select("mark", "chunk", F.explode("members").alias("entity"))
-    sizes = members.groupBy("mark").agg((F.count(F.lit(1)) - 1).alias("others"))
-    central = members.join(sizes, "mark").groupBy("entity").agg(F.sum("others").alias("central"))
-    return members.join(central, "entity").select("mark", "chunk", "entity", "central")
+    sizes = found.groupBy("mark").agg((F.sum(F.size("members")) - 1).alias("others"))
+    members = found.join(sizes, "mark").select("mark", "chunk", F.explode("members").alias("entity"), "others")
+    central = members.groupBy("entity").agg(F.sum("others").alias("central"))
+    return _chunks(members.join(central, "entity").select("mark", "chunk", "entity", "central"))
 
 
-def star_pairs(members: DataFrame, entities: DataFrame, turn: int) -> DataFrame:
+def _chunks(members: DataFrame) -> DataFrame:
+    names = [c for c in members.columns if c not in ("mark", "chunk")]
+    return members.groupBy("mark", "chunk").agg(F.collect_list(F.struct(*names)).alias("members"))
+
+
+def labelled(everywhere: DataFrame, labels: DataFrame) -> DataFrame:
+    """The chunks of ``placed`` with members ``central, entity, component``."""
+    members = everywhere.select("mark", "chunk", F.explode("members").alias("m")).select("mark", "chunk", "m.*")
+    return _chunks(members.join(labels, "entity").select("mark", "chunk", "central", "entity", "component"))
+
+
+def star_pairs(chunks: DataFrame, entities: DataFrame, turn: int) -> DataFrame:
     """Pairs of a cell's document pivot with its members of other classes, as far as the windows leave them.
 
-    ``members``: ``mark, entity, component, central``. On the first turn the pivot is the most central text, on the
-    second the most central one outside the class of the first.
+    ``chunks``: those of ``labelled``. On the first turn the pivot is the most central text, on the second the most
+    central one outside the class of the first.
     """
-    middle = [F.max_by("entity", F.struct("central", "entity")).alias("pivot"), F.max_by("component", F.struct("central", "entity")).alias("kind")]
-    first = members.groupBy("mark").agg(*middle)
+    others = F.filter("members", lambda m: m["component"] != F.col("pivot.component"))
+    first = chunks.groupBy("mark").agg(F.max(F.array_max("members")).alias("pivot"))
     if turn:
-        first = members.join(first, "mark").where(F.col("component") != F.col("kind")).groupBy("mark").agg(*middle)
-    pairs = members.join(first, "mark").where(F.col("component") != F.col("kind"))
-    pairs = pairs.select(F.least("pivot", "entity").alias("a"), F.greatest("pivot", "entity").alias("b")).distinct()
+        first = chunks.join(first, "mark").select("mark", F.array_max(others).alias("top")).groupBy("mark").agg(F.max("top").alias("pivot")).where("pivot is not null")
+    pairs = chunks.join(first, "mark").select(F.explode(others).alias("m"), F.col("pivot.entity").alias("pivot"))
+    pairs = pairs.select(F.least("pivot", "m.entity").alias("a"), F.greatest("pivot", "m.entity").alias("b")).distinct()
     side = lambda x: entities.select(F.col("entity").alias(x), F.col("size").alias(f"size_{x}"), F.col("parities").alias(f"parities_{x}"))
     near = DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
     return both.select("a", "b", "size_a", "size_b", "parities_a", "parities_b").mapInArrow(_rows_that_may_link, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, entities: DataFrame) -> DataFrame:
+def dealt_parts(rows: DataFrame, by: list[str], splits) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``part``, a hash of the entity into as many parts of a group as ``splits`` says; and ``by, splits``.
+
+    Only groups of several parts are looked up, which are few, so a large group stays where its rows are.
+    """
+    numbers = materialize(rows.groupBy(*by).agg(splits.cast("int").alias("splits")), "jaccard-numbers")
+    large = numbers.where("splits > 1")
+    large = F.broadcast(large) if large.count() <= MAX_SENT_GROUPS else large
+    part = F.pmod(F.xxhash64("entity"), F.coalesce("splits", F.lit(1))).cast("int").alias("part")
+    return rows.join(large, by, "left").select(*rows.columns, part), numbers
+
+
+def block_pairs(numbers: DataFrame, group: str) -> DataFrame:
+    """Pairs of blocks of a group that may hold links, of the numbers alone: ``group, kind1, part1, kind2, part2``.
+
+    Size classes are equal or neighbours. Either side is first in half of the pairs, so that no block is second in most
+    of its pairs.
+    """
+    each = numbers.select(group, "kind", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
+    names = lambda k: each.select(group, F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"))
+    later = (F.col("kind1") == F.col("kind2")) & (F.col("part1") <= F.col("part2"))
+    pairs = names(1).join(names(2), group).where(later | (F.col("kind1") + 1 == F.col("kind2")))
+    turned = F.pmod(F.col("part1") + F.col("part2"), F.lit(2)) == 1
+    sides = [F.when(turned, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in ("kind", "part")]
+    return pairs.select(group, *sides)
+
+
+def met_blocks(pairs: DataFrame, listed: DataFrame, group: str) -> DataFrame:
+    """``m1, m2, same``: the members of both blocks of each pair. ``listed``: ``group, kind, part, m``."""
+    held = lambda k: listed.select(F.col(group), F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"), F.col("m").alias(f"m{k}"))
+    both = pairs.join(held(1), [group, "kind1", "part1"]).join(held(2), [group, "kind2", "part2"])
+    same = (F.col("kind1") == F.col("kind2")) & (F.col("part1") == F.col("part2"))
+    return both.select("m1", "m2", same.alias("same"))
+
+
+def rest_pairs(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """All pairs of different classes that share a cell, as far as the windows leave them.
 
     Most pairs share many cells with the same document pivot, so the cells of a pivot are joined to one region and its
     pairs are looked at once. A region is cut by size classes, of which only equal and neighbouring ones can link, and
-    these by hash into blocks of a bounded size.
+    these by hash into blocks of a bounded size; pairs of blocks are made of their numbers and then dealt to tasks.
     """
-    pivots = members.groupBy("mark").agg(F.max_by("entity", F.struct("central", "entity")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
-    region = members.join(pivots.where("low < high"), "mark").select("pivot", "entity", "component").distinct().join(entities, "entity")
+    component = lambda pick: pick(F.transform("members", lambda m: m["component"]))
+    pivots = chunks.groupBy("mark").agg(F.max(F.array_max("members")).alias("top"), F.min(component(F.array_min)).alias("low"), F.max(component(F.array_max)).alias("high"))
+    several = pivots.where("low < high").select("mark", F.col("top.entity").alias("pivot"))
+    region = chunks.join(several, "mark").select("pivot", F.explode("members").alias("m")).select("pivot", "m.entity", "m.component").distinct().join(entities, "entity")
     kind = F.floor(F.log("size") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int").alias("kind")
-    region = region.select("pivot", "entity", "component", "size", "parities", kind)
-    numbers = region.groupBy("pivot", "kind").agg(F.ceil(F.count(F.lit(1)) / CELL_BLOCK).alias("splits"))
-    part = F.pmod(F.xxhash64("entity"), F.col("splits")).cast("int").alias("part")
-    blocks = region.join(numbers, ["pivot", "kind"]).select("pivot", "kind", part, F.struct("entity", "size", "component", "parities").alias("m"))
-    listed = materialize(blocks.groupBy("pivot", "kind", "part").agg(F.collect_list("m").alias("m")), "jaccard-listed")
-    one = listed.where(F.size("m") > 1).select(F.col("m").alias("m1"), F.col("m").alias("m2"), F.lit(True).alias("same"))
-    i, j = listed.alias("i"), listed.alias("j")
-    later = (F.col("i.kind") == F.col("j.kind")) & (F.col("i.part") < F.col("j.part"))
-    two = i.join(j, (F.col("i.pivot") == F.col("j.pivot")) & (later | (F.col("i.kind") + 1 == F.col("j.kind"))))
-    two = two.select(F.col("i.m").alias("m1"), F.col("j.m").alias("m2"), F.lit(False).alias("same"))
-    return one.unionByName(two).mapInArrow(_pairs_of_chunks, "a long, b long").distinct()
+    region = materialize(region.select("pivot", "entity", "component", "size", "parities", kind), "jaccard-region")
+    blocks, numbers = dealt_parts(region, ["pivot", "kind"], F.ceil(F.count(F.lit(1)) / CELL_BLOCK))
+    listed = materialize(blocks.groupBy("pivot", "kind", "part").agg(F.collect_list(F.struct("entity", "size", "component", "parities")).alias("m")), "jaccard-listed")
+    pairs = materialize(block_pairs(numbers, "pivot"), "jaccard-block-pairs")
+    return met_blocks(pairs, listed, "pivot").mapInArrow(_pairs_of_chunks, "a long, b long").distinct()
 
 
 def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,14 +531,14 @@ def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield _batch(["entity", "n"], [ids[counts > 0], counts[counts > 0]])
 
 
-def link_counts(labels: DataFrame, holders: DataFrame, documents: DataFrame) -> DataFrame:
+def link_counts(labels: DataFrame, links: DataFrame, holders: DataFrame, documents: DataFrame) -> DataFrame:
     """``entity, n``: the rows with other sets that each set of a class links with; sets without any may lack.
 
-    ``labels``: ``entity, component``; ``holders``: ``entity, key, n_rows``. Pairs of blocks are made of the blocks'
-    numbers, before the sets are joined to them.
+    ``labels``: ``entity, component``; ``links``: ``a, b``; ``holders``: ``entity, key, n_rows``. Pairs of blocks are made
+    of the blocks' numbers, before the sets are joined to them.
     """
-    several = labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component")
-    members = labels.join(several, "component").join(holders, "entity")
+    linked = links.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    members = labels.join(linked, "entity", "left_semi").join(holders, "entity")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -506,22 +551,10 @@ def link_counts(labels: DataFrame, holders: DataFrame, documents: DataFrame) ->
     found = texts.mapInArrow(sets, "entity long, component long, n_rows long, size long, shingles binary").dropDuplicates(["entity"])
     kind = F.floor(F.log("size") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int").alias("kind")
     found = materialize(found.select("entity", "component", "n_rows", "size", "shingles", kind), "jaccard-sets", compression="lz4")
-    splits = F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_BLOCK, F.sum("size") / COUNT_SHINGLES)).cast("int").alias("splits")
-    numbers = materialize(found.groupBy("component", "kind").agg(splits), "jaccard-numbers")
-    part = F.pmod(F.xxhash64("entity"), F.col("splits")).cast("int").alias("part")
-    blocks = found.join(numbers, ["component", "kind"]).select("component", "kind", part, F.struct("entity", "n_rows", "shingles").alias("m"))
-    listed = materialize(blocks.groupBy("component", "kind", "part").agg(F.collect_list("m").alias("m")), "jaccard-blocks", compression="lz4")
-    names = lambda k: listed.select(F.col("component"), F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"))
-    later = (F.col("kind1") == F.col("kind2")) & (F.col("part1") <= F.col("part2"))
-    pairs = names(1).join(names(2), "component").where(later | (F.col("kind1") + 1 == F.col("kind2")))
-    # Either side is first in half of the pairs, so that no block is second in most of its pairs.
-    turned = F.pmod(F.col("part1") + F.col("part2"), F.lit(2)) == 1
-    sides = [F.when(turned, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in ("kind", "part")]
-    pairs = materialize(pairs.select("component", *sides), "jaccard-block-pairs")
-    held = lambda k: listed.select(F.col("component"), F.col("kind").alias(f"kind{k}"), F.col("part").alias(f"part{k}"), F.col("m").alias(f"m{k}"))
-    both = pairs.join(held(1), ["component", "kind1", "part1"]).join(held(2), ["component", "kind2", "part2"])
-    same = (F.col("kind1") == F.col("kind2")) & (F.col("part1") == F.col("part2"))
-    counted = both.select("m1", "m2", same.alias("same")).mapInArrow(_links_of_blocks, "entity long, n long")
+    blocks, numbers = dealt_parts(found, ["component", "kind"], F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_BLOCK, F.sum("size") / COUNT_SHINGLES)))
+    listed = materialize(blocks.groupBy("component", "kind", "part").agg(F.collect_list(F.struct("entity", "n_rows", "shingles")).alias("m")), "jaccard-blocks", compression="lz4")
+    pairs = materialize(block_pairs(numbers, "component"), "jaccard-block-pairs")
+    counted = met_blocks(pairs, listed, "component").mapInArrow(_links_of_blocks, "entity long, n long")
     out = materialize(counted.groupBy("entity").agg(F.sum("n").alias("n")), "jaccard-counts")
     for used in (found, numbers, listed, pairs):
         remove(used)
@@ -535,7 +568,7 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
     reachable; ``n_links`` is the number of all other rows that the row's text links with, exact copies included. Texts
     without words, empty or null, have an empty set, link with nothing and are their own component. Rows with a null
     key are dropped from linking the same way: they keep a row with a null component, have no links and don't count
-    as links of others. Repeated rows are equal sets, share a component and link.
+    as links of others. Repeated rows are equal sets, share a component and link. An empty table gives no rows.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).cast("binary").alias("text"))
@@ -549,21 +582,22 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
     links = tested = None
     labels = nodes.select("entity", F.col("entity").alias("component"))
     for turn in range(ROUNDS + 1):
-        members = everywhere.join(labels, "entity")
-        pairs = star_pairs(members, entities, turn) if turn < ROUNDS else rest_pairs(members, entities)
+        chunks = materialize(labelled(everywhere, labels), "jaccard-chunks")
+        pairs = star_pairs(chunks, entities, turn) if turn < ROUNDS else rest_pairs(chunks, entities)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
         new = materialize(verified(pairs, holders, rows), "jaccard-verified")
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        remove(chunks)
         if new.limit(1).count():
             labels = materialize(components(nodes, links), "jaccard-components")
     lowest = labels.join(holders, "entity").groupBy("component").agg(F.min("key").alias("component_id"))
     if not counts:
         named = materialize(labels.join(lowest, "component").select("entity", "component_id"), "jaccard-named")
         return described.join(named, "entity", "left").select("key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
-    degree = link_counts(labels, holders, rows)
+    degree = link_counts(labels, links, holders, rows)
     n_links = (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_links")
     named = labels.join(lowest, "component").join(holders.select("entity", "n_rows"), "entity").join(degree, "entity", "left")
     named = materialize(named.select("entity", "component_id", n_links), "jaccard-named")
