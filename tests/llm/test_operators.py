@@ -202,6 +202,38 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(empty(spark), JSON).count() == 0
 
 
+def triplets(seed, slack, bins=60, capacity=2048):
+    """Lengths that fill ``bins`` bins but for ``slack`` each, three to a bin."""
+    rng = np.random.default_rng(seed)
+    cuts = [sorted(rng.integers(400, 1600, 2).tolist()) for _ in range(bins)]
+    return sorted(x for a, b in cuts for x in (a, b - a, capacity - slack - b) if x > 0)
+
+
+def test_genetic_algorithm_beats_best_fit(spark):
+    cases = {k: triplets(seed, 6) for k, seed in enumerate((0, 1, 2, 3, 4, 6, 7))} | {99: [1024] * 8}
+    plain = {k: len(packing.Packing(x, 2048).filled(list(range(len(x)))).bins) for k, x in cases.items()}
+    listed = spark.createDataFrame([(k, x) for k, x in cases.items()], "group long, lengths array<long>")
+    for r in packing.evolved_groups(listed, 2048, "test").collect():
+        lengths = cases[r["group"]]
+        used = Counter()
+        for size, b in zip(lengths, r["code"], strict=True):
+            used[b] += size
+        assert len(r["code"]) == len(lengths) and max(used.values()) <= 2048 and len(used) == r["bins"]
+        if r["group"] == 99:  # best fit has the least number of bins at once
+            assert r["bins"] == plain[99] == 4 and r["crossovers"] == 0
+        else:
+            assert r["crossovers"] > 0 and r["bins"] == plain[r["group"]] - 1 == packing.least_bins(lengths, 2048)
+
+
+def test_swaps_keep_all_items():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 2048, 500).tolist()
+    people = [packing.Packing(lengths, 2048).filled(list(rng.permutation(500))) for _ in range(2)]
+    for child in (people[0].crossed(people[1], rng), people[0].mutated(rng)):
+        assert sorted(i for b in child.bins for i in b) == list(range(500))
+        assert [2048 - sum(lengths[i] for i in b) for b in child.bins] == child.room and min(child.room) >= 0
+
+
 def test_best_fit_uses_the_fullest_bin():
     room, bins = [], []
     packing.best_fit([6, 5, 4, 3, 2], list(range(5)), room, bins, 10)
@@ -211,6 +243,21 @@ def test_best_fit_uses_the_fullest_bin():
 # --- exact dedup
 
 
+def test_screening_splits_a_large_batch_behind_a_small_snapshot(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 50)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 700).cast("string")).alias("text"))
+    snapshot = rows.where("doc_id <= 30")
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r["text"], []).append(r["doc_id"])
+    batch = rows.join(snapshot, rows["doc_id"].eqNullSafe(snapshot["doc_id"]), "left_anti")
+    got = exact_dedup.exact_dedup(snapshot, batch).collect()
+    assert len(got) == 1000 and sorted(r["group_size"] for r in got) == sorted(len(v) for v in want.values() for _ in v)
+    by = {r["text_sha256"]: r["keep_id"] for r in got}
+    for text, ids in want.items():
+        assert by[hashlib.sha256(text.encode()).hexdigest()] == min((i for i in ids if i is not None), default=None)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 1 << 62), min_size=1, max_size=3000))
 def test_fuse_filter_holds_its_keys(keys):
@@ -345,14 +392,26 @@ def test_license_scan(spark):
     notice = license_scan.NOTICES[0][1]
     mit = next(t for n, t in license_scan.NOTICES if len(t) > 500 and n == "MIT")
     rows = [(1, f"Some text\n{notice.upper()}\nmore"), (2, "Copyright (c) 2020 Someone\n\n" + mit.replace(". ", ".\n").replace("license", "licence")), (3, None), (4, ""), (4, ""), (None, notice), (5, notice + " But not quite.")]
+    bsd = next(t for n, t in license_scan.NOTICES if n == "BSD-3-Clause")
+    rows += [(6, "Copyright (c) 1999-2020 " + "A Very Long List of Holders, " * 40 + "\r\n© All\n" + mit), (7, "int x;\n// SPDX-License-Identifier: BSL-1.0"), (8, "BSD 3-Clause License\n\nCopyright 2001, X\nAll rights reserved.\n\n" + re.sub(r" [123]\. ", "\n* ", bsd))]
+    rows += [(9, "Copyright law is hard.\n" + mit), (10, "The MIT License (MIT)\n\n" + mit)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit(1), "license": F.lit("x"), "line": F.lit(2)})
     got = [tuple(r) for r in license_scan.license_scan(docs, license_scan.registry(spark)).collect()]
     assert len(got) == len(rows)
     by = {g[0]: g[1:] for g in got}
+    assert by[6] == ("MIT", 1, "MIT") and by[7] == (None, 1, "BSL-1.0") and by[8][0] == "BSD-3-Clause" and by[9][0] is None and by[10][0] == "MIT"
     assert by[1] == (None, 1, "Apache-2.0") and by[2][0] == "MIT" and by[3] == (None, 0, "") and by[5] == (None, 0, "") and by[None] == ("Apache-2.0", 1, "Apache-2.0")
     assert license_scan.license_scan(docs.limit(0), license_scan.registry(spark)).count() == 0
 
 
+def test_license_registry_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Copyright 2020 Own\n\nYou may use this.\nOr not.")
+    (tmp_path / "Other").write_text("Other words")
+    docs = spark.createDataFrame([(1, "you MAY use this - or not"), (2, "other words!")], "doc_id long, text string")
+    got = {r["key"]: r["text_license"] for r in license_scan.license_scan(docs, license_scan.registry_from_files(spark, str(tmp_path))).collect()}
+    assert got == {1: "Own-1.0", 2: "Other"}
+
+
 def repeated_words(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -410,6 +469,49 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(chain.weights) == 3 and len(chain.weights[2]) == len(chain.features) + 2
 
 
+def ridge(x, y):
+    """Weights and intercept of a ridge logistic regression by Newton's method."""
+    x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    penalty = np.diag([1e-3] * (x.shape[1] - 1) + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + penalty, x.T @ (p - y) / len(x) + penalty @ w)
+    return w[:-1], w[-1]
+
+
+def test_toxicity_chain_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.log1p(rng.poisson(1.0, (400, 6)))
+    toxic = (x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 400) > 1.6).astype(int)
+    kinds = [toxic * (x[:, 0] >= x[:, 1]), toxic * (x[:, 0] < x[:, 1])]
+    fold = np.arange(400) % toxicity.FOLDS
+    names = ", ".join(f"{c} int" for c in toxicity.CATEGORIES)
+    rows = [(x[k].tolist(), int(fold[k]), *(int(c[k]) for c in (*kinds, toxic))) for k in range(400)]
+    chain = toxicity.fit_models(spark.createDataFrame(rows, f"x array<double>, fold int, {names}"), list("abcdef"))
+    seen, final = x, x
+    for k, y in enumerate((*kinds, toxic)):
+        w, b = ridge(seen, y)
+        p = 1 / (1 + np.exp(-(final @ w + b)))
+        assert np.allclose(chain.probabilities(np.expm1(x))[:, k], p, atol=0.02)
+        held = np.zeros(400)
+        for f in range(toxicity.FOLDS):
+            v, c = ridge(seen[fold != f], y[fold != f])
+            held[fold == f] = 1 / (1 + np.exp(-(seen[fold == f] @ v + c)))
+        seen, final = np.column_stack([seen, held]), np.column_stack([final, p])
+
+
+def test_toxicity_kinds_are_clusters_of_toxic_texts(spark):
+    rows = [([1.0, 0.0, 0.1 * (k % 3)], k % 3, 1) for k in range(12)] + [([0.0, 1.0, 0.0], k % 3, 1) for k in range(6)] + [([0.0, 0.0, 1.0], k % 3, 0) for k in range(20)]
+    got = toxicity.with_kinds(spark.createDataFrame(rows, "x array<double>, fold int, toxic int")).collect()
+    assert all((r["kind_1"], r["kind_2"]) == ((1, 0) if r["x"][0] else (0, 1) if r["x"][1] else (0, 0)) for r in got) and len(got) == len(rows)
+
+
+def test_toxicity_of_clashing_labels(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    assert sorted((r["text"], r["toxic"]) for r in toxicity.training_rows(docs, labels, "text", "doc_id").collect()) == [("", 0), ("a", 1), ("b", 0)]
+
+
 def test_toxicity_without_usable_labels(spark):
     none = spark.createDataFrame([(1, None), (2, 0)], "doc_id long, toxic int")
     chain = toxicity.fit_chain(odd(spark), none)
@@ -446,6 +548,94 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert all(got[k] == f"Own words {k}" for k in range(20)) and all(got[100 + k] == "The same article" for k in range(20))
 
 
+def plain_pages():
+    """Pages of two hosts whose names tell nothing: a shared menu, a shared line, own texts, and copies of a page."""
+    menu = "<div class='a'><div class='b'>Home</div><div class='b'>News</div><div class='c'><p>Shop</p></div></div>"
+    rows = []
+    for k in range(24):
+        own = "".join(f"<p>Own words {k} {j}</p>" for j in range(k % 5 + 1))
+        mixed = f"<div class='m'><p>Same on all</p><p>Item {k % 2}</p></div>"
+        rows.append((k, f"https://h{k % 2}.example/{k}", f"<body>{menu}<div class='d'>{own}{mixed}</div><div class='e'><p>One line for all</p><b>end</b></div></body>"))
+    return rows + [(100 + k, *rows[0][1:]) for k in range(30)]
+
+
+def brute_importances(rows):
+    """The importance and the highest importance below of each node, by recursion over merged pages."""
+    import math
+
+    out = {}
+    for host in {html_extraction.host_of(u) for _, u, _ in rows}:
+        sources = {t for _, u, t in rows if html_extraction.host_of(u) == host}
+        seen, layouts, texts, children = Counter(), {}, {}, {}
+        for source in sources:
+            met = {}
+            for node in html_extraction.Page(source).nodes:
+                mine = met.setdefault(node.lineage, ([], set()))
+                mine[0].extend(node.children)
+                mine[1].update(node.texts)
+            for line, (labels, own) in met.items():
+                seen[line] += 1
+                layouts.setdefault(line, Counter())[tuple(labels)] += 1
+                texts.setdefault(line, Counter()).update(own)
+                if len(line) > 1:
+                    children.setdefault(line[:-1], set()).add(line)
+
+        def visit(line):
+            m = seen[line]
+            own = -sum(c / m * math.log(c / m, m) for c in layouts[line].values()) if m > 1 else 1.0
+            parts = [(seen[c], *visit(c)) for c in children.get(line, ())]
+            highest = max((h for _, _, h in parts), default=0.0)
+            if texts[line]:
+                leaf = sum(1 - math.log(k, m) for k in texts[line].values()) / len(texts[line]) if m > 1 else 1.0
+                parts.append((m, leaf, leaf))
+                highest = max(highest, leaf)
+            total = sum(p[0] for p in parts)
+            value = 0.1 * own + (0.9 * sum(n * v for n, v, _ in parts) / total if total else 0.0)
+            out[host, line[-1]] = (m, value, max(highest, value))
+            return value, max(highest, value)
+
+        visit(next(x for x in seen if len(x) == 1))
+    return out
+
+
+def test_style_tree_equals_brute_force(spark):
+    rows = plain_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = html_extraction.style_tree(pages, "url", "html")
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"], r["highest"]) for r in html_extraction.importances(tree).collect()}
+    want = brute_importances(rows)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    branches = {(r["host"], r["path"]) for r in html_extraction.unimportant_branches(tree).collect()}
+    assert branches == {k for k, (m, _, h) in want.items() if m >= 8 and h < 0.2} and len(branches) >= 12
+    for r in html_extraction.extract_main_text(pages).collect():
+        source = next(t for k, _, t in rows if k == r["key"])
+        blocks = re.findall("<p>(Own.*?|Same.*?|Item.*?)</p>", source)
+        # Blocks of one node stand or fall together: what all pages share stays beside what varies.
+        kept = blocks if "Same on all" in r["text"] else [b for b in blocks if b.startswith("Own")]
+        assert r["text"] == " ".join(kept)
+
+
+def test_style_tree_decides_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    branches = html_extraction.unimportant_branches(html_extraction.style_tree(pages, "url", "html"))
+    assert branches.count() > 0
+    # Names that tell nothing: all elements but the paragraphs are called the same, so only the tree can decide.
+    bare = pages.select("page_id", "url", F.regexp_replace("html", "<(/?)(nav|footer|article|ul|li)>", "<$1div>").alias("html"))
+    bare = bare.withColumn("html", F.regexp_replace("html", '<div class="ad">', "<div>"))
+    named = {r["key"]: r["text"] for r in html_extraction.extract_main_text(pages).collect()}
+    large = Counter(html_extraction.host_of(r["url"]) for r in pages.collect()).most_common(1)[0]
+    assert large[1] >= 8
+    plain = [r for r in html_extraction.extract_main_text(bare).collect() if html_extraction.host_of(r["url"]) == large[0]]
+    assert all(named[r["key"]] in r["text"] for r in plain)
+
+
+def test_names_of_several_words(spark):
+    page = """<article><p>One</p><div class="share-price">Two</div><p class="alert-level">Three</p><div id="related-work">Four</div><div class="share-buttons">No</div><div class="newsletterBox">No</div></article>"""
+    rows = [(1, "http://a.example", page), (2, "http://a.example", f"<form action='/'><div>Top</div>{page}<input></form>"), (3, "http://a.example", "<div>t " * 30_000)]
+    got = {r["key"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "One Two Three Four" and got[3] == " ".join(["t"] * 30_000)
+
+
 def test_style_tree_counts_distinct_pages(spark):
     page = lambda k: f'<body><div class="text"><p>All the words of page {k}</p></div></body>'
     rows = [(k, f"https://h.example/{k}", page(0)) for k in range(8)] + [(8, "https://h.example/8", page(1))]
