@@ -339,41 +339,40 @@ def _rows_that_may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """``mark, chunk, members`` of all cells, with the members as ``entity, central``.
+    """``mark, chunk, entity, central`` of all members of cells.
 
     ``central`` counts the others that a text meets in its cells: the text that copies were made from has most of
-    their shingles and meets more of them than they meet each other, so it makes the best pivot. What holds for a whole
-    cell is joined to its chunks, of a bounded size each, never to its members.
+    their shingles and meets more of them than they meet each other, so it makes the best pivot.
     """
     sizes = found.groupBy("mark").agg((F.sum(F.size("members")) - 1).alias("others"))
     members = found.join(sizes, "mark").select("mark", "chunk", F.explode("members").alias("entity"), "others")
     central = members.groupBy("entity").agg(F.sum("others").alias("central"))
-    return _chunks(members.join(central, "entity").select("mark", "chunk", "entity", "central"))
+    return members.join(central, "entity").select("mark", "chunk", "entity", "central")
 
 
-def _chunks(members: DataFrame) -> DataFrame:
-    names = [c for c in members.columns if c not in ("mark", "chunk")]
-    return members.groupBy("mark", "chunk").agg(F.collect_list(F.struct(*names)).alias("members"))
+CELL = ["mark", "chunk"]
 
 
-def labelled(everywhere: DataFrame, labels: DataFrame) -> DataFrame:
-    """The chunks of ``placed`` with members ``central, entity, component``."""
-    members = everywhere.select("mark", "chunk", F.explode("members").alias("m")).select("mark", "chunk", "m.*")
-    return _chunks(members.join(labels, "entity").select("mark", "chunk", "central", "entity", "component"))
+def of_cells(members: DataFrame, found: DataFrame, *measures) -> DataFrame:
+    """The members with aggregates over all members of their cell.
+
+    Members are aggregated on the map side first, and aggregates are joined to them by chunk, of a bounded size each,
+    so a large cell is no heavier for any task.
+    """
+    return members.join(found.select(*CELL).join(members.groupBy("mark").agg(*measures), "mark"), CELL)
 
 
-def star_pairs(chunks: DataFrame, entities: DataFrame, turn: int) -> DataFrame:
+def star_pairs(members: DataFrame, found: DataFrame, entities: DataFrame, turn: int) -> DataFrame:
     """Pairs of a cell's document pivot with its members of other classes, as far as the windows leave them.
 
-    ``chunks``: those of ``labelled``. On the first turn the pivot is the most central text, on the second the most
-    central one outside the class of the first.
+    ``members``: ``mark, chunk, entity, component, central``. On the first turn the pivot is the most central text, on the
+    second the most central one outside the class of the first.
     """
-    others = F.filter("members", lambda m: m["component"] != F.col("pivot.component"))
-    first = chunks.groupBy("mark").agg(F.max(F.array_max("members")).alias("pivot"))
+    top, other = F.max(F.struct("central", "entity", "component")).alias("pivot"), F.col("component") != F.col("pivot.component")
+    met = of_cells(members, found, top).where(other)
     if turn:
-        first = chunks.join(first, "mark").select("mark", F.array_max(others).alias("top")).groupBy("mark").agg(F.max("top").alias("pivot")).where("pivot is not null")
-    pairs = chunks.join(first, "mark").select(F.explode(others).alias("m"), F.col("pivot.entity").alias("pivot"))
-    pairs = pairs.select(F.least("pivot", "m.entity").alias("a"), F.greatest("pivot", "m.entity").alias("b")).distinct()
+        met = of_cells(met.drop("pivot"), found, top).where(other)
+    pairs = met.select(F.least("pivot.entity", "entity").alias("a"), F.greatest("pivot.entity", "entity").alias("b")).distinct()
     side = lambda x: entities.select(F.col("entity").alias(x), F.col("size").alias(f"size_{x}"), F.col("parities").alias(f"parities_{x}"))
     near = DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
@@ -415,23 +414,20 @@ def met_blocks(pairs: DataFrame, listed: DataFrame, group: str) -> DataFrame:
     return both.select("m1", "m2", same.alias("same"))
 
 
-def rest_pairs(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
     """All pairs of different classes that share a cell, as far as the windows leave them.
 
     Most pairs share many cells with the same document pivot, so the cells of a pivot are joined to one region and its
     pairs are looked at once. A region is cut by size classes, of which only equal and neighbouring ones can link, and
     these by hash into blocks of a bounded size; pairs of blocks are made of their numbers and then dealt to tasks.
     """
-    component = lambda pick: pick(F.transform("members", lambda m: m["component"]))
-    pivots = chunks.groupBy("mark").agg(F.max(F.array_max("members")).alias("top"), F.min(component(F.array_min)).alias("low"), F.max(component(F.array_max)).alias("high"))
-    several = pivots.where("low < high").select("mark", F.col("top.entity").alias("pivot"))
-    region = chunks.join(several, "mark").select("pivot", F.explode("members").alias("m")).select("pivot", "m.entity", "m.component").distinct().join(entities, "entity")
+    measures = [F.max(F.struct("central", "entity")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")]
+    region = of_cells(members, found, *measures).where("low < high").select(F.col("pivot.entity").alias("pivot"), "entity", "component").distinct().join(entities, "entity")
     kind = F.floor(F.log("size") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int").alias("kind")
     region = materialize(region.select("pivot", "entity", "component", "size", "parities", kind), "jaccard-region")
     blocks, numbers = dealt_parts(region, ["pivot", "kind"], F.ceil(F.count(F.lit(1)) / CELL_BLOCK))
     listed = materialize(blocks.groupBy("pivot", "kind", "part").agg(F.collect_list(F.struct("entity", "size", "component", "parities")).alias("m")), "jaccard-listed")
-    pairs = materialize(block_pairs(numbers, "pivot"), "jaccard-block-pairs")
-    return met_blocks(pairs, listed, "pivot").mapInArrow(_pairs_of_chunks, "a long, b long").distinct()
+    return met_blocks(block_pairs(numbers, "pivot"), listed, "pivot").mapInArrow(_pairs_of_chunks, "a long, b long").distinct()
 
 
 def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,10 +549,9 @@ def link_counts(labels: DataFrame, links: DataFrame, holders: DataFrame, documen
     found = materialize(found.select("entity", "component", "n_rows", "size", "shingles", kind), "jaccard-sets", compression="lz4")
     blocks, numbers = dealt_parts(found, ["component", "kind"], F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_BLOCK, F.sum("size") / COUNT_SHINGLES)))
     listed = materialize(blocks.groupBy("component", "kind", "part").agg(F.collect_list(F.struct("entity", "n_rows", "shingles")).alias("m")), "jaccard-blocks", compression="lz4")
-    pairs = materialize(block_pairs(numbers, "component"), "jaccard-block-pairs")
-    counted = met_blocks(pairs, listed, "component").mapInArrow(_links_of_blocks, "entity long, n long")
+    counted = met_blocks(block_pairs(numbers, "component"), listed, "component").mapInArrow(_links_of_blocks, "entity long, n long")
     out = materialize(counted.groupBy("entity").agg(F.sum("n").alias("n")), "jaccard-counts")
-    for used in (found, numbers, listed, pairs):
+    for used in (found, numbers, listed):
         remove(used)
     return out
 
@@ -582,15 +577,14 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
     links = tested = None
     labels = nodes.select("entity", F.col("entity").alias("component"))
     for turn in range(ROUNDS + 1):
-        chunks = materialize(labelled(everywhere, labels), "jaccard-chunks")
-        pairs = star_pairs(chunks, entities, turn) if turn < ROUNDS else rest_pairs(chunks, entities)
+        members = everywhere.join(labels, "entity")
+        pairs = star_pairs(members, found, entities, turn) if turn < ROUNDS else rest_pairs(members, found, entities)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
         new = materialize(verified(pairs, holders, rows), "jaccard-verified")
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        remove(chunks)
         if new.limit(1).count():
             labels = materialize(components(nodes, links), "jaccard-components")
     lowest = labels.join(holders, "entity").groupBy("component").agg(F.min("key").alias("component_id"))
