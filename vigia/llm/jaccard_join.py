@@ -103,8 +103,19 @@ def window_size(size: int) -> int:
     return size - -(-NUMERATOR * size // DENOMINATOR) + 1
 
 
-def _entity(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digests(shingles: np.ndarray) -> tuple[int, int]:
+    """The two halves of a 128-bit digest of a set."""
+    data = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
+
+
+def _entity(shingles: np.ndarray, clashes: dict[int, int]) -> int:
+    """The number of a set: the first half of its digest, or the second one if another set has the same first half.
+
+    ``clashes`` has the second half of the set that keeps the number, for each number that several sets have.
+    """
+    first, second = _digests(shingles)
+    return second if clashes.get(first, second) != second else first
 
 
 def pivot_parities(shingles: np.ndarray) -> bytes:
@@ -136,14 +147,29 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """``key, entity, size``: documents with the same set are one entity."""
+    """``key, entity, second, size``: both halves of the digest of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
-            yield _batch(["key", "entity", "size"], [batch.column(0), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())])
+            halves = [_digests(s) if len(s) else (None, None) for s in sets]
+            yield _batch(["key", "entity", "second", "size"], [batch.column(0), *(pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64())])
 
-    return documents.mapInArrow(run, "key long, entity long, size long")
+    return documents.mapInArrow(run, "key long, entity long, second long, size long")
+
+
+def told_apart(described: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``key, entity, size`` with a number of its own for each different set, and the clashes of ``_entity``.
+
+    Clashes are different sets with one 64-bit number, of which even ten billion sets have only a few.
+    """
+    seen = described.where("entity is not null").groupBy("entity").agg(F.min("second").alias("kept"), F.max("second").alias("other"))
+    clashes = {r["entity"]: r["kept"] for r in seen.where("kept < other").select("entity", "kept").collect()}
+    entity = F.col("entity")
+    if clashes:
+        kept = F.create_map(*[F.lit(x).cast("long") for item in clashes.items() for x in item])[entity]
+        entity = F.when(kept != F.col("second"), F.col("second")).otherwise(entity)
+    return described.select("key", entity.alias("entity"), "size"), clashes
 
 
 def cell_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -164,7 +190,7 @@ def _repeated(values: np.ndarray, least: int) -> np.ndarray:
     return distinct[counts >= least]
 
 
-def frequent_shingles(documents: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(documents: DataFrame, buckets: int, clashes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than ``FREQUENT`` distinct sets have in their windows by hash order, and the logarithms of their counts.
 
     A task sends each set's window once however many rows have it, and each shingle once with its count.
@@ -184,7 +210,7 @@ def frequent_shingles(documents: DataFrame, buckets: int) -> tuple[np.ndarray, n
         for batch in small_batches(batches):
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
-                if len(s) and (e := _entity(s)) not in seen:
+                if len(s) and (e := _entity(s, clashes)) not in seen:
                     if len(seen) < SEEN_SETS:
                         seen.add(e)
                     held.append(s[: window_size(len(s))])
@@ -215,7 +241,7 @@ def frequent_shingles(documents: DataFrame, buckets: int) -> tuple[np.ndarray, n
     return shingles[order], np.log2(top["n"].to_numpy(np.float64)[order]).astype(np.uint8)
 
 
-def cells(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[DataFrame, DataFrame]:
+def cells(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, clashes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """``mark, chunk, members`` of each cell with two entities or more, once for each membership; and each entity's windows.
 
     A cell of many members has several chunks. The second table has ``entity, size, parities``, where ``parities`` are those of the intersections with the large pivots.
@@ -243,7 +269,7 @@ def cells(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets
             described = []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
-                if not len(s) or (e := _entity(s)) in seen:
+                if not len(s) or (e := _entity(s, clashes)) in seen:
                     continue
                 if len(seen) < SEEN_SETS:
                     seen.add(e)
@@ -457,7 +483,7 @@ def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _batch(["a", "b"], [pa.array(a, pa.int64()), pa.array(b, pa.int64())])
 
 
-def verified(pairs: DataFrame, holders: DataFrame, documents: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, holders: DataFrame, documents: DataFrame, clashes: dict[int, int]) -> DataFrame:
     """``a, b`` of the pairs whose whole texts are within the radius. ``holders``: ``entity, key``, one document each."""
     key = lambda side: holders.select(F.col("entity").alias(side), F.col("key").alias(f"key_{side}"))
     named = pairs.join(key("a"), "a").join(key("b"), "b")
@@ -471,7 +497,7 @@ def verified(pairs: DataFrame, holders: DataFrame, documents: DataFrame) -> Data
                 if last[0] != x:
                     last = (x, shingle_set(x))
                 other = shingle_set(y)
-                if (_entity(last[1]), _entity(other)) != (a, b):  # another text under the same key
+                if (_entity(last[1], clashes), _entity(other, clashes)) != (a, b):  # another text under the same key
                     keep.append(False)
                     continue
                 shared = len(np.intersect1d(last[1], other, assume_unique=True))
@@ -527,7 +553,7 @@ def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield _batch(["entity", "n"], [ids[counts > 0], counts[counts > 0]])
 
 
-def link_counts(labels: DataFrame, links: DataFrame, holders: DataFrame, documents: DataFrame) -> DataFrame:
+def link_counts(labels: DataFrame, links: DataFrame, holders: DataFrame, documents: DataFrame, clashes: dict[int, int]) -> DataFrame:
     """``entity, n``: the rows with other sets that each set of a class links with; sets without any may lack.
 
     ``labels``: ``entity, component``; ``links``: ``a, b``; ``holders``: ``entity, key, n_rows``. Pairs of blocks are made
@@ -539,7 +565,7 @@ def link_counts(labels: DataFrame, links: DataFrame, holders: DataFrame, documen
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = [shingle_set(x) for x in batch.column(3).to_pylist()]
-            own = pa.array([_entity(s) == e for s, e in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())  # not another text under the same key
+            own = pa.array([_entity(s, clashes) == e for s, e in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())  # not another text under the same key
             columns = [*(batch.column(k) for k in range(3)), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
             yield _batch(["entity", "component", "n_rows", "size", "shingles"], [c.filter(own) for c in columns])
 
@@ -567,11 +593,11 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).cast("binary").alias("text"))
-    described = materialize(describe(rows), "jaccard-documents")
+    described, clashes = told_apart(materialize(describe(rows), "jaccard-documents"))
     total = described.agg(F.sum("size")).first()[0] or 0
     buckets = max(8 * partitions(spark), total // 5 // BUCKET_ENTRIES)
     holders = materialize(described.where("entity is not null and key is not null").groupBy("entity").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_rows")), "jaccard-holders")
-    found, entities = cells(rows, frequent_shingles(rows, buckets), buckets)
+    found, entities = cells(rows, frequent_shingles(rows, buckets, clashes), buckets, clashes)
     everywhere = materialize(placed(found), "jaccard-placed")
     nodes = entities.select("entity")
     links = tested = None
@@ -582,7 +608,7 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
-        new = materialize(verified(pairs, holders, rows), "jaccard-verified")
+        new = materialize(verified(pairs, holders, rows, clashes), "jaccard-verified")
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if new.limit(1).count():
@@ -591,7 +617,7 @@ def jaccard_classes(documents: DataFrame, text: str = "text", key: str = "doc_id
     if not counts:
         named = materialize(labels.join(lowest, "component").select("entity", "component_id"), "jaccard-named")
         return described.join(named, "entity", "left").select("key", F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
-    degree = link_counts(labels, links, holders, rows)
+    degree = link_counts(labels, links, holders, rows, clashes)
     n_links = (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_links")
     named = labels.join(lowest, "component").join(holders.select("entity", "n_rows"), "entity").join(degree, "entity", "left")
     named = materialize(named.select("entity", "component_id", n_links), "jaccard-named")
