@@ -19,6 +19,8 @@ from vigia.llm.tokenizer import encoder_from_json, with_end
 #: Pieces that one population packs; a larger table has more such groups, each of about this size.
 GROUP_PIECES = 4000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 3, 16, 6, 2
+#: Items that the generations of an epoch place, about: larger groups have fewer generations, six at ``GROUP_PIECES``.
+WORK = 24_000
 #: Items of a bin, and displaced ones, that a search for a better filling looks at.
 SWAPS = 40
 #: Bins of at least this fill are what crossover passes on, and what stays closed before the second round.
@@ -193,7 +195,7 @@ def evolve(lengths: list[int], capacity: int, elites: list[list[int]], seed: int
         half = rng.random(len(items)) < 0.5
         people.append(Packing(lengths, capacity).filled([i for i in items if half[i]]).filled([i for i in items if not half[i]]))
     people.sort(key=Packing.fitness, reverse=True)
-    for _ in range(GENERATIONS):
+    for _ in range(max(1, min(GENERATIONS, WORK // max(1, len(lengths))))):
         if len(people[0].bins) == least:
             break
         a, b = rng.permutation(min(4, len(people)))[:2]
