@@ -20,14 +20,9 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 MIN_WORDS = 10
 MAX_REPEATED = (20, 100)
-#: Texts with fewer words than this get no verdict from the histograms.
-GUARD_WORDS = 50
-#: Jensen-Shannon distances (base 2) above which a text is rejected.
-MAX_CHARACTER_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
-#: Fewest words of each length band. Noise of the distances falls with length.
+#: Fewest words of each length band; shorter texts get no verdict from the histograms. Noise of the distances falls with length.
 BANDS = (50, 75, 100, 150, 200, 300, 500, 1000)
-#: Distances above which a text of a band is rejected: the largest of a clean labelled text of the language at sf0.1
+#: Jensen-Shannon distances (base 2) above which a text of a band is rejected: the largest of a clean labelled text of the language at sf0.1
 #: in this or a longer band, and 0.04 more.
 MAX_DISTANCES = {
     "en": {"chars": (0.28, 0.27, 0.26, 0.24, 0.2, 0.2, 0.17, 0.17), "commons": (0.36, 0.33, 0.3, 0.27, 0.25, 0.21, 0.17, 0.13)},
@@ -127,16 +122,17 @@ def _limit(name: str) -> Column:
     return found
 
 
-def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", banded: bool = True) -> DataFrame:
-    """The base rule and the method's verdict on each text; one row for each row, copies included.
+def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The base rule and the method's verdict on each text; one row for each row, copies and null keys included.
 
     References are the histograms of all texts of a language in ``COMMON_WORDS``. A text is rejected when its
     characters or its common words diverge too far from its language's, by the limits of its language and
-    length (``banded``) or by one limit each as in ``OP9_SQL``. With ``banded``, a text without any common word is
-    rejected, too: about every fifth word is one. Null texts count as empty and fail the base rule. Short texts and texts of other or null languages get no verdict from the histograms. The only
-    shuffle is that of one partial sum for each task and language; the references are at most one row for
-    each language listed.
+    length, or when it has no common word at all: about every fifth word is one. Null texts count as empty and fail the
+    base rule; an empty table gives no rows. Short texts and texts of other or null languages, or all texts where the
+    table has no such column, get no verdict from the histograms. The only shuffle is that of one partial sum for each
+    task and language; the references are at most one row for each language listed.
     """
+    documents = documents if lang in documents.columns else documents.withColumn(lang, F.lit(None).cast("string"))
     rows = materialize(measured(documents, text, key, lang), "quality-measured")
     n_chars, n_commons = len(CHARACTER_CLASSES) + 1, len(WORDS) + 1
     listed = rows.where(F.col("lang").isin(list(COMMON_WORDS)))
@@ -148,18 +144,15 @@ def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_i
     apart = both.withColumns({"char_distance": _distance(F.col("chars"), F.col("ref_chars")), "word_distance": _distance(F.col("commons"), F.col("ref_commons"))})
     n = F.col("n_words")
     base_failed = (n < MIN_WORDS) | (MAX_REPEATED[1] * F.col("n_repeat_words") > MAX_REPEATED[0] * n)
-    if banded:
-        bare = F.col("commons")[n_commons - 1] == n
-        apart = apart.withColumns({"max_char": _limit("chars"), "max_word": _limit("commons")})
-        beyond = (F.col("char_distance") > F.col("max_char")) | (F.col("word_distance") > F.col("max_word"))
-        diverges = F.coalesce(F.col("max_word").isNotNull() & (bare | beyond), F.lit(False))
-    else:
-        diverges = (n >= GUARD_WORDS) & ((F.coalesce("char_distance", F.lit(0.0)) > MAX_CHARACTER_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE))
+    bare = F.col("commons")[n_commons - 1] == n
+    apart = apart.withColumns({"max_char": _limit("chars"), "max_word": _limit("commons")})
+    beyond = (F.col("char_distance") > F.col("max_char")) | (F.col("word_distance") > F.col("max_word"))
+    diverges = F.coalesce(F.col("max_word").isNotNull() & (bare | beyond), F.lit(False))
     return apart.select("key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~diverges).alias("kept"), "char_distance", "word_distance")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_verdicts(table(spark, sf_dir, "documents"), banded=False)
+    found = quality_verdicts(table(spark, sf_dir, "documents"))
     return found.drop("char_distance", "word_distance").withColumnRenamed("key", "doc_id")
 
 
@@ -170,6 +163,7 @@ def _sql() -> str:
     chars = [f"c{k}" for k in range(len(classes) + 1)]
     commons = [f"w{k}" for k in range(len(WORDS) + 1)]
     distance = lambda names: "sqrt(greatest((" + " + ".join(f"(CASE WHEN p.{c} > 0 THEN p.{c} * log2(2 * p.{c} / (p.{c} + q.{c})) ELSE 0 END + CASE WHEN q.{c} > 0 THEN q.{c} * log2(2 * q.{c} / (p.{c} + q.{c})) ELSE 0 END)" for c in names) + ") / 2, 0))"
+    limit = lambda name: "CASE " + " ".join(f"WHEN p.lang = {quote(k)} AND n_words >= {n} THEN {x}" for k, v in MAX_DISTANCES.items() for n, x in reversed(list(zip(BANDS, v[name], strict=True)))) + " END"
     share = lambda names: ", ".join(f"{c} / nullif({' + '.join(names)}, 0)::DOUBLE AS {c}" for c in names)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -187,11 +181,11 @@ refs AS (SELECT lang, {", ".join(f"sum({c}) AS {c}" for c in chars + commons)} F
 q AS (SELECT lang, {share(chars)}, {share(commons)} FROM refs),
 p AS (SELECT r, doc_id, lang, n_words, word_chars, {chars[list(CHARACTER_CLASSES).index("symbol")]} AS n_symbols, n_dup_lines, n_repeat_words,
   {", ".join(f"{c} / nullif({' + '.join(names)}, 0)::DOUBLE AS {c}x" for names in (chars, commons) for c in names)} FROM f),
-v AS (SELECT p.*, q.lang IS NOT NULL AS known, {distance(chars)} AS cd, {distance(commons)} AS wd FROM (SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(f"{c}x AS {c}" for c in chars + commons)} FROM p) p LEFT JOIN q ON p.lang = q.lang)
+v AS (SELECT p.*, {limit("chars")} AS max_char, {limit("commons")} AS max_word, p.{commons[-1]} = 1 AS bare, {distance(chars)} AS cd, {distance(commons)} AS wd FROM (SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(f"{c}x AS {c}" for c in chars + commons)} FROM p) p LEFT JOIN q ON p.lang = q.lang)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   (n_words < {MIN_WORDS} OR {MAX_REPEATED[1]} * n_repeat_words > {MAX_REPEATED[0]} * n_words) AS base_failed,
   NOT (n_words < {MIN_WORDS} OR {MAX_REPEATED[1]} * n_repeat_words > {MAX_REPEATED[0]} * n_words)
-  AND NOT (n_words >= {GUARD_WORDS} AND known AND (coalesce(cd, 0) > {MAX_CHARACTER_DISTANCE} OR coalesce(wd, 0) > {MAX_WORD_DISTANCE})) AS kept
+  AND NOT coalesce(max_word IS NOT NULL AND (bare OR cd > max_char OR wd > max_word), false) AS kept
 FROM v
 """
 
