@@ -360,6 +360,16 @@ def test_jaccard_join_counts_all_links(spark, monkeypatch):
     assert max(n for _, n in want) > 20
 
 
+def test_sets_with_one_number_are_told_apart(spark):
+    sets = [np.array([k], np.uint64) for k in range(3)]
+    first, second = jaccard_join._digests(sets[0])
+    rows = [(1, first, 5, 9), (2, first, 5, 9), (3, first, 7, 9), (4, 11, 1, 2), (5, None, None, 0)]
+    got, clashes = jaccard_join.told_apart(spark.createDataFrame(rows, "key long, entity long, second long, size long"))
+    assert {r["key"]: r["entity"] for r in got.collect()} == {1: first, 2: first, 3: 7, 4: 11, 5: None} and clashes == {first: 5}
+    assert jaccard_join._entity(sets[0], {}) == first and jaccard_join._entity(sets[0], {first: second}) == first
+    assert jaccard_join._entity(sets[0], {first: second - 1}) == second and len({jaccard_join._entity(s, {}) for s in sets}) == 3
+
+
 def test_jaccard_windows_lose_no_link():
     rng = np.random.default_rng(3)
     parities = lambda x: np.frombuffer(jaccard_join.pivot_parities(np.sort(x)), np.uint64)

@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import brute_classes, check_packing, empty, odd
+from vigia.llm import common
 from vigia.llm.quality_rules import quality_verdicts
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,16 @@ def test_stages(spark, tmp_path):
         docs = out
 
 
+def test_run_leaves_only_its_stages(spark):
+    before = common.scratch_tables()
+    other = common.materialize(spark.range(3), "other")
+    rows = corpus_pipeline.run(spark, SF)
+    assert common.scratch_tables() - before == {next(iter(common.scratch_tables() - before))} and other.count() == 3
+    assert rows.count() > 0 and rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    common.remove(other)
+    assert common.scratch_tables() == before
+
+
 def test_odd_and_empty_tables(spark, tmp_path):
     docs = odd(spark)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigia.operators.ordered import scratch_root
+
 #: The characters that separate words in every contract of this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -25,21 +26,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary
-    folder of this machine is made and set.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_vigia_scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="vigia-")
-        context._vigia_scratch = root
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -49,17 +35,37 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of this process that are still there, the oldest first.
+_written: list[str] = []
+
+
+def scratch_tables() -> set[str]:
+    """The scratch tables that are there now."""
+    return set(_written)
+
+
+def clear_scratch(spark: SparkSession, keep: set[str]) -> None:
+    """Delete the tables that ``materialize`` wrote, but for ``keep``; call it when the results made of them are written."""
+    for path in [p for p in _written if p not in keep]:
+        _written.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    root, jvm = scratch_root(spark), spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.removeprefix("file:").lstrip("/") in path:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for path in [p for p in _written if p.rsplit("/", 1)[-1] in names]:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
