@@ -105,7 +105,8 @@ def token_counts(documents: DataFrame, vocabulary_path: str, text: str = "text",
     """Word and greedy word-piece counts of each text.
 
     Words are runs of characters other than ASCII white space. Null and empty texts have no words and no
-    tokens. Repeated rows each keep a row; other columns are not looked at. The result has the columns
+    tokens. Repeated rows and rows without a key each keep a row; an empty table gives none; other columns are not
+    looked at. The result has the columns
     ``key``, ``n_words`` and ``n_tokens``. There is no shuffle.
     """
     with open(vocabulary_path, encoding="utf-8") as file:
