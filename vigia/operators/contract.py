@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigia.functions.scalar import micros, safe_percent, utc_time
+from vigia.operators.ordered import quantiles
 
 REQUIRED = ["Tag", "Frota", "Tipo", "Inicio", "Fim"]
 # Columns that say something about the label, and columns that aren't modelled for other reasons.
@@ -62,15 +63,19 @@ def align_features(df: DataFrame, expected: list[str], allow_missing: bool = Fal
     return df.select(*others, *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in expected])
 
 
-def violations(batch: DataFrame) -> DataFrame:
-    """``column, check, failure_case`` for each value of an inference batch that breaks the contract."""
+def broken_rules(batch: DataFrame):
+    """A column with the ``column, check, failure_case`` of each rule of the contract that a row breaks."""
     rules = [("Tag", "not_null", F.col("Tag").isNull()), ("Fim", "not_null", F.col("Fim").isNull()), ("Fim", "year_2000_2100", ~F.year("Fim").between(2000, 2100))]
     for name, low, high in (("duracao_ciclo_min", 0, None), ("n_alertas_4h", 0, None), ("dias_desde_ultimo_alerta", 0, 3650)):
         if name in batch.columns:
             value = F.col(name).cast("double")
             rules.append((name, f"in_range_{low}_{high if high is not None else 'inf'}", (value < low) | (value > high) if high is not None else value < low))
-    broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(c).alias("column"), F.lit(check).alias("check"), F.col(c).cast("string").alias("failure_case"))) for c, check, bad in rules]))
-    return batch.select(F.explode(broken).alias("v")).select("v.*")
+    return F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(c).alias("column"), F.lit(check).alias("check"), F.col(c).cast("string").alias("failure_case"))) for c, check, bad in rules]))
+
+
+def violations(batch: DataFrame) -> DataFrame:
+    """``column, check, failure_case`` for each value of an inference batch that breaks the contract."""
+    return batch.select(F.explode(broken_rules(batch)).alias("v")).select("v.*")
 
 
 def validate_batch(batch: DataFrame) -> DataFrame:
@@ -83,11 +88,34 @@ def validate_batch(batch: DataFrame) -> DataFrame:
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """``coluna, tipo, nulos, null_pct, distintos`` for each column, in one pass."""
-    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count_if(F.col(c).isNull()).alias("nulos"), F.countDistinct(c).alias("distintos")).alias(f"c_{c}") for c in df.columns])
+    """``coluna, tipo, nulos, null_pct, distintos`` for each column.
+
+    Values are counted by column and value on the map side, so rows aren't copied for each column's distinct count.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.lit(kinds[c]).alias("tipo"), F.col(f"c_{c}.nulos").alias("nulos"), F.col(f"c_{c}.distintos").alias("distintos")) for c in df.columns])).alias("x")
-    return wide.select("n", each).select("x.coluna", "x.tipo", "x.nulos", safe_percent(F.col("x.nulos"), F.col("n")).alias("null_pct"), "x.distintos")
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "coluna", "valor")
+    counted = texts.groupBy("coluna", "valor").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.groupBy("coluna").agg(F.coalesce(F.sum(F.when(F.col("valor").isNull(), F.col("n"))), F.lit(0)).alias("nulos"), F.sum("n").alias("n"), F.count("valor").alias("distintos"))
+    names = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
+    return per.select("coluna", names[F.col("coluna")].alias("tipo"), "nulos", safe_percent(F.col("nulos"), F.col("n")).alias("null_pct"), "distintos")
+
+
+def numeric_describe(df: DataFrame) -> DataFrame:
+    """``coluna, n, media, desvio, minimo, q1, mediana, q3, maximo`` of each numeric column."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "coluna", "valor").where("valor is not null")
+    base = long.groupBy("coluna").agg(F.count(F.lit(1)).alias("n"), F.avg("valor").alias("media"), F.stddev_samp("valor").alias("desvio"), F.min("valor").alias("minimo"), F.max("valor").alias("maximo"))
+    q = quantiles(long, "valor", [0.25, 0.5, 0.75], ["coluna"])
+    return base.join(F.broadcast(q), "coluna").select("coluna", "n", "media", "desvio", "minimo", *[F.get("q", F.lit(k)).alias(x) for k, x in enumerate(("q1", "mediana", "q3"))], "maximo")
+
+
+def excluded_columns(df: DataFrame) -> DataFrame:
+    """``grupo, colunas, n``: columns that aren't modelled, by the reason."""
+    modelled = set(feature_columns(df))
+    group = lambda c: "vazamento" if c in LEAKAGE else "nao_modelavel" if c in NOT_MODELLED else "nao_numerica"
+    rows = [(group(c), c) for c in df.columns if c not in modelled]
+    found = df.sparkSession.createDataFrame(rows, "grupo string, coluna string")
+    return found.groupBy("grupo").agg(F.array_join(F.sort_array(F.collect_list("coluna")), ",").alias("colunas"), F.count(F.lit(1)).alias("n"))
 
 
 def temporal_profile(df: DataFrame, time: str = "Fim", tag: str = "Tag") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import number_or_null
+from vigia.operators.ordered import ordered_counts, quantiles_of, written
 
 EPSILON = 1e-6
 MAX_DISCRETE = 25
@@ -24,14 +25,13 @@ def long_values(df: DataFrame, features: list[str]) -> DataFrame:
 def reference_edges(df: DataFrame, features: list[str], bins: int = BINS) -> DataFrame:
     """``feature, edges``: a bin for each of up to 25 distinct values, else quantile bins; open at both ends.
 
-    A constant feature has one narrow bin. Distinct values are counted on partial aggregates and listed only
-    where there are few of them.
+    A constant feature has one narrow bin. The values are counted once, and listed only where there are few of them.
     """
-    values = long_values(df, features)
-    places = ", ".join(repr(k / bins) for k in range(bins + 1))
-    few = values.groupBy("feature", "value").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count(F.lit(1)).alias("distinct"))
-    small = values.join(F.broadcast(few.where(F.col("distinct") <= MAX_DISCRETE)), "feature").groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("v"))
-    large = values.join(F.broadcast(few.where(F.col("distinct") > MAX_DISCRETE)), "feature").groupBy("feature").agg(F.array_distinct(F.expr(f"percentile(value, array({places}))")).alias("v"))
+    counts = ordered_counts(long_values(df, features), ["value"], ["feature"])
+    few = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct"))
+    small = counts.join(F.broadcast(few.where(F.col("distinct") <= MAX_DISCRETE)), "feature").groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("v"))
+    many = counts.join(F.broadcast(few.where(F.col("distinct") > MAX_DISCRETE)), "feature")
+    large = quantiles_of(many, "value", [k / bins for k in range(bins + 1)], ["feature"]).select("feature", F.array_distinct("q").alias("v"))
     inf = F.lit(float("inf"))
     middle = F.transform(F.sequence(F.lit(1), F.size("v") - 1), lambda i: (F.get("v", i - 1) + F.get("v", i)) / 2)
     constant = F.array(F.get("v", F.lit(0)), F.get("v", F.lit(0)) + EPSILON)
@@ -67,7 +67,7 @@ def bin_proportions(df: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reference_profile(df: DataFrame, features: list[str], bins: int = BINS) -> DataFrame:
     """``feature, edges, proportions``; derived encodings are left out, features without values have no row."""
-    edges = reference_edges(df, [f for f in features if f not in DERIVED], bins)
+    edges = written(reference_edges(df, [f for f in features if f not in DERIVED], bins), "edges")
     parts = bin_proportions(df, edges).groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("proportions"))
     return edges.join(parts, "feature")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import micros
+from vigia.operators.ordered import ordered_counts, rows_at_places
 
 TARGET = "target_4h"
 ONE_HOT = ("Frota", "Tipo")
@@ -77,21 +78,20 @@ def transform_if_needed(batch: DataFrame, encoder: dict[str, DataFrame]) -> Data
 def time_blocks(df: DataFrame, time: str, blocks: int) -> DataFrame:
     """``block`` from 1: equal numbers of rows in order of time and ``Id``, earlier blocks one longer if need be.
 
-    Rows are numbered without sorting them all in one task: a range partitioning orders them, and each
-    partition's count gives the number that the next one starts from.
+    The first row of each block is an exact order statistic, so rows are only compared with as many bounds as there
+    are blocks. ``Id`` tells rows of one time apart.
     """
-    order = W.partitionBy("_p").orderBy("_us", "Id")
-    numbered = df.withColumn("_us", micros(df, time)).repartitionByRange(F.col("_us"), F.col("Id")).withColumn("_p", F.spark_partition_id())
-    numbered = numbered.withColumn("_k", F.row_number().over(order))
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select("_p", before.alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_n"))
-    ranked = numbered.join(F.broadcast(starts), "_p").withColumn("_k", F.col("_before") + F.col("_k") - 1)
-    # The first n % blocks blocks have one row more.
-    size, extra = F.floor(F.col("_n") / blocks), F.col("_n") % blocks
-    long = extra * (size + 1)
-    block = F.when(F.col("_k") < long, F.floor(F.col("_k") / (size + 1))).otherwise(extra + F.floor((F.col("_k") - long) / F.greatest(size, F.lit(1))))
-    return ranked.withColumn("block", (block + 1).cast("int")).drop("_us", "_p", "_k", "_before", "_n")
+    us = micros(df, time)
+    counts = ordered_counts(df.select(us.alias("us"), "Id"), ["us", "Id"])
+    n = counts.agg(F.max("total")).first()[0] or 0
+    # The first n % blocks blocks have one row more; of empty blocks there is no row.
+    firsts = [k * (n // blocks) + min(k, n % blocks) for k in range(1, blocks)]
+    places = [p for p in firsts if p < n]
+    bounds = rows_at_places(counts, ["us", "Id"], places) if places else []
+    block = F.lit(1)
+    for t, i in bounds:
+        block = block + ((us > t) | ((us == t) & (F.col("Id") >= i))).cast("int")
+    return df.withColumn("block", F.coalesce(block, F.lit(1)).cast("int"))
 
 
 def out_of_fold_target(train: DataFrame, time: str = "Fim", blocks: int = 5, column: str = "Classe") -> DataFrame:
@@ -115,18 +115,23 @@ def _with_history(rows: DataFrame, seen: DataFrame, history: DataFrame) -> DataF
 def expanding_target(df: DataFrame, time: str = "Fim", column: str = "Classe") -> DataFrame:
     """Mean target of the class over earlier rows, by time and ``Id``; without any, that of all earlier rows, or 0.
 
-    The running sums of all rows come from running sums inside days and the totals of the days before.
+    The running sums, of all rows and of a class, come from running sums inside days and the totals of the days before,
+    so no task sees more than a day.
     """
     us = micros(df, time)
-    keyed = df.withColumns({"_us": us, "_day": F.floor(us / 86_400_000_000)})
-    inside = W.partitionBy("_day").orderBy("_us", "Id").rowsBetween(W.unboundedPreceding, -1)
-    days = keyed.groupBy("_day").agg(F.sum(TARGET).alias("s"), F.count(F.lit(1)).alias("n"))
-    earlier = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    starts = days.select("_day", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n0"))
-    own = W.partitionBy(column).orderBy("_us", "Id").rowsBetween(W.unboundedPreceding, -1)
-    out = keyed.withColumns({"_s": F.coalesce(F.sum(TARGET).over(inside), F.lit(0)), "_n": F.count(F.lit(1)).over(inside), "_mean": F.avg(TARGET).over(own)}).join(F.broadcast(starts), "_day", "left")
-    prior = F.try_divide((F.col("_s0") + F.col("_s")).cast("double"), F.col("_n0") + F.col("_n"))
-    return out.withColumn("Classe_target_enc", F.coalesce("_mean", prior, F.lit(0.0))).drop("_us", "_day", "_s", "_n", "_mean", "_s0", "_n0")
+    keyed = df.withColumns({"_us": us, "_day": F.floor(us / 86_400_000_000), "_v": F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))})
+    totals = keyed.groupBy("_v", "_day").agg(F.sum(TARGET).alias("s"), F.count(F.lit(1)).alias("n"))
+    earlier = lambda by: W.partitionBy(*by).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda name, by: F.coalesce(F.sum(name).over(earlier(by)), F.lit(0))
+    of_class = totals.select("_v", "_day", before("s", ["_v"]).alias("_cs0"), before("n", ["_v"]).alias("_cn0"))
+    days = totals.groupBy("_day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("_one", F.lit(0))
+    of_all = days.select("_day", before("s", ["_one"]).alias("_s0"), before("n", ["_one"]).alias("_n0"))
+    inside = lambda by: W.partitionBy(*by).orderBy("_us", "Id").rowsBetween(W.unboundedPreceding, -1)
+    target, one = lambda by: F.coalesce(F.sum(TARGET).over(inside(by)), F.lit(0)), F.count(F.lit(1))
+    out = keyed.withColumns({"_s": target(["_day"]), "_n": one.over(inside(["_day"])), "_cs": target(["_v", "_day"]), "_cn": one.over(inside(["_v", "_day"]))})
+    out = out.join(of_all, "_day", "left").join(of_class, ["_v", "_day"], "left")
+    mean = lambda s, n: F.try_divide((F.col(f"{s}0") + F.col(s)).cast("double"), F.col(f"{n}0") + F.col(n))
+    return out.select(*df.columns, F.coalesce(mean("_cs", "_cn"), mean("_s", "_n"), F.lit(0.0)).alias("Classe_target_enc"))
 
 
 def align_columns(df: DataFrame, reference: list[str]) -> DataFrame:

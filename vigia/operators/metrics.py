@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import safe_divide
+from vigia.operators.ordered import quantiles
 
 TARGET = "target_4h"
 #: Ranges that scores are cut into for running sums, so that no task sees all distinct scores.
@@ -74,9 +75,8 @@ def binary_metrics(scored: DataFrame, by: list[str] | None = None, threshold: Co
 
 def threshold_curve(scored: DataFrame, points: int = 101) -> DataFrame:
     """Metrics at each distinct quantile of the scores: predicted rate, precision, recall, F1, FP and FN."""
-    places = ", ".join(repr(k / (points - 1)) for k in range(points))
     usable = scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    marks = usable.agg(F.expr(f"percentile(score, array({places}))").alias("q")).select(F.explode(F.array_distinct("q")).alias("threshold"))
+    marks = quantiles(usable, "score", [k / (points - 1) for k in range(points)]).select(F.explode(F.array_distinct("q")).alias("threshold"))
     counts = score_counts(usable)
     totals = counts.agg(F.max("total_n").alias("t_n"), F.max("total_pos").alias("t_p"))
     # There are at most ``points`` thresholds: each score is counted to those at or below it.

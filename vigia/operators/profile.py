@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import safe_percent
+from vigia.operators.ordered import ordered_counts, quantiles
 
 TARGET = "target_4h"
 # Families of features, by their names.
@@ -20,9 +21,13 @@ RECENCY = ["dias_desde_ultimo_alerta", "nivel_maximo_evento_recente", "n_precond
 def summary(labeled: DataFrame) -> DataFrame:
     """Counts, distinct keys, positive rate, period and duration statistics in one row."""
     d = F.col("duracao_ciclo_min")
-    return labeled.agg(
-        F.count(F.lit(1)).alias("ciclos"), F.countDistinct("Tag").alias("tags"), F.countDistinct("Frota").alias("frotas"), F.countDistinct("Classe").alias("classes"), F.sum(TARGET).alias("positivos"), F.avg(TARGET).alias("taxa_positiva"), F.min("Fim").alias("inicio"), F.max("Fim").alias("fim"), F.avg(d).alias("duracao_media"), F.expr("percentile(duracao_ciclo_min, 0.5)").alias("duracao_mediana"), F.expr("percentile(duracao_ciclo_min, 0.95)").alias("duracao_p95")
-    )
+    # Distinct values are counted one column at a time, on partial aggregates, instead of copying the rows for each.
+    kinds = labeled.select(*[F.col(c).cast("string") for c in ("Tag", "Frota", "Classe")]).unpivot([], ["Tag", "Frota", "Classe"], "column", "value").distinct()
+    kinds = kinds.agg(*[F.count_if((F.col("column") == c) & F.col("value").isNotNull()).alias(name) for c, name in (("Tag", "tags"), ("Frota", "frotas"), ("Classe", "classes"))])
+    rest = labeled.agg(F.count(F.lit(1)).alias("ciclos"), F.sum(TARGET).alias("positivos"), F.avg(TARGET).alias("taxa_positiva"), F.min("Fim").alias("inicio"), F.max("Fim").alias("fim"), F.avg(d).alias("duracao_media"))
+    q = quantiles(labeled, "duracao_ciclo_min", [0.5, 0.95]).select(F.get("q", F.lit(0)).alias("duracao_mediana"), F.get("q", F.lit(1)).alias("duracao_p95"))
+    out = rest.join(F.broadcast(kinds)).join(F.broadcast(q), how="left")
+    return out.select("ciclos", "tags", "frotas", "classes", "positivos", "taxa_positiva", "inicio", "fim", "duracao_media", "duracao_mediana", "duracao_p95")
 
 
 def rate_by_category(df: DataFrame, column: str, top: int = 15, min_rows: int = 20) -> DataFrame:
@@ -85,7 +90,7 @@ def box_stats(df: DataFrame, column: str = "duracao_ciclo_min", by: str = "Class
     """Quartiles and whiskers (1.5 times the quartile range, cut to values there are) of the most frequent values."""
     frequent = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(top)
     rows = df.join(F.broadcast(frequent.select(by)), by)
-    q = rows.groupBy(by).agg(F.expr(f"percentile({column}, array(0.25, 0.5, 0.75))").alias("q"))
+    q = quantiles(rows, column, [0.25, 0.5, 0.75], [by])
     marks = q.select(by, *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = rows.join(F.broadcast(marks), by).where((F.col(column) >= F.col("q1") - reach) & (F.col(column) <= F.col("q3") + reach))
@@ -94,7 +99,7 @@ def box_stats(df: DataFrame, column: str = "duracao_ciclo_min", by: str = "Class
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
     """Rows beyond 1.5 quartile ranges of the quartiles."""
-    q = df.agg(F.expr(f"percentile({column}, array(0.25, 0.75))").alias("_q")).select(F.get("_q", F.lit(0)).alias("_a"), F.get("_q", F.lit(1)).alias("_b"))
+    q = quantiles(df, column, [0.25, 0.75]).select(F.get("q", F.lit(0)).alias("_a"), F.get("q", F.lit(1)).alias("_b"))
     reach = 1.5 * (F.col("_b") - F.col("_a"))
     return df.join(F.broadcast(q)).where((F.col(column) < F.col("_a") - reach) | (F.col(column) > F.col("_b") + reach)).drop("_a", "_b")
 
@@ -114,15 +119,9 @@ def top_correlated(df: DataFrame, columns: list[str], target: str = TARGET, top:
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """``value, rank`` of the distinct values, ties sharing the mean of their places.
-
-    Counts by value come first; running sums run inside ranges of the value, carried over the ranges.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("_p", F.spark_partition_id())
-    starts = parts.groupBy("_p").agg(F.sum("n").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("n").over(W.partitionBy("_p").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return parts.withColumn("_upto", inside).join(F.broadcast(starts), "_p").select("value", (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2).alias("rank"))
+    """``value, rank`` of the distinct values, ties sharing the mean of their places."""
+    counts = ordered_counts(df.select(F.col(column).cast("double").alias("value")), ["value"])
+    return counts.select("value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -46,17 +46,18 @@ def recommended_action(band: Column) -> Column:
     return F.when(band.isin(BANDS[:2]), ACTIONS[0]).when(band == BANDS[2], ACTIONS[1]).otherwise(ACTIONS[2])
 
 
-def daily_priority(scored: DataFrame, top_k: int = 15) -> DataFrame:
-    """The top K tags of each UTC day, each with its best row of the day.
+def daily_priority(scored: DataFrame, top_k: int = 15, by: list[str] | None = None) -> DataFrame:
+    """The top K tags of each UTC day (and each value of ``by``), each with its best row of the day.
 
     Of equal scores the row with the smallest ``Id`` counts, and the tag that comes first. The best row is
     found by a partial aggregation, so a tag with many rows a day costs no more than others.
     """
     rows = with_segments(scored, ("Frota", "Tipo", "turno")).withColumn("motivo_principal", priority_reason(scored))
     rows = rows.withColumn("data", F.to_date("Fim")).where("data is not null and Tag is not null and score is not null")
+    by = by or []
     kept = F.struct("threshold", "Frota", "Tipo", "turno", "motivo_principal")
-    best = rows.groupBy("data", "Tag").agg(F.max_by(F.struct("score", kept.alias("r")), F.struct("score", -F.col("Id"))).alias("b")).select("data", "Tag", "b.score", "b.r.*")
-    top = best.withColumn("rank", F.row_number().over(W.partitionBy("data").orderBy(F.desc("score"), "Tag"))).where(F.col("rank") <= top_k)
+    best = rows.groupBy(*by, "data", "Tag").agg(F.max_by(F.struct("score", kept.alias("r")), F.struct("score", -F.col("Id"))).alias("b")).select(*by, "data", "Tag", "b.score", "b.r.*")
+    top = best.withColumn("rank", F.row_number().over(W.partitionBy(*by, "data").orderBy(F.desc("score"), "Tag"))).where(F.col("rank") <= top_k)
     band = risk_band(F.col("score"), F.col("threshold"), F.col("rank"))
     top = top.withColumn("risco_segmento", band).withColumn("acao_recomendada", recommended_action(F.col("risco_segmento")))
-    return top.select("data", "rank", "Tag", F.round("score", 6).alias("score"), "Frota", "Tipo", "turno", "motivo_principal", "risco_segmento", "acao_recomendada")
+    return top.select(*by, "data", "rank", "Tag", F.round("score", 6).alias("score"), "Frota", "Tipo", "turno", "motivo_principal", "risco_segmento", "acao_recomendada")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vigia.functions.scalar import DAY_US, HOUR_US, UNKNOWN, micros, safe_divide
 from vigia.operators.metrics import binary_metrics, score_counts
+from vigia.operators.ordered import quantiles
 
 TARGET = "target_4h"
 TOP_K = (3, 5, 10, 15, 20)
@@ -139,15 +140,24 @@ def cooldown_dedup(scored: DataFrame, hours: float = 4.0) -> DataFrame:
     """Predicted alerts of each tag at least so long after the last kept one, in order of time and ``Id``.
 
     Whether an alert is kept depends on all kept before. A pause of the whole cooldown ends a run of alerts, and
-    the alert after it is kept whatever came before, so runs are independent groups: they are
-    found by a window, and the greedy pass runs inside each, over sorted rows as they stream by.
+    the alert after it is kept whatever came before, so runs are independent groups, known by their first time. They
+    are found by windows inside a tag and a day, with one row for each tag and day carried over the days, and the
+    greedy pass runs inside each, over sorted rows as they stream by.
     """
     wait = int(hours * HOUR_US)
-    alerts = scored.where((F.col("prediction") == 1) & F.col("Fim").isNotNull())
-    order = W.partitionBy("Tag").orderBy("_us", "Id")
-    keyed = alerts.withColumn("_us", micros(alerts, "Fim"))
-    gap = F.col("_us") - F.lag("_us").over(order)
-    runs = keyed.withColumn("_run", F.sum(F.when(gap.isNull() | (gap >= wait), 1).otherwise(0)).over(order))
+    alerts = scored.where((F.col("prediction") == 1) & F.col("Fim").isNotNull() & F.col("Tag").isNotNull())
+    us = micros(alerts, "Fim")
+    keyed = alerts.withColumns({"_us": us, "_day": F.floor(us / DAY_US)})
+    order, days = W.partitionBy("Tag", "_day").orderBy("_us", "Id"), W.partitionBy("Tag").orderBy("_day")
+    # The last alert of the tag's day before this one that has any.
+    ends = keyed.groupBy("Tag", "_day").agg(F.max("_us").alias("_end")).select("Tag", "_day", F.lag("_end").over(days).alias("_last"))
+    gap = F.col("_us") - F.coalesce(F.lag("_us").over(order), F.col("_last"))
+    starts = keyed.join(ends, ["Tag", "_day"]).withColumn("_start", F.when(F.coalesce(gap >= wait, F.lit(True)), F.col("_us"))).drop("_last")
+    carried = starts.groupBy("Tag", "_day").agg(F.max("_start").alias("_latest"))
+    carried = carried.select("Tag", "_day", F.last("_latest", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max("_start").over(order.rowsBetween(W.unboundedPreceding, 0))
+    runs = starts.withColumn("_in", inside).join(carried, ["Tag", "_day"]).withColumn("_run", F.coalesce("_in", "_before")).drop("_start", "_in", "_before", "_day")
+    names = alerts.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields)
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +169,7 @@ def cooldown_dedup(scored: DataFrame, hours: float = 4.0) -> DataFrame:
                 chosen.append(kept)
                 if kept:
                     last = (tag, run, us)
-            yield frame[chosen].drop(columns=["_us", "_run"])
+            yield frame[chosen][names]
 
     dealt = runs.repartition("Tag", "_run").sortWithinPartitions("Tag", "_run", "_us", "Id")
     return dealt.mapInPandas(keep, kinds)
@@ -177,7 +187,7 @@ def dedup_summary(scored: DataFrame, split: str = "test", hours: float = 4.0) ->
 def extreme_false_negatives(scored: DataFrame, split: str = "test", percentile: float = 0.10) -> DataFrame:
     """Positives scored at or below the given percentile of positives, counted by fleet, type and class."""
     positives = with_segments(scored.where((F.col("split") == split) & (F.col(TARGET) == 1)), ("Frota", "Tipo", "Classe"))
-    mark = positives.agg(F.expr(f"percentile(score, {percentile!r})").alias("mark"))
+    mark = quantiles(positives, "score", [percentile]).select(F.get("q", F.lit(0)).alias("mark"))
     return positives.join(F.broadcast(mark), F.col("score") <= F.col("mark")).groupBy("Frota", "Tipo", "Classe").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import day_key, micros
+from vigia.operators.ordered import quantiles
 
 HIGH = ["alto_acima_threshold", "alto_por_ranking"]
 OPEN = ["pendente", "em_inspecao", "em_andamento"]
@@ -73,7 +74,9 @@ def risk_counts(board: DataFrame) -> DataFrame:
 def overview(priority: DataFrame, cycles: DataFrame, events: DataFrame, log: DataFrame, day: str) -> DataFrame:
     """Key figures of a day in one row."""
     a = priority.where(F.col("data").cast("string") == day).agg(F.count(F.lit(1)).alias("priority_count"), F.count_if(F.col("risco_segmento").isin(HIGH)).alias("high_risk_count"))
-    c = cycles.agg(F.count_if(F.col("data") == day).alias("cycle_count"), F.coalesce(F.sum(F.when(F.col("data") == day, F.col("target_4h"))), F.lit(0)).alias("positive_count"), F.countDistinct("Tag").alias("unique_tags"), F.countDistinct("Frota").alias("unique_fleets"))
+    kinds = cycles.select("Tag", "Frota").unpivot([], ["Tag", "Frota"], "column", "value").distinct()
+    kinds = kinds.agg(*[F.count_if((F.col("column") == x) & F.col("value").isNotNull()).alias(name) for x, name in (("Tag", "unique_tags"), ("Frota", "unique_fleets"))])
+    c = cycles.agg(F.count_if(F.col("data") == day).alias("cycle_count"), F.coalesce(F.sum(F.when(F.col("data") == day, F.col("target_4h"))), F.lit(0)).alias("positive_count")).join(F.broadcast(kinds))
     e = events.where(F.col("data") == day).agg(F.count(F.lit(1)).alias("critical_events"))
     o = latest_actions(log).agg(F.count_if(F.col("status").isin(OPEN)).alias("open_actions"))
     out = c.join(F.broadcast(a)).join(F.broadcast(e)).join(F.broadcast(o))
@@ -93,7 +96,7 @@ def processing(cycles: DataFrame, day: str | None = None, top_classes: int = 12)
 
 
 def duration_quantiles(cycles: DataFrame) -> DataFrame:
-    return cycles.agg(F.expr("percentile(duracao_ciclo_min, 0.5)").alias("mediana"), F.expr("percentile(duracao_ciclo_min, 0.95)").alias("p95"))
+    return quantiles(cycles, "duracao_ciclo_min", [0.5, 0.95]).select(F.get("q", F.lit(0)).alias("mediana"), F.get("q", F.lit(1)).alias("p95"))
 
 
 def latest_rows(df: DataFrame, time: str, n: int, tie: str) -> DataFrame:
@@ -111,6 +114,20 @@ def equipment(cycles: DataFrame, events: DataFrame, priority: DataFrame, hotspot
     return out.na.fill(0, ["cycles", "positives", "alerts", "ranked_days", "selected_days"])
 
 
+def equipment_slices(cycles: DataFrame, events: DataFrame, priority: DataFrame, n: int = 40, n_ranked: int = 30) -> DataFrame:
+    """One row for each tag of any table: its last cycles, events and rankings as arrays, the newest first."""
+
+    def slices(rows: DataFrame, name: str, time: str, k: int, tie: str, columns: list[str]) -> DataFrame:
+        newest = latest_rows(rows, time, k, tie)
+        listed = F.sort_array(F.collect_list(F.struct("posicao", *columns)))
+        return newest.groupBy("Tag").agg(listed.alias(name))
+
+    c = slices(cycles, "cycles", "Fim", n, "Id", ["Id", "Fim", "Classe", "target_4h"])
+    e = slices(events, "events", "EVENT_TIME", n, "Tag", ["EVENT_TIME"])
+    p = slices(priority, "rankings", "data", n_ranked, "rank", ["data", "rank", "score"])
+    return c.join(e, "Tag", "full").join(p, "Tag", "full")
+
+
 def filter_values(cycles: DataFrame, columns: list[str]) -> DataFrame:
     """``filtro, valor``: distinct values for each filter."""
     return cycles.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "filtro", "valor").where("valor is not null").distinct()

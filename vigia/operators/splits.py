@@ -6,28 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import HOUR_US, micros
+from vigia.operators.ordered import ordered_counts, rows_at, rows_at_places
 
 
-def time_at(df: DataFrame, time: str, *places: float) -> list[int]:
-    """Times in microseconds of the rows at these places (from 0) in order of time; exact order statistics.
+def temporal_split(df: DataFrame, time: str = "Fim", train: float = 0.70, val: float = 0.15, embargo_hours: float = 4.0, times: DataFrame | None = None) -> DataFrame:
+    """Rows with ``split``: train, val, test, or null for the embargo before a boundary and rows without a time.
 
-    The percentile at (k + 0.5) / n is the row at place k. Nothing is sorted in one task.
+    Boundaries are the times of the rows at the two shares, exact order statistics; rows at a boundary's time are on
+    its right side. ``times`` is a table with the times of the same rows that is cheaper to read.
     """
-    us = df.select(micros(df, time).alias("us")).where("us is not null")
-    n = us.count()
+    given = df if times is None else times
+    n, found = rows_at(ordered_counts(given.select(micros(given, time).alias("us")), ["us"]), ["us"], [train, train + val])
     if not n:
         raise ValueError("there are no rows with a time")
-    wanted = [F.expr(f"percentile_disc({min(max((k + 0.5) / n, 0.0), 1.0)!r}) within group (order by us)").alias(f"t{i}") for i, k in enumerate(places)]
-    return list(us.agg(*wanted).first())
-
-
-def temporal_split(df: DataFrame, time: str = "Fim", train: float = 0.70, val: float = 0.15, embargo_hours: float = 4.0) -> DataFrame:
-    """Rows with ``split``: train, val, test, or null for the embargo before a boundary and rows without a time.
-
-    Boundaries are the times of the rows at the two shares; rows at a boundary's time are on its right side.
-    """
-    n = df.where(F.col(time).isNotNull()).count()
-    first, second = time_at(df, time, int(n * train), int(n * (train + val)))
+    (first,), (second,) = found
     us, gap = micros(df, time), int(embargo_hours * HOUR_US)
     label = (
         F.when(us < first - gap, "train")
@@ -51,7 +43,9 @@ def backtest_folds(df: DataFrame, time: str = "Fim", folds: int = 3, start: floa
 
     Parts are cut at places in order of time and ``Id``; a tie at a cut is parted by ``Id``.
     """
-    n = df.where(F.col(time).isNotNull()).count()
+    keyed, us = df.where(F.col(time).isNotNull()), micros(df, time)
+    counts = ordered_counts(keyed.select(us.alias("us"), "Id"), ["us", "Id"])
+    n = counts.agg(F.max("total")).first()[0] or 0
     if n < 30:
         raise ValueError("too few rows for backtesting")
     step = (1.0 - start - val - test) / max(folds - 1, 1)
@@ -66,10 +60,7 @@ def backtest_folds(df: DataFrame, time: str = "Fim", folds: int = 3, start: floa
     if not cuts:
         raise ValueError("no fold is possible")
     places = sorted({p for cut in cuts for p in cut[1:] if p < n})
-    keyed = df.where(F.col(time).isNotNull())
-    us = micros(df, time)
-    times = dict(zip(places, time_at(df, time, *places), strict=True))
-    bounds = {p: (times[p], _id_at(keyed.withColumn("_us", us), times[p], p)) for p in places}
+    bounds = dict(zip(places, rows_at_places(counts, ["us", "Id"], places), strict=True))
 
     def before(place: int) -> Column:
         if place >= n:
@@ -80,19 +71,12 @@ def backtest_folds(df: DataFrame, time: str = "Fim", folds: int = 3, start: floa
     gap = int(embargo_hours * HOUR_US)
     out = None
     for k, a, b, c in cuts:
-        label = F.when(before(a), F.when(us < times[a] - gap, "train")).when(before(b), F.when(us < times[b] - gap, "val")).when(before(c), "test")
+        label = F.when(before(a), F.when(us < bounds[a][0] - gap, "train")).when(before(b), F.when(us < bounds[b][0] - gap, "val")).when(before(c), "test")
         fold = keyed.withColumns({"fold": F.lit(k), "split": label}).where("split is not null")
         out = fold if out is None else out.unionByName(fold)
     return out
 
 
-def _id_at(keyed: DataFrame, at: int, place: int) -> int:
-    """``Id`` of the row at a place among those that share its time."""
-    row = keyed.agg(F.count_if(F.col("_us") < at).alias("before")).first()
-    tied = keyed.where(F.col("_us") == at).orderBy("Id").offset(place - row["before"]).limit(1).select("Id")
-    return tied.first()[0]
-
-
 def repeatable_sample(df: DataFrame, rows: int, seed: int = 42, key: str = "Id") -> DataFrame:
     """At most so many rows, the same ones each time: those with the smallest hash of key and seed."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)

@@ -33,6 +33,7 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("F"), F.col("user_id") % 5).alias("Frota"),
         F.when(F.col("user_id") % 2 == 1, "Caminhao").otherwise("Carregadeira").alias("Tipo"),
         F.col("event_type").alias("Classe"),
+        F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("OP"), F.col("event_id") % 37)).alias("Matricula_Operador_Hash"),
     )
 
 
@@ -71,7 +72,7 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labeled(spark, sf_dir).withColumn("turno", shift_of(F.hour("Fim")))
-    return temporal_split(scored_frame(rows, (F.col("Id") * 7919 % 10007) / 10007, 0.5))
+    return temporal_split(scored_frame(rows, (F.col("Id") * 7919 % 10007) / 10007, 0.5), times=cycles(spark, sf_dir))
 
 
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables for DuckDB, as common table expressions.
 SQL = """
 WITH cycles AS (SELECT event_id AS Id, ts - to_seconds(CAST(round(value * 60) AS BIGINT)) AS Inicio, ts AS Fim, 'CA' || user_id AS Tag, 'F' || (user_id % 5) AS Frota,
-  CASE WHEN user_id % 2 = 1 THEN 'Caminhao' ELSE 'Carregadeira' END AS Tipo, event_type AS Classe FROM events),
+  CASE WHEN user_id % 2 = 1 THEN 'Caminhao' ELSE 'Carregadeira' END AS Tipo, event_type AS Classe, CASE WHEN event_id % 11 > 0 THEN 'OP' || (event_id % 37) END AS Matricula_Operador_Hash FROM events),
 errors AS (SELECT 'CA' || user_id AS TAG, ts AS EVENT_TIME FROM events WHERE event_type = 'error'),
 mnt AS (SELECT 'CA' || user_id AS Tag, ts AS data_manutencao, CASE WHEN event_type = 'purchase' THEN 'corretiva' ELSE 'preventiva' END AS tipo FROM events WHERE event_type IN ('signup', 'purchase')),
 labeled AS (SELECT c.*, e.EVENT_TIME AS next_critical_event_time, (epoch_us(e.EVENT_TIME) - epoch_us(c.Fim)) / 3600000000.0::DOUBLE AS tte_horas,

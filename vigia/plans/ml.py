@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vigia.functions.scalar import clip
 from vigia.operators import contract, encoding, metrics, ranking, scorecard, splits
-from vigia.operators.governance import compare
+from vigia.operators.governance import compare, same_rows
 
 TARGET = "target_4h"
 
@@ -102,8 +104,8 @@ def backtest(data: DataFrame, kind: str = "logistic", **params: float) -> DataFr
         rows = folds.where(F.col("fold") == k)
         train, val, test = (rows.where(F.col("split") == s).drop("fold") for s in ("train", "val", "test"))
         coder = encoding.fit_encoder(train)
-        coded = encoding.out_of_fold_target(train)
-        features = [f for f in contract.feature_columns(coded) if f not in ("block", "score", "prediction", "threshold")]
+        coded = encoded_train(train, coder)
+        features = modelled_columns(coded)
         model = fit(coded, features, kind, **params)
         adjust = calibrate(score(model, encoding.transform(val, coder), features))
         scored = adjust(score(model, encoding.transform(test, coder), features)).withColumn("fold", F.lit(k))
@@ -132,18 +134,59 @@ def importance(model: PipelineModel, data: DataFrame, features: list[str], repea
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def leakage_ablation(data: DataFrame, kind: str = "logistic") -> DataFrame:
-    """``metrica, base, novo, ganho``: encodings that see later rows and no embargo, against clean ones."""
-    leaky = encoding.expanding_target(splits.temporal_split(data, embargo_hours=0.0))
-    clean_split = splits.temporal_split(data)
-    coder = encoding.fit_encoder(clean_split.where("split = 'train'"))
-    train = encoding.out_of_fold_target(clean_split.where("split = 'train'"))
-    names = [f for f in contract.feature_columns(leaky) if f not in ("block", "score", "prediction", "threshold")]
+def leaky_encodings(data: DataFrame) -> DataFrame:
+    """Encodings that see rows of all times: frequencies and categories of the whole table, and row-causal class means."""
+    coded = encoding.transform(data, encoding.fit_encoder(data)).drop("Classe_target_enc")
+    return encoding.expanding_target(coded)
+
+
+def leakage_ablation(data: DataFrame, kind: str = "logistic", **params: float) -> DataFrame:
+    """``metrica, base, novo, ganho``: encodings that see later rows and no embargo, against clean ones.
+
+    The model and its parameters are the same, and so must be the test sets.
+    """
+    leaky = splits.temporal_split(leaky_encodings(data), embargo_hours=0.0, times=data)
+    clean = splits.temporal_split(data)
+    if not same_rows(leaky.where("split = 'test'"), clean.where("split = 'test'")):
+        raise ValueError("the test sets of the two arms differ")
+    train = clean.where("split = 'train'")
+    coder = encoding.fit_encoder(train)
     arms = []
-    for rows, fit_rows in ((leaky, leaky.where("split = 'train'")), (encoding.transform(clean_split, coder), train)):
-        scored = score(fit(fit_rows, names, kind), rows.where("split in ('val', 'test')"), names)
+    for fit_rows, rows in ((leaky.where("split = 'train'"), leaky), (encoded_train(train, coder), encoding.transform(clean.where("split in ('val', 'test')"), coder))):
+        names = modelled_columns(fit_rows)
+        scored = score(fit(fit_rows, names, kind, **params), rows.where("split in ('val', 'test')"), names)
         arms.append(evaluate(scored)[0].where("split = 'test'"))
-    return compare(arms[0], arms[1], ["precision", "recall", "auc_pr", "precision_at_k"])
+    return compare(arms[0], arms[1], ["precision_at_k", "recall_at_k", "lift_at_k", "auc_pr"])
+
+
+def encoded_train(train: DataFrame, coder: dict[str, DataFrame]) -> DataFrame:
+    """Training rows with the fitted encodings, but the class means out of fold."""
+    return encoding.transform(encoding.out_of_fold_target(train).withColumnRenamed("Classe_target_enc", "_own"), coder).withColumn("Classe_target_enc", F.col("_own")).drop("_own", "block")
+
+
+def modelled_columns(df: DataFrame) -> list[str]:
+    return [f for f in contract.feature_columns(df) if f not in ("block", "score", "prediction", "threshold")]
+
+
+#: Ranges of the parameters that trials are drawn from: low, high, whole numbers, by logarithm.
+SPACES = {
+    "logistic": {"C": (0.01, 10.0, False, True)},
+    "gbt": {"maxIter": (40, 200, True, False), "maxDepth": (3, 6, True, False), "stepSize": (0.02, 0.2, False, True)},
+    "forest": {"numTrees": (50, 300, True, False), "maxDepth": (4, 10, True, False)},
+}
+
+
+def propose_trials(n: int, kinds: tuple[str, ...] = ("gbt", "forest", "logistic"), seed: int = 42, spaces: dict = SPACES) -> list[tuple[str, dict]]:
+    """``n`` trials of each kind of model, the same ones for a seed."""
+    draw, out = random.Random(seed), []
+    for kind in kinds:
+        for _ in range(n):
+            params = {}
+            for name, (low, high, whole, by_log) in spaces[kind].items():
+                value = math.exp(draw.uniform(math.log(low), math.log(high))) if by_log else draw.uniform(low, high)
+                params[name] = round(value) if whole else value
+            out.append((kind, params))
+    return out
 
 
 def inference(batch: DataFrame, model: PipelineModel, features: list[str], threshold: float, encoder: dict[str, DataFrame] | None = None, top_k: int = 15) -> tuple[DataFrame, DataFrame]:

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.operators import contract, encoding, features, metrics, scorecard, splits
+from vigia.operators import encoding, features, metrics, scorecard, splits
+from vigia.operators.ordered import written
 from vigia.plans import canonical as c
 from vigia.plans import ml
 from vigia.plans.queries import query
 
-NAMES = ["n_alertas_4h", "n_alertas_24h", "dias_desde_ultimo_alerta", "duracao_ciclo_min", "n_ciclos_24h", "hora_do_dia"]
+def modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Features of all cycles with their splits, written once for the passes of the fits, and the names of all that may be modelled."""
+    rows = splits.temporal_split(features.build_features(c.labeled(spark, sf_dir), c.errors(spark, sf_dir)), times=c.cycles(spark, sf_dir))
+    data = written(rows, "modelled")
+    return data, ml.modelled_columns(data)
 
 
-def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of all cycles with their splits, kept in memory for the passes of the fits."""
-    return splits.temporal_split(features.build_features(c.labeled(spark, sf_dir), c.errors(spark, sf_dir))).cache()
+def _scored(data: DataFrame, names: list[str], kind: str, **params: float) -> DataFrame:
+    data = data.where("split is not null")
+    return ml.score(ml.fit(data.where("split = 'train'"), names, kind, **params), data, names)
 
 
-def _scored(data: DataFrame, kind: str, **params: float) -> DataFrame:
-    data = data.where("split is not null")
-    return ml.score(ml.fit(data.where("split = 'train'"), NAMES, kind, **params), data, NAMES)
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(c.profiled(spark, sf_dir).select("Id", "Fim", "Inicio", "Tag", "Frota", "Tipo", "Classe", "Matricula_Operador_Hash", "target_4h", "duracao_ciclo_min", "hora_do_dia"), "raw")
+
+
+#: Trees of the registered fits; ``ml.SPACES`` has the ranges of a search in production.
+TREES = 20
 
 
 @query("c20_heuristic_metrics", """SELECT sum(p / tp::DOUBLE * cp / cn) AS auc_pr, sum(p * ((tn - cn) - (tp - cp) + 0.5 * (n - p))) / (max(tp) * (max(tn) - max(tp)))::DOUBLE AS auc_roc FROM (SELECT s, count(*) AS n, sum(y) AS p, sum(count(*)) OVER (ORDER BY s DESC) AS cn, sum(sum(y)) OVER (ORDER BY s DESC) AS cp, sum(count(*)) OVER () AS tn, sum(sum(y)) OVER () AS tp
@@ -39,46 +47,43 @@ def _(spark, sf):
 
 @query("j1_j5_logistic_evaluation")
 def _(spark, sf):
-    return ml.evaluate(_scored(modelled(spark, sf), "logistic"))[0]
+    return ml.evaluate(_scored(*modelled(spark, sf), "logistic"))[0]
 
 
 @query("j2_boosted_trees_evaluation")
 def _(spark, sf):
-    return ml.evaluate(_scored(modelled(spark, sf), "gbt", maxIter=5))[0]
+    return ml.evaluate(_scored(*modelled(spark, sf), "gbt", maxIter=TREES))[0]
 
 
 @query("j3_search_trials")
 def _(spark, sf):
-    return ml.search(modelled(spark, sf), NAMES, [("logistic", {"C": 0.5}), ("gbt", {"maxIter": 3, "maxDepth": 3})])
+    return ml.search(*modelled(spark, sf), [("logistic", {"C": 0.5}), ("gbt", {"maxIter": TREES, "maxDepth": 3})])
 
 
 @query("j6_backtest")
 def _(spark, sf):
-    rows = c.profiled(spark, sf).select("Id", "Fim", "Inicio", "Tag", "Frota", "Tipo", "Classe", "target_4h", "duracao_ciclo_min", "hora_do_dia").cache()
-    return ml.backtest(rows)
+    return ml.backtest(_raw(spark, sf))
 
 
 @query("j7_calibrated_error")
 def _(spark, sf):
-    scored = _scored(modelled(spark, sf), "logistic")
+    scored = _scored(*modelled(spark, sf), "logistic")
     return metrics.calibration_error(ml.calibrate(scored.where("split = 'val'"))(scored.where("split = 'test'")))
 
 
 @query("j8_importance")
 def _(spark, sf):
-    data = modelled(spark, sf)
-    return ml.importance(ml.fit(data.where("split = 'train'"), NAMES, "forest", numTrees=5), data, NAMES)
+    data, names = modelled(spark, sf)
+    return ml.importance(ml.fit(data.where("split = 'train'"), names, "forest", numTrees=TREES), data, names)
 
 
 @query("j9_leakage_ablation")
 def _(spark, sf):
-    rows = c.profiled(spark, sf).select("Id", "Fim", "Inicio", "Tag", "Frota", "Tipo", "Classe", "target_4h", "duracao_ciclo_min", "hora_do_dia").cache()
-    return ml.leakage_ablation(rows)
+    return ml.leakage_ablation(_raw(spark, sf))
 
 
 @query("j11_inference")
 def _(spark, sf):
-    data = modelled(spark, sf)
-    model = ml.fit(data.where("split = 'train'"), NAMES, "logistic")
-    batch = contract.align_features(data.where("split = 'test'").withColumn("turno", F.col("turno")), NAMES)
-    return ml.inference(batch, model, NAMES, 0.5)[1]
+    data, names = modelled(spark, sf)
+    model = ml.fit(data.where("split = 'train'"), names, "logistic")
+    return ml.inference(data.where("split = 'test'"), model, names, 0.5)[1]

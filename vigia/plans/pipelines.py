@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from vigia.functions.scalar import shift_of
-from vigia.operators import contract, drift, encoding, features, governance, labeling, metrics, profile, scorecard, splits
+from vigia.operators import contract, drift, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, splits
+from vigia.operators.ordered import written
 from vigia.plans import ml
 from vigia.sources import readers, sinks
+from vigia.streaming import jobs
 
 
 def ingest(spark: SparkSession, folder: str, out: str, zone: str = "America/Sao_Paulo") -> DataFrame:
@@ -45,6 +51,7 @@ def baseline(spark: SparkSession, data: DataFrame, out: str) -> DataFrame:
     sinks.write_encoder(coder, f"{out}/encoder")
     coded = encoding.transform(train, coder).drop("Classe_target_enc").join(encoding.out_of_fold_target(train).select("Id", "Classe_target_enc"), "Id")
     sinks.write_partitioned(coded.unionByName(encoding.transform(rest, coder)), f"{out}/splits", "split")
+    sinks.write_report(splits.split_metadata(cut), f"{out}/split_metadata")
     rows = spark.read.parquet(f"{out}/splits")
     scored = rows.withColumn("score", ml.heuristic_score(rows)).withColumn("model_name", F.lit("heuristica"))
     sinks.write_partitioned(scored, f"{out}/scores", "model_name", "split")
@@ -91,33 +98,43 @@ def explore(labeled: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def daily_batches(spark: SparkSession, folder: str, model_path: str, out: str) -> DataFrame:
-    """Score all pending batches in one job: rows of batches that break the contract go to ``rejected``."""
+def daily_batches(spark: SparkSession, folder: str, model_path: str, out: str, encoder_path: str | None = None, top_k: int = 15) -> DataFrame:
+    """Score all pending batches in one job, archive their files, and write the log: rows of batches that break the contract go to ``rejected``."""
     model, manifest = sinks.read_model(spark, model_path)
-    rows = readers.read_batches(spark, folder)
-    return score_batches(rows, model, manifest, out)
-
-
-def score_batches(rows: DataFrame, model, manifest: dict, out: str) -> DataFrame:
-    """``batch_id, rows, accepted``; accepted batches are scored to ``scores``, each to its own partition."""
-    per = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
-    bad = rows.withColumn("_bad", _breaks(rows)).groupBy("batch_id").agg(F.bool_or("_bad").alias("_bad"))
-    verdict = per.join(bad, "batch_id").select("batch_id", "rows", (~F.col("_bad")).alias("accepted"))
-    good = rows.join(F.broadcast(verdict.where("accepted").select("batch_id")), "batch_id", "left_semi")
+    encoder = sinks.read_encoder(spark, encoder_path) if encoder_path else None
+    verdict = score_batches(readers.read_batches(spark, folder), model, manifest, out, encoder, top_k)
+    archived = sinks.archive(spark, folder, verdict, f"{out}/archive")
+    log = verdict.join(F.broadcast(archived), "batch_id", "left")
+    sinks.write_table(log, f"{out}/log")
+    return spark.read.parquet(f"{out}/log")
+
+
+def score_batches(rows: DataFrame, model, manifest: dict, out: str, encoder: dict[str, DataFrame] | None = None, top_k: int = 15) -> DataFrame:
+    """``batch_id, rows, accepted, motivo``; accepted batches go to ``scores`` and ``priority``, others to ``rejected``.
+
+    Each batch has a partition of its own, so running it again replaces what it wrote before and nothing else.
+    """
+    broken = F.col("_broken")
+    judged = rows.withColumn("_broken", contract.broken_rules(rows))
+    reason = F.concat_ws(" ", F.get(broken, F.lit(0))["column"], F.get(broken, F.lit(0))["check"])
+    verdict = judged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), (~F.bool_or(F.size(broken) > 0)).alias("accepted"), F.min(F.when(F.size(broken) > 0, reason)).alias("motivo"))
+    verdict = written(verdict, "verdict")
+    side = lambda accepted: rows.join(verdict.where(F.col("accepted") == accepted).select("batch_id"), "batch_id", "left_semi")
     names = list(manifest["feature_columns"])
+    good = encoding.transform_if_needed(side(True), encoder) if encoder else side(True)
     scored = scorecard.scored_frame(ml.score(model, contract.align_features(good, names), names), F.col("score"), float(manifest["threshold"]))
     sinks.write_batch_scores(scored, f"{out}/scores")
-    sinks.write_table(rows.join(F.broadcast(verdict.where("not accepted").select("batch_id")), "batch_id", "left_semi"), f"{out}/rejected")
+    if {"n_alertas_4h", "n_alertas_24h", "dias_desde_ultimo_alerta"} <= set(scored.columns):
+        sinks.write_batch_scores(ranking.daily_priority(scored, top_k, ["batch_id"]), f"{out}/priority")
+    sinks.write_batch_scores(side(False), f"{out}/rejected")
     return verdict
 
 
-def _breaks(rows: DataFrame):
-    out = F.col("Tag").isNull() | F.col("Fim").isNull() | ~F.coalesce(F.year("Fim").between(2000, 2100), F.lit(False))
-    for name, high in (("duracao_ciclo_min", None), ("n_alertas_4h", None), ("dias_desde_ultimo_alerta", 3650)):
-        if name in rows.columns:
-            v = F.col(name).cast("double")
-            out = out | F.coalesce((v < 0) | (v > high) if high else v < 0, F.lit(False))
-    return out
+def watch_batches(spark: SparkSession, folder: str, schema: StructType, model_path: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Each drop of files is judged, scored and written as by ``score_batches``; the verdicts go to ``verdicts`` by batch."""
+    model, manifest = sinks.read_model(spark, model_path)
+    drops = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder).withColumn("batch_id", F.col("_metadata.file_name"))
+    return jobs.score_drops(drops, lambda df: sinks.write_batch_scores(score_batches(df, model, manifest, out), f"{out}/verdicts"), checkpoint)
 
 
 def drift_baseline(reference: DataFrame, names: list[str], out: str) -> DataFrame:
@@ -133,18 +150,54 @@ def drift_check(reference: DataFrame, batch: DataFrame, profile_table: DataFrame
     return reasons
 
 
-def select_model(spark: SparkSession, data: DataFrame, names: list[str], trials: list[tuple[str, dict]], out: str) -> DataFrame:
-    """Search, refit the chosen trial, calibrate, evaluate, and write the model with its manifest."""
-    table = ml.search(data, names, trials)
-    sinks.write_table(table, f"{out}/trials")
-    chosen = governance.select_model(spark.read.parquet(f"{out}/trials")).first()
-    kind, params = trials[chosen["trial"]]
-    model = ml.fit(data.where("split = 'train'"), names, kind, **params)
-    scored = ml.score(model, data.where("split is not null"), names)
-    found, threshold = ml.evaluate(scored)
-    manifest = spark.createDataFrame([(chosen["model_name"], float(threshold), names)], "model_name string, threshold double, feature_columns array<string>")
+def select_model(spark: SparkSession, data: DataFrame, names: list[str], trials: list[tuple[str, dict]], out: str, calibrated: bool = False, min_recall: float = 0.80) -> DataFrame:
+    """Search, choose, refit and evaluate; returns the metrics of each split of the chosen model.
+
+    Written are the trials, the scores of the best trial of each kind on all splits, the summary, the chosen model with
+    its manifest, its threshold curve, importances, backtest, and a report. With ``calibrated``, scores are isotonic
+    calibrations fitted on validation.
+    """
+    sinks.write_table(ml.search(data, names, trials), f"{out}/trials")
+    table = spark.read.parquet(f"{out}/trials")
+    chosen = governance.select_model(table).first()
+    known, fitted, rows = data.where("split is not null"), {}, []
+    for kind in dict.fromkeys(k for k, _ in trials):
+        best = governance.select_model(table.where(F.col("trial").isin([n for n, (k, _) in enumerate(trials) if k == kind]))).first()
+        params = trials[best["trial"]][1]
+        model = ml.fit(data.where("split = 'train'"), names, kind, **params)
+        scored = ml.score(model, known, names)
+        if calibrated:
+            scored = ml.calibrate(scored.where("split = 'val'"))(scored)
+        found, threshold = ml.evaluate(scored, min_recall)
+        sinks.write_partitioned(scorecard.scored_frame(scored, F.col("score"), threshold).withColumn("model_name", F.lit(best["model_name"])), f"{out}/scores", "model_name", "split")
+        rows.append(found.select(F.lit(best["model_name"]).alias("model_name"), F.lit(float(threshold)).alias("threshold"), "*"))
+        fitted[best["model_name"]] = (model, float(threshold), kind, params)
+    summary = rows[0]
+    for r in rows[1:]:
+        summary = summary.unionByName(r)
+    sinks.write_table(summary, f"{out}/summary")
+    name = chosen["model_name"]
+    model, threshold, kind, params = fitted[name]
+    scored = spark.read.parquet(f"{out}/scores").where(F.col("model_name") == name)
+    sinks.write_csv(metrics.threshold_curve(scored.where("split = 'val'")), f"{out}/threshold_curve")
+    sample = splits.repeatable_sample(known.where("split = 'val'"), IMPORTANCE_ROWS)
+    sinks.write_csv(ml.importance(model, sample, names), f"{out}/importance")
+    folds = ml.backtest(data.drop("split"), kind, **params)
+    sinks.write_table(folds, f"{out}/backtest")
+    rule = ", ".join(governance.SELECTION)
+    manifest = spark.createDataFrame([(name, threshold, names, rule, json.dumps(params, sort_keys=True), min_recall, calibrated)], "model_name string, threshold double, feature_columns array<string>, selection_rule string, params string, min_recall double, calibrated boolean")
+    source = governance.fingerprint(data).select(F.col("rows").alias("data_rows"), F.col("digest").alias("data_digest"))
+    manifest = governance.config_hash(manifest.join(F.broadcast(source)), ["model_name", "params", "feature_columns", "min_recall"])
     sinks.write_model(model, manifest, out)
-    return found
+    known_metrics = [m for m in ("test_top15_precision_at_k", "test_top15_recall_at_k") if m in folds.columns]
+    spread = governance.fold_summary(spark.read.parquet(f"{out}/backtest"), known_metrics).agg(F.collect_list(F.struct("metrica", "media", "desvio")).alias("backtest"))
+    test = spark.read.parquet(f"{out}/summary").where((F.col("model_name") == name) & (F.col("split") == "test"))
+    sinks.write_report(manifest.join(F.broadcast(test.drop("model_name", "threshold", "split"))).join(F.broadcast(spread)), f"{out}/report")
+    return spark.read.parquet(f"{out}/summary").where(F.col("model_name") == name).drop("model_name", "threshold")
+
+
+#: Rows that permutation importances are measured on.
+IMPORTANCE_ROWS = 5_000
 
 
 def with_shift(df: DataFrame) -> DataFrame:

@@ -48,14 +48,18 @@ def query(name: str, body: str | None = None, longs: str = "", doubles: str = ""
 # --- contract and quality
 
 
-@query("e1_quality_report", """SELECT count(*) AS rows, count(*) FILTER (Tag IS NULL) AS nulls_Tag, count(*) FILTER (Frota IS NULL) AS nulls_Frota, count(*) FILTER (Tipo IS NULL) AS nulls_Tipo,
-  count(*) FILTER (Inicio IS NULL) AS nulls_Inicio, count(*) FILTER (Fim IS NULL) AS nulls_Fim, count(*) FILTER (Fim < Inicio) AS negative_duration,
+_DIRTY = "(SELECT * REPLACE (CASE WHEN Id % 17 > 0 THEN Frota END AS Frota, CASE WHEN Id % 23 > 0 THEN Inicio END AS Inicio) FROM cycles)"
+
+
+@query("e1_quality_report", f"""SELECT count(*) AS rows, {", ".join(f"count(*) FILTER ({n} IS NULL) AS nulls_{n}" for n in ("Tag", "Frota", "Tipo", "Inicio", "Fim"))}, count(*) FILTER (Fim < Inicio) AS negative_duration,
   count(*) FILTER (epoch_us(Fim) - epoch_us(Inicio) > 3600000000) AS over_max_duration, count(*) FILTER (Fim IS NULL OR Inicio IS NULL) AS missing_duration,
-  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM cycles)) AS duplicate_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT Tag, Inicio, Fim FROM cycles)) AS duplicate_keys,
-  0.0 AS null_pct_Tag, 0.0 AS null_pct_Frota, 0.0 AS null_pct_Tipo, 0.0 AS null_pct_Inicio, 0.0 AS null_pct_Fim FROM cycles""",
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_DIRTY})) AS duplicate_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT Tag, Inicio, Fim FROM {_DIRTY})) AS duplicate_keys,
+  {", ".join(f"round(100.0 * count(*) FILTER ({n} IS NULL) / count(*), 4) AS null_pct_{n}" for n in ("Tag", "Frota", "Tipo", "Inicio", "Fim"))} FROM {_DIRTY}""",
        "rows nulls_Tag nulls_Frota nulls_Tipo nulls_Inicio nulls_Fim negative_duration over_max_duration missing_duration duplicate_rows duplicate_keys", "null_pct_Tag null_pct_Frota null_pct_Tipo null_pct_Inicio null_pct_Fim")
 def _(spark, sf):
-    return contract.quality_report(contract.require_columns(c.cycles(spark, sf)), max_hours=1.0)
+    rows = contract.require_columns(c.cycles(spark, sf))
+    rows = rows.withColumns({"Frota": F.when(F.col("Id") % 17 > 0, F.col("Frota")), "Inicio": F.when(F.col("Id") % 23 > 0, F.col("Inicio"))})
+    return contract.quality_report(rows, max_hours=1.0)
 
 
 @query("e1_duplicate_orders", "SELECT count(*) - count(DISTINCT (o_custkey, o_orderdate)) AS duplicate_keys FROM orders", "duplicate_keys")
@@ -97,6 +101,11 @@ def _(spark, sf):
     return contract.schema_profile(c.table(spark, sf, "orders")).drop("tipo")
 
 
+@query("e40_numeric_describe", " UNION ALL ".join(f"SELECT '{n}' AS coluna, count({n}) AS n, avg({n}) AS media, stddev_samp({n}) AS desvio, min({n}) AS minimo, quantile_cont({n}, 0.25) AS q1, quantile_cont({n}, 0.5) AS mediana, quantile_cont({n}, 0.75) AS q3, max({n}) AS maximo FROM lineitem" for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "n", "media desvio minimo q1 mediana q3 maximo")
+def _(spark, sf):
+    return contract.numeric_describe(c.table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"))
+
+
 @query("e41_temporal_profile", """SELECT (SELECT avg(n) FROM (SELECT count(*) AS n FROM cycles GROUP BY Fim::DATE)) AS media_dia, (SELECT avg(n) FROM (SELECT count(*) AS n FROM cycles GROUP BY date_trunc('hour', Fim))) AS media_hora,
   (SELECT avg(n) FROM (SELECT count(*) AS n FROM cycles GROUP BY Tag)) AS media_tag, (SELECT sum(n) FROM (SELECT count(*) - 1 AS n FROM cycles GROUP BY Tag, Fim)) AS duplicados""", "duplicados", "media_dia media_hora media_tag")
 def _(spark, sf):
@@ -182,10 +191,12 @@ def _(spark, sf):
     return features.maintenance_history(c.cycles(spark, sf), c.orders(spark, sf)).select("Id", "dias_desde_ultima_manutencao", "manutencao_corretiva_7d")
 
 
-@query("e3_null_profile", """SELECT * FROM (SELECT 'next_critical_event_time' AS coluna, round(100.0 * avg((next_critical_event_time IS NULL)::INT), 4) AS null_pct FROM labeled UNION ALL SELECT 'tte_horas', round(100.0 * avg((tte_horas IS NULL)::INT), 4) FROM labeled UNION ALL
-  SELECT unnest(['Classe']), 0.0) ORDER BY null_pct DESC, coluna LIMIT 3""", "", "null_pct")
+_LABELED = ("Id", "Inicio", "Fim", "Tag", "Frota", "Tipo", "Classe", "Matricula_Operador_Hash", "next_critical_event_time", "tte_horas", "target_4h")
+
+
+@query("e3_null_profile", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS coluna, round(100.0 * avg(({n} IS NULL)::INT), 4) AS null_pct FROM labeled" for n in _LABELED) + ") ORDER BY null_pct DESC, coluna LIMIT 5", "", "null_pct")
 def _(spark, sf):
-    return features.null_profile(c.labeled(spark, sf), 3)
+    return features.null_profile(c.labeled(spark, sf), 5)
 
 
 # --- splits and encodings
@@ -196,9 +207,10 @@ def _(spark, sf):
     return splits.split_metadata(c.scored(spark, sf))
 
 
-_FOLDS = """SELECT fold, split, count(*) AS rows, min(Fim) AS start, max(Fim) AS "end" FROM (SELECT f.fold, p.Fim, CASE WHEN k < a THEN CASE WHEN epoch_us(p.Fim) < ta - 14400000000 THEN 'train' END WHEN k < b THEN CASE WHEN epoch_us(p.Fim) < tb - 14400000000 THEN 'val' END WHEN k < e THEN 'test' END AS split
-  FROM (SELECT *, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM labeled) p, (SELECT fold, a, b, e, (SELECT epoch_us(Fim) FROM (SELECT Fim, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM labeled) WHERE k = a) AS ta, (SELECT epoch_us(Fim) FROM (SELECT Fim, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM labeled) WHERE k = b) AS tb
-  FROM (SELECT fold, a, least(a + v, n - v) AS b, least(least(a + v, n - v) + v, n) AS e FROM (SELECT x.fold, n, CAST(floor(n * (0.5::DOUBLE + x.fold * ((1.0::DOUBLE - 0.5 - 0.1 - 0.1) / 2))) AS BIGINT) AS a, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS v FROM (SELECT count(*) AS n FROM labeled), (VALUES (0), (1), (2)) AS x(fold)))) f) WHERE split IS NOT NULL GROUP BY 1, 2"""
+_FOLD_ROWS = """SELECT f.fold, p.Fim, p.Tag, p.score, p.target_4h, CASE WHEN k < a THEN CASE WHEN epoch_us(p.Fim) < ta - 14400000000 THEN 'train' END WHEN k < b THEN CASE WHEN epoch_us(p.Fim) < tb - 14400000000 THEN 'val' END WHEN k < e THEN 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM scored) p, (SELECT fold, a, b, e, (SELECT epoch_us(Fim) FROM (SELECT Fim, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM labeled) WHERE k = a) AS ta, (SELECT epoch_us(Fim) FROM (SELECT Fim, row_number() OVER (ORDER BY Fim, Id) - 1 AS k FROM labeled) WHERE k = b) AS tb
+  FROM (SELECT fold, a, least(a + v, n - v) AS b, least(least(a + v, n - v) + v, n) AS e FROM (SELECT x.fold, n, CAST(floor(n * (0.5::DOUBLE + x.fold * ((1.0::DOUBLE - 0.5 - 0.1 - 0.1) / 2))) AS BIGINT) AS a, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS v FROM (SELECT count(*) AS n FROM labeled), (VALUES (0), (1), (2)) AS x(fold)))) f"""
+_FOLDS = f"""SELECT fold, split, count(*) AS rows, min(Fim) AS start, max(Fim) AS "end" FROM ({_FOLD_ROWS}) WHERE split IS NOT NULL GROUP BY 1, 2"""
 
 
 @query("i2_backtest_folds", _FOLDS, "fold rows")
@@ -211,8 +223,9 @@ def _(spark, sf):
     return splits.repeatable_sample(c.cycles(spark, sf), 500)
 
 
-@query("d7_encoded", """SELECT s.Id, coalesce(t.f, 0) AS Tag_freq, 0.0 AS Operador_freq, coalesce(k.m, g.m) AS Classe_target_enc, Tipo = 'Caminhao' AS Tipo_Caminhao, Frota = 'F0' AS Frota_F0 FROM scored s
+@query("d7_encoded", """SELECT s.Id, coalesce(t.f, 0) AS Tag_freq, coalesce(o.f, 0) AS Operador_freq, coalesce(k.m, g.m) AS Classe_target_enc, Tipo = 'Caminhao' AS Tipo_Caminhao, Frota = 'F0' AS Frota_F0 FROM scored s
   LEFT JOIN (SELECT Tag, count(*) / (SELECT count(*) FROM scored WHERE split = 'train')::DOUBLE AS f FROM scored WHERE split = 'train' GROUP BY 1) t ON s.Tag = t.Tag
+  LEFT JOIN (SELECT Matricula_Operador_Hash AS op, count(*) / (SELECT count(Matricula_Operador_Hash) FROM scored WHERE split = 'train')::DOUBLE AS f FROM scored WHERE split = 'train' AND op IS NOT NULL GROUP BY 1) o ON s.Matricula_Operador_Hash = o.op
   LEFT JOIN (SELECT Classe, avg(target_4h) AS m FROM scored WHERE split = 'train' GROUP BY 1) k ON s.Classe IS NOT DISTINCT FROM k.Classe, (SELECT avg(target_4h) AS m FROM scored WHERE split = 'train') g WHERE s.split IN ('val', 'test')""", "", "Tag_freq Operador_freq Classe_target_enc")
 def _(spark, sf):
     s = c.scored(spark, sf)
@@ -460,7 +473,12 @@ def _(spark, sf):
     return drift.segment_drift(rows.where("Fim < '2024-01-02'"), rows.where("Fim >= '2024-01-02'"), ["Tag", "Frota"])
 
 
-@query("e26_retrain_reasons")
+_REASONS = f"""SELECT f, s, v, k FROM (SELECT count(*) FILTER (feature <> 'score' AND faixa = 'significativo') > 3 AS f, count(*) FILTER (feature = 'score' AND faixa = 'significativo') > 0 AS s FROM ({_PSI})),
+  (SELECT abs(b - a) / a > 0.5 AS v FROM (SELECT avg(prediction) FILTER (Fim < '2024-01-16') AS a, avg(prediction) FILTER (Fim >= '2024-01-16') AS b FROM scored)),
+  (SELECT count(*) > 0 AS k FROM (SELECT DISTINCT unnest(['Frota', 'turno']) AS s, unnest([Frota, turno]) AS x FROM scored WHERE Fim >= '2024-01-16' EXCEPT SELECT DISTINCT unnest(['Frota', 'turno']), unnest([Frota, turno]) FROM scored WHERE Fim < '2024-01-16'))"""
+
+
+@query("e26_retrain_reasons", f"SELECT f OR s OR v OR k AS retreinar, array_to_string(list_filter([CASE WHEN f THEN 'features' END, CASE WHEN s THEN 'score' END, CASE WHEN v THEN 'volume' END, CASE WHEN k THEN 'categorias' END], lambda x: x IS NOT NULL), ',') AS motivos FROM ({_REASONS})")
 def _(spark, sf):
     a, b = _halves(spark, sf)
     found = drift.feature_drift(b, drift.reference_profile(a, _FEATURES))
@@ -470,6 +488,10 @@ def _(spark, sf):
 
 # --- governance
 
+_FOLD_PANEL = f"SELECT *, row_number() OVER (PARTITION BY fold, data ORDER BY score DESC, Tag) AS rank FROM (SELECT fold, Fim::DATE AS data, Tag, max(score) AS score, max(target_4h) AS target_4h FROM ({_FOLD_ROWS}) WHERE split = 'test' GROUP BY 1, 2, 3)"
+_BACKTEST = f"(SELECT fold, precision_at_k AS p, recall_at_k AS r, lift_vs_random AS l FROM ({_topk_sql('fold', _FOLD_PANEL, '(15)')}))"
+_STABILITY = f"SELECT count(*) AS folds, stddev_pop(r) AS recall_std, stddev_pop(p) AS precision_std, stddev_pop(r) <= 0.1 AND stddev_pop(p) <= 0.1 AS passed FROM {_BACKTEST}"
+
 
 def _backtest(spark, sf):
     folds = splits.backtest_folds(c.scored(spark, sf).drop("split"))
@@ -477,18 +499,22 @@ def _backtest(spark, sf):
     return t.select("fold", F.col("precision_at_k").alias("test_top15_precision_at_k"), F.col("recall_at_k").alias("test_top15_recall_at_k"), F.col("lift_vs_random").alias("test_top15_lift_vs_random"))
 
 
-@query("e27_stability_gate")
+@query("e27_stability_gate", _STABILITY, "folds", "recall_std precision_std")
 def _(spark, sf):
     return governance.stability_gate(_backtest(spark, sf))
 
 
-@query("e28_promotion_gate")
+_CRITERIA = f"""SELECT 'test_top15_precision_at_k' AS criterio, p AS observado, 0.6 AS limite, '>=' AS comparacao, p >= 0.6 AS aprovado FROM {_BACKTEST} WHERE fold = 0 UNION ALL SELECT 'test_top15_recall_at_k', r, 0.7, '>=', r >= 0.7 FROM {_BACKTEST} WHERE fold = 0
+  UNION ALL SELECT 'test_top15_lift_vs_random', l, 1.9, '>=', l >= 1.9 FROM {_BACKTEST} WHERE fold = 0 UNION ALL SELECT 'threshold_degenerado', 0, 0, '<=', true UNION ALL SELECT 'estabilidade', passed::INT, 1, '>=', passed FROM ({_STABILITY})"""
+
+
+@query("e28_promotion_gate", f"SELECT *, (SELECT bool_and(aprovado) FROM ({_CRITERIA})) AS veredito FROM ({_CRITERIA})", "", "observado limite")
 def _(spark, sf):
     rows = _backtest(spark, sf)
     return governance.promotion_gate(rows.orderBy("fold").limit(1), governance.stability_gate(rows))
 
 
-@query("e53_fold_summary")
+@query("e53_fold_summary", f"SELECT 'test_top15_precision_at_k' AS metrica, avg(p) AS media, stddev_pop(p) AS desvio FROM {_BACKTEST} UNION ALL SELECT 'test_top15_recall_at_k', avg(r), stddev_pop(r) FROM {_BACKTEST}", "", "media desvio")
 def _(spark, sf):
     return governance.fold_summary(_backtest(spark, sf), ["test_top15_precision_at_k", "test_top15_recall_at_k"])
 
@@ -502,6 +528,12 @@ def _(spark, sf):
     return governance.compare(m.where("split = 'val'"), m.where("split = 'test'"), ["precision", "recall"])
 
 
+@query("e54_goals", "SELECT m AS metrica, v AS valor, g AS meta, v >= g AS atingida FROM (SELECT unnest(['precision', 'recall']) AS m, unnest([sum(target_4h) FILTER (prediction = 1) / sum(prediction)::DOUBLE, sum(target_4h) FILTER (prediction = 1) / sum(target_4h)::DOUBLE]) AS v, unnest([0.3, 0.4]) AS g FROM scored WHERE split = 'test')", "", "valor meta")
+def _(spark, sf):
+    m = metrics.binary_metrics(c.scored(spark, sf).where("split = 'test'"))
+    return governance.against_goals(m, {"precision": 0.3, "recall": 0.4})
+
+
 @query("e56_fingerprint")
 def _(spark, sf):
     return governance.fingerprint(c.cycles(spark, sf))

@@ -20,13 +20,18 @@ CYCLES = T.StructType(
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet or CSV table, by the end of its name; CSV has a header and reads as text without a schema."""
+    """A Parquet or CSV table, by the end of its name or of the names in the folder; CSV has a header and reads as text without a schema."""
     name = path.rstrip("/").lower()
+    csv = lambda p: (spark.read.option("header", True).schema(schema) if schema else spark.read.option("header", True)).csv(p)
     if name.endswith(".parquet"):
         return spark.read.parquet(path)
     if name.endswith((".csv", ".csv.gz")):
-        reader = spark.read.option("header", True)
-        return (reader.schema(schema) if schema else reader).csv(path)
+        return csv(path)
+    for kind, read in (("*.parquet", spark.read.parquet), ("*.csv*", csv)):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{kind}")
+        found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+        if found:
+            return read(path)
     raise ValueError(f"neither Parquet nor CSV: {path}")
 
 

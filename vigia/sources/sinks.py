@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 MANIFEST_KEYS = ["model_name", "threshold", "feature_columns"]
 
@@ -45,9 +46,13 @@ def write_encoder(encoder: dict[str, DataFrame], path: str) -> None:
         write_table(table, f"{path}/{name}")
 
 
-def read_encoder(spark: SparkSession, path: str, names: tuple[str, ...] = ("Tag_freq", "Classe_target_enc", "global", "categories")) -> dict[str, DataFrame]:
-    """The tables of a fitted encoder; an empty one is refused."""
-    out = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def read_encoder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a fitted encoder, that of operators if it has one; an empty one is refused."""
+    out = {n: spark.read.parquet(f"{path}/{n}") for n in ("Tag_freq", "Classe_target_enc", "global", "categories")}
+    try:
+        out["Operador_freq"] = spark.read.parquet(f"{path}/Operador_freq")
+    except AnalysisException:  # the training rows had no operator
+        pass
     empty = [n for n, t in out.items() if t.isEmpty()]
     if empty:
         raise ValueError(f"empty encoder tables: {empty}")
@@ -71,3 +76,23 @@ def read_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
 def append_action(action: DataFrame, path: str) -> None:
     """An entry of the work log; reading takes the last entry of each key."""
     action.withColumn("updated_at", F.coalesce("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))).write.mode("append").parquet(path)
+
+
+def archive(spark: SparkSession, folder: str, verdict: DataFrame, out: str) -> DataFrame:
+    """Move the batch files of a verdict (``batch_id, accepted``) to ``processed`` or ``rejected``; an older file of the name goes.
+
+    The files are renamed one by one where they lie, so no data pass through the driver.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    rows = []
+    for r in verdict.select("batch_id", "accepted").toLocalIterator():
+        target = f"{out}/{'processed' if r['accepted'] else 'rejected'}"
+        source, end = place(f"{folder}/{r['batch_id']}"), place(f"{target}/{r['batch_id']}")
+        system = source.getFileSystem(hadoop)
+        if system.exists(source):
+            system.mkdirs(place(target))
+            system.delete(end, True)
+            system.rename(source, end)
+            rows.append((r["batch_id"], f"{target}/{r['batch_id']}"))
+    return spark.createDataFrame(rows, "batch_id string, arquivado_em string")

@@ -27,40 +27,44 @@ def stream_critical_events(telemetry: DataFrame, rules: DataFrame, late: str = "
 class Cooldown(StatefulProcessor):
     """Keeps an alert if it is the whole cooldown after the last kept one of its tag.
 
-    Alerts wait in the state until the watermark has passed them and leave in order of time and ``Id``.
+    Alerts wait in the state, by the minute, until the watermark has passed their minute, and leave in order of time and
+    ``Id``. There is a timer for each minute that has any, so each alert is read once.
     """
 
+    MINUTE_US = 60_000_000
+
     def __init__(self, wait_us: int):
         self.wait_us = wait_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
-        self.waiting = handle.getListState("waiting", "us long, id long")
+        self.waiting = handle.getMapState("waiting", "minute long", "alerts string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[str]] = {}
         for frame in rows:
             for us, i in zip(frame["us"], frame["Id"], strict=True):
-                self.waiting.appendValue((int(us), int(i)))
-                self.handle.registerTimer(int(us) // 1000 + 1)
+                new.setdefault(int(us) // self.MINUTE_US, []).append(f"{int(us)}:{int(i)}")
+        for minute, alerts in new.items():
+            if self.waiting.containsKey((minute,)):
+                alerts.insert(0, self.waiting.getValue((minute,))[0])
+            else:
+                self.handle.registerTimer((minute + 1) * 60_000)
+            self.waiting.updateValue((minute,), (",".join(alerts),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = sorted(self.waiting.get())
-        ready, rest = [r for r in rows if r[0] < limit], [r for r in rows if r[0] >= limit]
+        minute = expiredTimerInfo.getExpiryTimeInMs() // 60_000 - 1
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for us, i in ready:
+        for us, i in sorted(tuple(map(int, a.split(":"))) for a in self.waiting.getValue((minute,))[0].split(",")):
             if last is None or us - last >= self.wait_us:
                 kept.append((key[0], i, pd.Timestamp(us, unit="us")))
                 last = us
-        if last is not None:
+        if kept:
             self.last.update((last,))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        self.waiting.removeKey((minute,))
         yield pd.DataFrame(kept, columns=["Tag", "Id", "Fim"])
 
     def close(self) -> None:
@@ -87,11 +91,10 @@ def score_drops(batches: DataFrame, score: Callable[[DataFrame], DataFrame], che
 
 
 def watch_drift(stream: DataFrame, profile: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The drift of each micro-batch against a stored profile, appended as a table with ``lote``."""
+    """The drift of each micro-batch against a stored profile, one partition ``lote`` each, which a repeated batch replaces."""
 
     def check(df: DataFrame, number: int) -> None:
-        drift.feature_drift(df, profile).withColumn("lote", F.lit(number)).write.mode("append").parquet(path)
+        found = drift.feature_drift(df, profile).withColumn("lote", F.lit(number))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lote").parquet(path)
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
