@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm.common import materialize, scratch_root, table
+from vigia.llm.common import clear_scratch, materialize, scratch_root, scratch_tables, table
 from vigia.llm.exact_dedup import exact_dedup, halves
 from vigia.llm.jaccard_join import jaccard_classes
 from vigia.llm.packing import pack_documents
@@ -62,14 +62,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays; texts without words link with nothing."""
     rows = numbered(docs)
     classes = jaccard_classes(rows, key=ROW, counts=False)
     return first_of_groups(rows, classes.select(F.col("key").alias(ROW), F.col("component_id").alias("group")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, with their sequences."""
+    """The pieces of all documents left, with their sequences; null texts count as empty, repeated rows each keep their pieces."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -83,11 +83,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage returns is written and read again as the next one's documents."""
+    """All stages in order; what a stage returns is written and read again as the next one's documents.
+
+    Scratch tables of a stage are deleted when its result is written. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = scratch_tables()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        clear_scratch(spark, before)
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
 
