@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vigia.llm.bpe_codec import op10_byte_bpe
+from vigia.llm.collocations import OP11_SQL, op11_collocations
 from vigia.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from vigia.llm.html_extraction import op8_html_extraction
 from vigia.llm.jaccard_join import op3_jaccard_join
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_collocations": OP11_SQL}
