@@ -12,6 +12,7 @@ from vigia.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from vigia.llm.html_extraction import op8_html_extraction
 from vigia.llm.jaccard_join import op3_jaccard_join
 from vigia.llm.license_scan import OP2_SQL, op2_license_scan
+from vigia.llm.mixing import op12_mixing
 from vigia.llm.packing import op4_packing
 from vigia.llm.quality_rules import OP9_SQL, op9_quality_rules
 from vigia.llm.token_counts import op1_token_counts
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_collocations": op11_collocations,
+    "op12_mixing": op12_mixing,
 }
 
 ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_collocations": OP11_SQL}
