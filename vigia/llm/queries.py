@@ -15,6 +15,7 @@ from vigia.llm.license_scan import OP2_SQL, op2_license_scan
 from vigia.llm.mixing import op12_mixing
 from vigia.llm.packing import op4_packing
 from vigia.llm.quality_rules import OP9_SQL, op9_quality_rules
+from vigia.llm.ranked_search import OP13_SQL, op13_ranked_search
 from vigia.llm.token_counts import op1_token_counts
 from vigia.llm.token_files import op6_token_files
 from vigia.llm.toxicity import op7_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_collocations": op11_collocations,
     "op12_mixing": op12_mixing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_collocations": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_quality_rules": OP9_SQL, "op11_collocations": OP11_SQL, "op13_ranked_search": OP13_SQL}
