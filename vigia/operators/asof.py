@@ -1,9 +1,11 @@
-"""As-of and interval-count joins as tagged unions with range windows.
+"""As-of and interval-count joins as tagged unions with growing windows.
 
 Spark SQL has no as-of join. Rows of both sides are put together and ordered by time inside a tag. A fleet may have
-few tags, and one may hold a third of all rows, so windows run inside a tag and a time bucket: the nearest
-event of earlier or later buckets comes from a table with one row for each tag and bucket, and windows of a fixed
-length look into the bucket before through copies of its rows.
+few tags, and one may hold a third of all rows, so windows run inside a tag and a time bucket: what the nearest
+event outside the bucket is comes in as a row of its own, and windows of a fixed length see the bucket before through
+copies of its rows. Every frame starts at the bucket's edge, so it only grows from row to row: Spark updates it instead of
+reading it anew, and time is linear in the rows of a tag and day. A window ``[t - w, t)`` is a difference of such sums
+at its two edges.
 """
 
 from __future__ import annotations
@@ -15,12 +17,24 @@ from pyspark.sql import functions as F
 from vigia.functions.scalar import DAY_US, micros
 
 BUCKET_US = DAY_US
+#: Before any time, in the order of a bucket.
+FIRST = -(1 << 62)
 
 
 def bucket_of(us: Column) -> Column:
     return F.floor(us / F.lit(BUCKET_US)).cast("long")
 
 
+def own_bucket(us: str, row: str = "_row") -> Column:
+    """The bucket of a row; rows without a time, which meet nothing, are dealt to buckets that no time has."""
+    return F.when(F.col(us).isNotNull(), bucket_of(F.col(us))).otherwise(F.pmod(F.xxhash64(row), F.lit(4096)) + FIRST)
+
+
+def before_row(order: str, *by: str) -> W:
+    """The rows of a bucket that come strictly before a row in its order; the frame only grows."""
+    return W.partitionBy("_tag", "_bucket", *by).orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+
+
 def nearest(left: DataFrame, right: DataFrame, time: str, right_time: str, tag: str = "Tag", right_tag: str | None = None, after: bool = True, payload: list[str] | None = None, name: str = "near") -> DataFrame:
     """``left`` with ``name``: struct ``us`` and the payload of the nearest row of ``right`` strictly after (or before) its time.
 
@@ -32,41 +46,58 @@ def nearest(left: DataFrame, right: DataFrame, time: str, right_time: str, tag:
     hit = F.struct(F.col("_us").alias("us"), *payload)
     r = right.select(F.col(right_tag).alias("_tag"), micros(right, right_time).alias("_us"), *payload).where("_us is not null and _tag is not null")
     r = r.select("_tag", "_us", hit.alias("_hit"), bucket_of(F.col("_us")).alias("_bucket"))
-    left_columns = left.columns
-    keyed = left.select(F.struct(*left_columns).alias("_row"), F.col(tag).alias("_tag"), micros(left, time).alias("_us"))
-    keyed = keyed.withColumn("_bucket", bucket_of(F.col("_us")))
-    # Nearest event outside the bucket: one row for each tag and bucket of either side.
-    best = F.min if after else F.max
+    keyed = left.select(F.struct(*left.columns).alias("_row"), F.col(tag).alias("_tag"), micros(left, time).alias("_us"))
+    keyed = keyed.withColumn("_bucket", own_bucket("_us"))
+    # A time after is a time before in descending order.
+    best, sign = (F.min, -1) if after else (F.max, 1)
+    # The nearest event outside the bucket: one row for each tag and bucket of either side, which comes first in the bucket.
     per_bucket = r.groupBy("_tag", "_bucket").agg(best("_hit").alias("_best"))
-    buckets = per_bucket.unionByName(keyed.select("_tag", "_bucket").distinct(), allowMissingColumns=True).groupBy("_tag", "_bucket").agg(best("_best").alias("_best"))
-    order = W.partitionBy("_tag").orderBy("_bucket")
-    beyond = order.rowsBetween(1, W.unboundedFollowing) if after else order.rowsBetween(W.unboundedPreceding, -1)
-    outside = buckets.select("_tag", "_bucket", best("_best").over(beyond).alias("_outside"))
-    both = keyed.withColumn("_hit", F.lit(None).cast(r.schema["_hit"].dataType)).unionByName(r.withColumn("_row", F.lit(None).cast(keyed.schema["_row"].dataType)))
-    inside = W.partitionBy("_tag", "_bucket").orderBy("_us")
-    inside = inside.rangeBetween(1, W.unboundedFollowing) if after else inside.rangeBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("_inside", F.when(F.col("_us").isNotNull(), best("_hit").over(inside))).where("_row is not null")
-    joined = found.alias("f").join(outside.alias("o"), F.col("f._tag").eqNullSafe(F.col("o._tag")) & (F.col("f._bucket") == F.col("o._bucket")), "left")
-    return joined.select("f._row.*", F.coalesce("f._inside", "o._outside").alias(name))
+    buckets = per_bucket.unionByName(keyed.where("_us is not null and _tag is not null").select("_tag", "_bucket").distinct(), allowMissingColumns=True).groupBy("_tag", "_bucket").agg(best("_best").alias("_best"))
+    order = W.partitionBy("_tag").orderBy(F.col("_bucket") * sign).rowsBetween(W.unboundedPreceding, -1)
+    outside = buckets.select("_tag", "_bucket", F.lit(FIRST).cast("long").alias("_order"), best("_best").over(order).alias("_hit")).where("_hit is not null")
+    placed = lambda df: df.withColumn("_order", F.col("_us") * sign).drop("_us")
+    rows = placed(keyed).unionByName(placed(r).unionByName(outside), allowMissingColumns=True)
+    found = rows.withColumn(name, best("_hit").over(before_row("_order"))).where("_row is not null")
+    return found.select("_row.*", name)
 
 
 def with_halo(df: DataFrame, us: str) -> DataFrame:
-    """Each row in its time bucket, and once more, not as ``_own``, in the next one."""
-    places = F.array(F.struct(bucket_of(F.col(us)).alias("b"), F.lit(True).alias("own")), F.struct((bucket_of(F.col(us)) + 1).alias("b"), F.lit(False).alias("own")))
+    """Each row in its time bucket, and once more, not as ``_own``, in the next one. Rows without a time have one place."""
+    own = own_bucket(us, "_row") if "_row" in df.columns else bucket_of(F.col(us))
+    next_one = F.when(F.col(us).isNotNull(), F.struct((bucket_of(F.col(us)) + 1).alias("b"), F.lit(False).alias("own")))
+    places = F.array_compact(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), next_one))
     return df.withColumn("_at", F.explode(places)).withColumns({"_bucket": F.col("_at.b"), "_own": F.col("_at.own")}).drop("_at")
 
 
+def checked_widths(widths_us: list[int]) -> None:
+    if any(not 0 < w <= BUCKET_US for w in widths_us):
+        raise ValueError("a window must be longer than nothing and no longer than a bucket")
+
+
+def edge_values(names: dict[str, int], value: str, *by: str) -> dict[str, Column]:
+    """For each named width the value at the window's end without that at its start, on the rows that are their own end.
+
+    Rows have ``_at``, the time that an edge belongs to, and ``_edge``: the width of a start, 0 at an end. Edges of one time
+    lie in one bucket, so they meet without another shuffle.
+    """
+    together = W.partitionBy("_tag", "_bucket", "_at", *by)
+    start = lambda w: F.max(F.when(F.col("_edge") == w, F.col(value))).over(together)
+    return {n: F.coalesce(F.col(value), F.lit(0)) - F.coalesce(start(w), F.lit(0)) for n, w in names.items()}
+
+
 def interval_counts(left: DataFrame, right: DataFrame, time: str, right_time: str, widths_us: dict[str, int], tag: str = "Tag", right_tag: str | None = None) -> DataFrame:
-    """``left`` with the number of right rows in ``[t - width, t)`` for each named width, up to one bucket long."""
-    if any(w > BUCKET_US for w in widths_us.values()):
-        raise ValueError("a window is longer than a bucket")
+    """``left`` with the number of right rows in ``[t - width, t)`` for each named width, up to one bucket long.
+
+    Left rows without a time or tag count 0; right rows without one are left out.
+    """
+    checked_widths(list(widths_us.values()))
     right_tag = right_tag or tag
     r = right.select(F.col(right_tag).alias("_tag"), micros(right, right_time).alias("_us")).where("_us is not null and _tag is not null")
     # Ties of events are counted before the union: one row for each tag and instant.
     r = with_halo(r.groupBy("_tag", "_us").agg(F.count(F.lit(1)).alias("_n")), "_us").drop("_own")
-    keyed = left.select(F.struct(*left.columns).alias("_row"), F.col(tag).alias("_tag"), micros(left, time).alias("_us"))
-    keyed = keyed.withColumn("_bucket", bucket_of(F.col("_us"))).withColumn("_n", F.lit(None).cast("long"))
-    both = keyed.unionByName(r.withColumn("_row", F.lit(None).cast(keyed.schema["_row"].dataType)))
-    order = W.partitionBy("_tag", "_bucket").orderBy("_us")
-    counts = [F.when(F.col("_us").isNull(), 0).otherwise(F.coalesce(F.sum("_n").over(order.rangeBetween(-w, -1)), F.lit(0))).cast("long").alias(n) for n, w in widths_us.items()]
-    return both.select("_row", *counts).where("_row is not null").select("_row.*", *widths_us)
+    keyed = left.select(F.struct(*left.columns).alias("_row"), F.col(tag).alias("_tag"), micros(left, time).alias("_at"))
+    keyed = keyed.withColumn("_bucket", own_bucket("_at"))
+    edges = F.explode(F.array(*[F.lit(w).cast("long") for w in (0, *widths_us.values())])).alias("_edge")
+    edges = keyed.select("_tag", "_bucket", "_at", edges, "_row").withColumns({"_us": F.col("_at") - F.col("_edge"), "_row": F.when(F.col("_edge") == 0, F.col("_row"))})
+    counted = edges.unionByName(r, allowMissingColumns=True).withColumn("_sum", F.sum("_n").over(before_row("_us"))).where("_edge is not null")
+    return counted.withColumns(edge_values(widths_us, "_sum")).where("_row is not null").select("_row.*", *widths_us)
