@@ -625,7 +625,7 @@ def test_style_tree_equals_brute_force(spark):
         assert r["text"] == " ".join(kept)
 
 
-def test_style_tree_decides_on_the_given_pages(spark):
+def test_style_tree_leaves_the_given_articles_alone(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     branches = html_extraction.unimportant_branches(html_extraction.style_tree(pages, "url", "html"))
     assert branches.count() > 0
@@ -638,6 +638,35 @@ def test_style_tree_decides_on_the_given_pages(spark):
     plain = [r for r in html_extraction.extract_main_text(bare).collect() if html_extraction.host_of(r["url"]) == large[0]]
     assert all(named[r["key"]] in r["text"] for r in plain)
 
+def extracted(spark, rows):
+    return {r["key"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_reader_comments_and_adverts_go(spark):
+    own = "<article><h1>Title</h1><p>Text</p>{}</article>{}"
+    inside = ['<div class="user-comments"><p>No</p></div>', '<section class="comments"><article class="c1"><p>No</p></article><article><p>No</p></article></section>', '<div class="inline-advert">No</div>', '<div id="adbox">No</div>', '<div class="adSlot">No</div>']
+    inside += ['<p class="you-may-also-like">No</p>', '<div class="email-subscribe">No</div>', '<div class="article__comments">No</div>', '<ul class="commentlist"><li><article>No</article></li></ul>']
+    after = ['<div class="reader-comments"><p>No</p></div>', '<section id="comments"><article>No</article></section>', '<div class="related"><article><h2>No</h2></article></div>', '<div class="comment-thread"><div><article>No</article></div></div>']
+    kept = ['<p class="ad-hoc">Yes</p>', '<div class="expert-comment">Yes</div>', '<pre class="code-comments">Yes</pre>', '<p class="commentary">Yes</p>', '<p class="share-price">Yes</p>', '<p class="ad-free">Yes</p>', '<div class="roadmap">Yes</div>']
+    pages = [own.format(x, "") for x in inside] + [own.format("", x) for x in after] + [own.format(x, "") for x in kept]
+    got = extracted(spark, [(k, f"https://{k}.example/", p) for k, p in enumerate(pages)])
+    gone = len(inside) + len(after)
+    assert [got[k] for k in range(gone)] == ["Title Text"] * gone
+    assert [got[gone + k] for k in range(len(kept))] == ["Title Text Yes"] * len(kept)
+
+
+def test_a_menu_that_is_never_closed_ends_at_the_article(spark):
+    got = extracted(spark, [(1, "https://a.example/", '<div class="menu"><a>Home</a><article><p>Text</p></article>')])
+    assert got == {1: "Text"}
+
+
+def test_without_the_style_tree_shared_branches_stay(spark, monkeypatch):
+    page = '<div class="a"><div class="b"><p>Home News Sport</p></div><div class="c"><h1>Title {0}</h1><p>Words of page {0}</p></div><div class="d"><p>Imprint of all pages</p></div></div>'
+    rows = [(k, f"https://h.example/{k}", page.format(k)) for k in range(12)]
+    assert extracted(spark, rows) == {k: f"Title {k} Words of page {k}" for k in range(12)}
+    monkeypatch.setattr(html_extraction, "MIN_PAGES", 1_000)
+    assert extracted(spark, rows)[3] == "Home News Sport Title 3 Words of page 3 Imprint of all pages"
+
 
 def test_names_of_several_words(spark):
     page = """<article><p>One</p><div class="share-price">Two</div><p class="alert-level">Three</p><div id="related-work">Four</div><div class="share-buttons">No</div><div class="newsletterBox">No</div></article>"""

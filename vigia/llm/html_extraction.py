@@ -57,6 +57,16 @@ REMOVED_NAMES = set(
 BESIDE_NAMES = set(
     "area bar block body bottom box button buttons card center column container content desktop fixed footer global group head header heading holder inner item items layer left link links list main mobile outer overlay page panel right row section site slot small sticky tab text title top unit wrap wrapper zone".split()
 )
+# Words that tell alone, as the first or last of a name, whatever stands beside them ("inline-advert", "reader-comments").
+SURE_NAMES = set("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disqus gdpr navbar newsletter popup promo promoted sidebar sponsored subscribe".split())
+# Words beside which they mean something else ("ad-hoc", "expert-comment", "code-comments").
+FALSE_FRIENDS = set("author authors code editor editors expert free hoc infinitum lib no source without".split())
+# Whole names of lists of other articles.
+REMOVED_PHRASES = {"you may also like", "you might also like", "read next", "more stories"}
+# How words start in names of what may hold articles that aren't the page's own.
+HOLD_OTHERS = ("comment", "disqus", "related", "replies", "respond")
+#: Two words written as one ("adbox", "commentlist").
+JOINED_NAMES = {a + b for r in REMOVED_NAMES for o in BESIDE_NAMES for a, b in ((r, o), (o, r))}
 #: Only outside the article, whose own header holds its title.
 REMOVED_OUTSIDE = {"header"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -109,19 +119,24 @@ class Node:
             parent.children.append(label)
 
 
-def _names(attributes: str) -> tuple[str, bool, bool]:
+def _names(attributes: str) -> tuple[str, bool, bool, bool]:
     """The presentation of an element (its class names without numbers), and whether one names what isn't the article.
 
-    The second flag is for names that count outside the article only.
+    The second flag is for names that count outside the article only, the third for what may hold articles of others.
     """
     given = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
-    removed = outside = False
+    removed = outside = others = False
     for name in given.split():
         words = [w.lower() for w in WORD.findall(name)]
+        if not words:
+            continue
         plain = all(w in REMOVED_NAMES or w in BESIDE_NAMES for w in words)
-        removed |= plain and not REMOVED_NAMES.isdisjoint(words)
+        sure = (words[0] in SURE_NAMES or words[-1] in SURE_NAMES) and FALSE_FRIENDS.isdisjoint(words)
+        mine = sure or (plain and not REMOVED_NAMES.isdisjoint(words)) or (len(words) == 1 and words[0] in JOINED_NAMES) or " ".join(words) in REMOVED_PHRASES
+        removed |= mine
+        others |= mine and any(w.startswith(HOLD_OTHERS) for w in words)
         outside |= plain and not REMOVED_OUTSIDE.isdisjoint(words)
-    return re.sub(r"\d+", "0", given.strip()), removed, outside
+    return re.sub(r"\d+", "0", given.strip()), removed, outside, others
 
 
 class Page:
@@ -138,6 +153,7 @@ class Page:
         self.holders: list[int] = []
         self.contents: list[int] = []
         self.removed: list[int] = []
+        self.others: list[int] = []
         self.parts: list[str] = []
         for token in TOKEN.finditer(source):
             if (text := token["text"]) is not None:
@@ -159,12 +175,12 @@ class Page:
             self.stack[-1].texts.append(text)
             self.blocks.append((self.stack[-1], text))
 
-    def _push(self, node: Node) -> None:
+    def _push(self, node: Node, others: bool) -> None:
         depth = len(self.stack)
         self.stack.append(node)
         self.nodes.append(node)
         self.depths.setdefault(node.name, []).append(depth)
-        for listed, fits in ((self.holders, node.name in HOLDERS), (self.contents, node.name in CONTENT), (self.removed, node.kind == "removed" and node.name not in ("aside", "form"))):
+        for listed, fits in ((self.holders, node.name in HOLDERS), (self.contents, node.kind == "content" and node.name in CONTENT), (self.removed, node.kind == "removed" and node.name not in ("aside", "form")), (self.others, others)):
             if fits:
                 listed.append(depth)
 
@@ -172,7 +188,7 @@ class Page:
         self._flush()
         while len(self.stack) > depth:
             self.depths[self.stack.pop().name].pop()
-        for listed in (self.holders, self.contents, self.removed):
+        for listed in (self.holders, self.contents, self.removed, self.others):
             while listed and listed[-1] >= depth:
                 listed.pop()
 
@@ -181,11 +197,11 @@ class Page:
             if name in ("br", "hr"):
                 self.parts.append(" ")
             return
-        label, named, named_outside = _names(attributes) if attributes.strip(" /") else ("", False, False)
+        label, named, named_outside, others = _names(attributes) if attributes.strip(" /") else ("", False, False, False)
         if name in INLINE and (name == "a" or not named):
             return
         self._flush()
-        if name in CONTENT and self.removed:  # menus and adverts that were never closed end where the article starts
+        if name in CONTENT and self.removed and not self.others:  # menus and adverts that were never closed end where the article starts
             self._pop_to(self.removed[0])
         closes = CLOSED_BY.get(name, ()) or ()
         last = max((self.depths[n][-1] for n in (*closes, *(("p",) if name in ENDS_PARAGRAPH else ())) if self.depths.get(n)), default=0)
@@ -199,7 +215,7 @@ class Page:
             kind, form = "content", False
         else:
             kind = "removed" if removed or parent.kind == "removed" else "content" if inside else "neutral"
-        self._push(Node(name, f"{name} {label}", parent, kind, form))
+        self._push(Node(name, f"{name} {label}", parent, kind, form), others and kind == "removed")
 
     def _close(self, name: str) -> None:
         open_at = self.depths.get(name)
@@ -318,7 +334,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", source: str = "html",
     Elements that HTML or their names mark as menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles or reader comments are removed, and so are branches of neither kind that are unimportant in the
     style tree of their host. What lies in ``article`` or ``main`` is kept otherwise, however often the
-    host repeats it, even in a form around the whole page. Null html counts as empty and has an empty text; pages without
+    host repeats it, even in a form around the whole page; but an ``article`` inside reader comments or a list of related
+    articles goes with them. In the tree, elements below ``MAX_LEVELS`` levels are part of their ancestor there. Null html counts as empty and has an empty text; pages without
     a host share the empty host; an empty table gives no rows. A page that is cut off ends all its open elements. Blocks
     are joined by one space. Pages of any length and depth take time and memory in proportion to their length.
 
