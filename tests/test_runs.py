@@ -109,12 +109,15 @@ def test_label_to_segments(spark, tmp_path, telemetry):
 
 def test_drift_runs(spark, tmp_path):
     rows = canonical.scored(spark, SF).withColumn("hora", F.hour("Fim").cast("double"))
-    table = pipelines.drift_baseline(rows, ["hora", "score"], str(tmp_path))
+    base = str(tmp_path / "base")
+    table = pipelines.drift_baseline(rows, ["hora", "score"], base, ["Frota"])
     assert {r["feature"] for r in table.collect()} == {"hora", "score"}
-    same = pipelines.drift_check(rows, rows, table, ["Frota"], str(tmp_path)).first()
-    assert not same["retreinar"] and spark.read.json(str(tmp_path / "drift")).first()["retreinar"] is False
+    same = pipelines.drift_check(rows, base, str(tmp_path / "a")).first()
+    assert not same["retreinar"] and spark.read.json(str(tmp_path / "a" / "drift")).first()["retreinar"] is False
     moved = rows.withColumns({"score": F.col("score") / 10, "Frota": F.lit("new")})
-    assert pipelines.drift_check(rows, moved, table, ["Frota"], str(tmp_path)).first()["motivos"] == "score,categorias"
+    assert pipelines.drift_check(moved, base, str(tmp_path / "b")).first()["motivos"] == "score,categorias"
+    pipelines.drift_baseline(rows, ["hora", "score"], str(tmp_path / "plain"))
+    assert pipelines.drift_check(moved, str(tmp_path / "plain"), str(tmp_path / "c")).first()["motivos"] == "score"
 
 
 def test_drift_stream_replaces_a_repeated_batch(spark, tmp_path):

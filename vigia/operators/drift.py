@@ -32,13 +32,25 @@ def reference_edges(df: DataFrame, features: list[str], bins: int = BINS) -> Dat
     small = counts.join(F.broadcast(few.where(F.col("distinct") <= MAX_DISCRETE)), "feature").groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("v"))
     many = counts.join(F.broadcast(few.where(F.col("distinct") > MAX_DISCRETE)), "feature")
     large = quantiles_of(many, "value", [k / bins for k in range(bins + 1)], ["feature"]).select("feature", F.array_distinct("q").alias("v"))
+    return small.select("feature", discrete_edges(F.col("v")).alias("edges")).unionByName(large.select("feature", quantile_edges(F.col("v")).alias("edges")))
+
+
+def _constant(v: Column) -> Column:
+    return F.array(F.get(v, F.lit(0)), F.get(v, F.lit(0)) + EPSILON)
+
+
+def discrete_edges(v: Column) -> Column:
+    """Edges halfway between sorted values, open at both ends; one narrow bin for a single value."""
     inf = F.lit(float("inf"))
-    middle = F.transform(F.sequence(F.lit(1), F.size("v") - 1), lambda i: (F.get("v", i - 1) + F.get("v", i)) / 2)
-    constant = F.array(F.get("v", F.lit(0)), F.get("v", F.lit(0)) + EPSILON)
-    discrete = small.select("feature", F.when(F.size("v") < 2, constant).otherwise(F.concat(F.array(-inf), middle, F.array(inf))).alias("edges"))
-    inner = F.slice("v", 2, F.greatest(F.size("v") - 2, F.lit(0)))
-    quantile = large.select("feature", F.when(F.size("v") < 2, constant).otherwise(F.concat(F.array(-inf), inner, F.array(inf))).alias("edges"))
-    return discrete.unionByName(quantile)
+    middle = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: (F.get(v, i - 1) + F.get(v, i)) / 2)
+    return F.when(F.size(v) < 2, _constant(v)).otherwise(F.concat(F.array(-inf), middle, F.array(inf)))
+
+
+def quantile_edges(v: Column) -> Column:
+    """Distinct sorted quantiles as edges, the outer ones open."""
+    inf = F.lit(float("inf"))
+    inner = F.slice(v, 2, F.greatest(F.size(v) - 2, F.lit(0)))
+    return F.when(F.size(v) < 2, _constant(v)).otherwise(F.concat(F.array(-inf), inner, F.array(inf)))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -87,12 +99,20 @@ def feature_drift(batch: DataFrame, profile: DataFrame) -> DataFrame:
     return summed.select("feature", psi.alias("psi"), F.when(~present, BANDS["absent"]).otherwise(psi_band(psi)).alias("faixa"))
 
 
+def categories(df: DataFrame, segments: list[str]) -> DataFrame:
+    """``segmento, categoria`` of the segments that there are; null is no category."""
+    return df.select(*[F.col(c).cast("string").alias(c) for c in segments]).unpivot([], segments, "segmento", "categoria").where("categoria is not null").distinct()
+
+
 def segment_drift(reference: DataFrame, batch: DataFrame, segments: list[str]) -> DataFrame:
     """``segmento, categoria, estado``: categories only in the batch (nova) or only in the reference (ausente)."""
-    kinds = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in segments]).unpivot([], segments, "segmento", "categoria").where("categoria is not null").distinct()
-    a, b = kinds(reference), kinds(batch)
-    new = b.exceptAll(a).withColumn("estado", F.lit("nova"))
-    return new.unionByName(a.exceptAll(b).withColumn("estado", F.lit("ausente")))
+    return category_drift(categories(reference, segments), categories(batch, segments))
+
+
+def category_drift(known: DataFrame, found: DataFrame) -> DataFrame:
+    """The same of two tables of categories."""
+    new = found.exceptAll(known).withColumn("estado", F.lit("nova"))
+    return new.unionByName(known.exceptAll(found).withColumn("estado", F.lit("ausente")))
 
 
 def alert_volume(reference_rate: float, batch: DataFrame, tolerance: float = 0.5) -> DataFrame:

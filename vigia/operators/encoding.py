@@ -17,8 +17,9 @@ MAX_SENT_ROWS = 200_000
 
 def frequencies(train: DataFrame, column: str) -> DataFrame:
     """``value, freq``: share of each value among rows where the column isn't null."""
-    counted = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("value", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("freq"))
+    known = train.where(F.col(column).isNotNull())
+    counted = known.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(F.broadcast(known.agg(F.count(F.lit(1)).alias("all")))).select("value", (F.col("n") / F.col("all")).alias("freq"))
 
 
 def target_means(train: DataFrame, column: str = "Classe") -> DataFrame:

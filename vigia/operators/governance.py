@@ -72,8 +72,16 @@ def same_rows(a: DataFrame, b: DataFrame, time: str = "Fim") -> bool:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """``rows`` and ``digest`` of a table, whatever the order of its rows."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
+    """``rows`` and ``digest`` of a table as a multiset: whatever the order of its rows, and with each repeat counted.
+
+    The digest is two sums of seeded hashes, so equal rows add up instead of cancelling out. Hashes pass over nulls, so which
+    columns are null is hashed as well; the columns' names and order count too.
+    """
+    names = F.lit(",".join(df.columns))
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), names, nulls, *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), total(17).alias("a"), total(9001).alias("b"))
+    return sums.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256).alias("digest"))
 
 
 def config_hash(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,43 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import safe_divide
-from vigia.operators.ordered import quantiles
+from vigia.operators.ordered import ordered_counts, quantiles
 
 TARGET = "target_4h"
-#: Ranges that scores are cut into for running sums, so that no task sees all distinct scores.
-SCORE_RANGES = 64
 
 
 def score_counts(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each group and distinct score: ``n, pos`` at it, ``cum_n, cum_pos`` at it or above, and the group's totals.
 
-    Scores without a number are left out. Running sums are taken inside ranges of the score and
-    carried over the ranges, of which there are a fixed number.
+    Scores without a number and rows without a group are left out. Sums run inside ranges of the scores that there are, whatever
+    their spread, and are carried over the ranges.
     """
     by = by or []
-    usable = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).select(*by, "score", F.col(TARGET).cast("long").alias("y"))
-    distinct = usable.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    part = F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * SCORE_RANGES).alias("_range")
-    distinct = distinct.select("*", part)
-    ranges = distinct.groupBy(*by, "_range").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rp"))
-    above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
-    carried = ranges.select(
-        *by,
-        "_range",
-        F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n0"),
-        F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p0"),
-        F.sum("rn").over(whole).alias("total_n"),
-        F.sum("rp").over(whole).alias("total_pos"),
-    )
-    inside = W.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    ran = distinct.withColumns({"in_n": F.sum("n").over(inside), "in_p": F.sum("pos").over(inside)})
-    joined = ran.join(F.broadcast(carried), [*by, "_range"])
-    return joined.select(*by, "score", "n", "pos", (F.col("n0") + F.col("in_n")).alias("cum_n"), (F.col("p0") + F.col("in_p")).alias("cum_pos"), "total_n", "total_pos")
+    usable = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).select(*by, "score", F.col(TARGET).alias("_y"))
+    c = ordered_counts(usable, ["score"], by, {"pos": "_y"})
+    cum_n, cum_pos = F.col("total") - F.col("upto") + F.col("n"), F.col("total_pos") - F.col("upto_pos") + F.col("pos")
+    return c.select(*by, "score", "n", "pos", cum_n.alias("cum_n"), cum_pos.alias("cum_pos"), F.col("total").alias("total_n"), "total_pos")
 
 
 def ranking_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -34,22 +34,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordered_counts(df: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
+def ordered_counts(df: DataFrame, values: list[str], by: list[str] | None = None, sums: dict[str, str] | None = None) -> DataFrame:
     """``by, values, n, upto, total``: rows at each distinct value, at it or below, and in all of its group.
 
-    Rows without a value or a group are left out. ``values`` are compared in order.
+    Rows without a value or a group are left out. ``values`` are compared in order. ``sums`` names sums of whole-number columns that are
+    taken alike: ``{"pos": "y"}`` adds ``pos, upto_pos, total_pos``.
     """
-    by = by or []
+    by, sums = by or [], sums or {}
     known = df.na.drop(subset=[*by, *values])
-    counts = known.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(s) for s, c in sums.items()])
     parts = written(counts.repartitionByRange(*by, *values).withColumn("_p", F.spark_partition_id()), "ordered")
     # One row for each range and group in it.
-    sizes = parts.groupBy(*by, "_p").agg(F.sum("n").alias("_c"))
+    sizes = parts.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_c_{c}") for c in ("n", *sums)])
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = F.sum("_c").over(whole.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select(*by, "_p", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("total"))
-    inside = F.sum("n").over(W.partitionBy("_p", *by).orderBy(*values).rowsBetween(W.unboundedPreceding, 0))
-    return parts.withColumn("_in", inside).join(F.broadcast(starts), [*by, "_p"]).select(*by, *values, "n", (F.col("_before") + F.col("_in")).alias("upto"), "total")
+    earlier = whole.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    named = {"n": ("upto", "total"), **{s: (f"upto_{s}", f"total_{s}") for s in sums}}
+    starts = sizes.select(*by, "_p", *[F.coalesce(F.sum(f"_c_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in named], *[F.sum(f"_c_{c}").over(whole).alias(total) for c, (_, total) in named.items()])
+    inside = W.partitionBy("_p", *by).orderBy(*values).rowsBetween(W.unboundedPreceding, 0)
+    ran = parts.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in named}).join(F.broadcast(starts), [*by, "_p"])
+    out = [x for c, (upto, total) in named.items() for x in (F.col(c), (F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(upto), F.col(total))]
+    return ran.select(*by, *values, *out)
+
+
+def placed(df: DataFrame, order: list[str], label: str = "placed") -> DataFrame:
+    """The rows, written, with their ``place`` from 1 in this order: sorted ranges, with the counts of the ranges before.
+
+    The order should tell all rows apart; equal ones are placed at will.
+    """
+    kept = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), label)
+    kept = kept.withColumns({"_p": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    # One row for each range.
+    earlier = W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    return kept.join(F.broadcast(starts), "_p").withColumn("place", F.col("_before") + F.col("_in") + 1).drop("_at", "_p", "_in", "_before")
 
 
 def rows_at(counts: DataFrame, values: list[str], shares: list[float]) -> tuple[int, list[tuple]]:

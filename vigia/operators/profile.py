@@ -139,7 +139,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def pareto(df: DataFrame, column: str, top: int = 15) -> DataFrame:
     """Counts of the most frequent values with their share of all rows and the cumulative share."""
     counted = df.groupBy(F.col(column).cast("string").alias("categoria")).agg(F.count(F.lit(1)).alias("n"))
-    share = counted.withColumn("pct", safe_percent(F.col("n"), F.sum("n").over(W.partitionBy())))
+    share = counted.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("all")))).select("categoria", "n", safe_percent(F.col("n"), F.col("all")).alias("pct"))
     first = share.orderBy(F.desc("n"), "categoria").limit(top)
     return first.withColumn("pct_acumulado", F.sum("pct").over(W.orderBy(F.desc("n"), "categoria").rowsBetween(W.unboundedPreceding, 0)))
 

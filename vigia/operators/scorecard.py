@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigia.functions.scalar import DAY_US, HOUR_US, UNKNOWN, micros, safe_divide
 from vigia.operators.metrics import binary_metrics, score_counts
-from vigia.operators.ordered import quantiles
+from vigia.operators.ordered import ordered_counts, quantiles
 
 TARGET = "target_4h"
 TOP_K = (3, 5, 10, 15, 20)
@@ -122,14 +122,15 @@ def budget_metrics(scored: DataFrame, budgets: tuple[float, ...] = BUDGETS) -> D
     totals = usable.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("total_positives"), F.avg(F.col(TARGET).cast("double")).alias("prevalence"), span_days(usable).alias("days"))
     cuts = totals.select("*", F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget_pct"))
     cuts = cuts.withColumn("selected_rows", F.greatest(F.ceil(F.col("n") * F.col("budget_pct")), F.lit(1)))
-
-
     cum = score_counts(usable, ["split"]).select("split", "score", "n", "pos", "cum_n", "cum_pos")
     cut = cum.withColumnRenamed("n", "at_n").join(F.broadcast(cuts.select("split", "budget_pct", "selected_rows")), "split").where((F.col("cum_n") >= F.col("selected_rows")) & (F.col("cum_n") - F.col("at_n") < F.col("selected_rows")))
     cut = cut.select("split", "budget_pct", F.col("score").alias("cut"), (F.col("cum_pos") - F.col("pos")).alias("above"), (F.col("selected_rows") - F.col("cum_n") + F.col("at_n")).alias("missing"))
-    tied = usable.withColumnRenamed("score", "cut").join(F.broadcast(cut), ["split", "cut"]).select("split", "budget_pct", "missing", "Id", TARGET)
-    order = W.partitionBy("split", "budget_pct").orderBy("Id")
-    tied = tied.withColumn("k", F.row_number().over(order)).where("k <= missing").groupBy("split", "budget_pct").agg(F.sum(TARGET).alias("at_cut"))
+    # Most rows may be tied at a cut, which budgets may share: their places are counted once, in ranges of ``Id``.
+    tied = usable.join(F.broadcast(cut.select("split", F.col("cut").alias("score")).distinct()), ["split", "score"]).select("split", F.col("score").alias("cut"), "Id", F.col(TARGET).cast("long").alias("_y"))
+    places = ordered_counts(tied, ["Id", "_y"], ["split", "cut"])
+    first = F.col("missing") - F.col("upto") + F.col("n")
+    tied = places.join(F.broadcast(cut.select("split", "budget_pct", "cut", "missing")), ["split", "cut"]).where(first > 0)
+    tied = tied.groupBy("split", "budget_pct").agg(F.sum(F.col("_y") * F.least(F.col("n"), first)).alias("at_cut"))
     out = cuts.join(cut, ["split", "budget_pct"]).join(tied, ["split", "budget_pct"], "left")
     out = out.withColumn("positives_captured", F.col("above") + F.coalesce("at_cut", F.lit(0)))
     out = out.withColumns({"alerts_per_day": F.col("selected_rows") / F.col("days"), "precision_at_budget": safe_divide(F.col("positives_captured"), F.col("selected_rows")), "recall_at_budget": safe_divide(F.col("positives_captured"), F.col("total_positives"))})

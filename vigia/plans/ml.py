@@ -12,12 +12,12 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import clip
 from vigia.operators import contract, encoding, metrics, ranking, scorecard, splits
 from vigia.operators.governance import compare, same_rows
+from vigia.operators.ordered import placed
 
 TARGET = "target_4h"
 
@@ -114,24 +114,35 @@ def backtest(data: DataFrame, kind: str = "logistic", **params: float) -> DataFr
     return scorecard.topk_metrics(panel, ["fold"]).where("top_k_tags_per_day = 15").select("fold", F.col("precision_at_k").alias("test_top15_precision_at_k"), F.col("recall_at_k").alias("test_top15_recall_at_k"))
 
 
-def importance(model: PipelineModel, data: DataFrame, features: list[str], repeats: int = 3) -> DataFrame:
-    """``feature, importance``: the model's own, or the mean loss of average precision when a feature is shuffled."""
+def importance(model: PipelineModel, data: DataFrame, features: list[str], repeats: int = 3, key: str = "Id") -> DataFrame:
+    """``feature, importance``: the model's own, or the mean loss of average precision when a feature is permuted."""
     spark, last = data.sparkSession, model.stages[-1]
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
         return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values, strict=True)], "feature string, importance double")
-    base = metrics.ranking_metrics(score(model, data, features)).first()["auc_pr"]
-    rows = []
-    for f in features:
-        lost = 0.0
-        for r in range(repeats):
-            # The values move along a ring of rows in an order by hash: a permutation without random state.
-            blocks = data.withColumn("_b", F.pmod(F.xxhash64("Id"), F.lit(64)))
-            ring = W.partitionBy("_b").orderBy(F.xxhash64("Id", F.lit(r)))
-            mixed = blocks.withColumn(f, F.coalesce(F.lag(f, r + 1).over(ring), F.first(f).over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).drop("_b")
-            lost += (base - metrics.ranking_metrics(score(model, mixed, features)).first()["auc_pr"]) / repeats
-        rows.append((f, float(lost)))
-    return spark.createDataFrame(rows, "feature string, importance double")
+    base = metrics.ranking_metrics(score(model, data, features)).select(F.col("auc_pr").alias("base"))
+    found = metrics.ranking_metrics(score(model, permuted(data, features, repeats, key), features), ["_feature", "_repeat"])
+    return found.join(F.broadcast(base)).groupBy(F.col("_feature").alias("feature")).agg(F.avg(F.col("base") - F.col("auc_pr")).alias("importance"))
+
+
+def permuted(data: DataFrame, features: list[str], repeats: int = 3, key: str = "Id") -> DataFrame:
+    """The rows once for each ``_feature`` and ``_repeat``, with the values of that feature permuted over the rows.
+
+    Rows are placed in the order of their keys and in an order by hash for each repeat; the row at a place gets the value of
+    the one that has the place in the other order. So each value goes to one row, nulls too, and a repeat's permutation is
+    the same for all features. All variants are one table. Keys that repeat are placed by all their values.
+    """
+    whole = data.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in data.columns]).alias("_hash"))
+    rows = placed(whole, [key, "_hash"]).drop("_hash").withColumnRenamed("place", "_place")
+    parts = []
+    for r in range(repeats):
+        mixed = placed(whole.select(F.xxhash64(F.lit(r), key, "_hash").alias("_mix"), "_hash", F.struct(*features).alias("_given")), ["_mix", "_hash"])
+        parts.append(mixed.select(F.lit(r).alias("_repeat"), F.col("place").alias("_place"), "_given"))
+    given = parts[0]
+    for part in parts[1:]:
+        given = given.unionByName(part)
+    joined = rows.join(given, "_place").withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
+    return joined.withColumns({f: F.when(F.col("_feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f)) for f in features}).drop("_given", "_place")
 
 
 def leaky_encodings(data: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from vigia.functions.scalar import shift_of
-from vigia.operators import contract, drift, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, splits
+from vigia.operators import contract, drift, drift_parts, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, splits
 from vigia.operators.ordered import written
 from vigia.plans import ml
 from vigia.sources import readers, sinks
@@ -137,15 +138,41 @@ def watch_batches(spark: SparkSession, folder: str, schema: StructType, model_pa
     return jobs.score_drops(drops, lambda df: sinks.write_batch_scores(score_batches(df, model, manifest, out), f"{out}/verdicts"), checkpoint)
 
 
-def drift_baseline(reference: DataFrame, names: list[str], out: str) -> DataFrame:
-    sinks.write_table(drift.reference_profile(reference, names), f"{out}/profile")
-    return reference.sparkSession.read.parquet(f"{out}/profile")
+def drift_baseline(reference: DataFrame, names: list[str], out: str, segments_: list[str] | None = None, period: str | None = None) -> DataFrame:
+    """The profile of reference rows that have a ``prediction``: bins by feature, the alert rate, and the segments' categories.
 
-
-def drift_check(reference: DataFrame, batch: DataFrame, profile_table: DataFrame, segments_: list[str], out: str) -> DataFrame:
-    found = drift.feature_drift(batch, profile_table)
-    rate = reference.agg(F.avg(F.col("prediction").cast("double"))).first()[0]
-    reasons = drift.retrain_reasons(found.where("feature <> 'score'"), found.where("feature = 'score'"), drift.alert_volume(rate, batch), drift.segment_drift(reference, batch, segments_))
+    With ``period``, a column, the profile is made of stored parts: running it again with later rows adds their periods, replaces
+    those that it has again, and leaves the others. Without, the rows are one period with exact bins.
+    """
+    spark = reference.sparkSession
+    rows = reference.withColumn(drift_parts.PERIOD, F.col(period).cast("string") if period else F.lit("total"))
+    if period:
+        sinks.write_partitioned(drift_parts.feature_parts(rows, names), f"{out}/features", drift_parts.PERIOD)
+        profile_table = drift_parts.profile_of(spark.read.parquet(f"{out}/features"))
+    else:
+        profile_table = drift.reference_profile(reference, names)
+    sinks.write_partitioned(drift_parts.alert_parts(rows), f"{out}/alerts", drift_parts.PERIOD)
+    if segments_:
+        sinks.write_partitioned(drift_parts.category_parts(rows, segments_), f"{out}/categories", drift_parts.PERIOD)
+    sinks.write_table(profile_table, f"{out}/profile")
+    return spark.read.parquet(f"{out}/profile")
+
+
+def drift_check(batch: DataFrame, baseline: str, out: str) -> DataFrame:
+    """Compare a scored batch with a stored baseline; no row of the reference is read. Writes features, categories and the verdict."""
+    spark = batch.sparkSession
+    read = lambda name, schema: spark.read.schema(f"{schema}, {drift_parts.PERIOD} string").parquet(f"{baseline}/{name}")
+    rate = drift_parts.alert_rate(read("alerts", "linhas long, alertas long"))
+    try:
+        known = drift_parts.categories_of(read("categories", "segmento string, categoria string, n long"))
+    except AnalysisException:  # a baseline without segments
+        known = spark.createDataFrame([], "segmento string, categoria string")
+    watched = [r["segmento"] for r in known.select("segmento").distinct().collect() if r["segmento"] in batch.columns]
+    found = drift.feature_drift(batch, spark.read.parquet(f"{baseline}/profile"))
+    sinks.write_csv(found.orderBy(F.desc_nulls_last("psi"), "feature"), f"{out}/drift_features")
+    changed = drift.category_drift(known.where(F.col("segmento").isin(watched)), drift.categories(batch, watched)) if watched else known.limit(0).withColumn("estado", F.lit(""))
+    sinks.write_csv(changed, f"{out}/drift_categories")
+    reasons = drift.retrain_reasons(found.where("feature <> 'score'"), found.where("feature = 'score'"), drift.alert_volume(rate or 0.0, batch), changed)
     sinks.write_report(reasons, f"{out}/drift")
     return reasons
 
