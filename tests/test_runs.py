@@ -171,15 +171,38 @@ def test_daily_batches_are_archived_and_repeatable(spark, tmp_path):
     assert count("scores") == {"a.parquet": 10} and count("rejected") == {"bad1.parquet": 10, "bad2.parquet": 10}
 
 
+def test_a_bad_file_stops_no_other(spark, tmp_path):
+    data, names, out = modelled(spark), ["n_alertas_24h", "n_alertas_4h"], str(tmp_path / "out")
+    pipelines.select_model(spark, data, names, [("logistic", {})], str(tmp_path / "m"))
+    folder = tmp_path / "in"
+    batch_files(spark, folder, {"a.parquet": "A", "b.parquet": "B", "c.parquet": "C"})
+    good = (folder / "a.parquet").read_bytes()
+    (folder / "torn.parquet").write_bytes(good[: len(good) // 2])
+    (folder / "zero.parquet").write_bytes(b"")
+    middle = bytearray(good)
+    middle[4:60] = b"\xff" * 56  # the footer is whole, the first column isn't
+    (folder / "spoilt.parquet").write_bytes(middle)
+    (folder / "d.csv").write_text("Id,Tag,Fim,n_alertas_24h,n_alertas_4h,more\n1,D,2025-01-01 10:00:00,3,1,x\n2,D,2025-01-01 11:00:00,x,1,y\n")
+    (folder / "head.csv").write_text("Id,Tag,Fim,n_alertas_24h,n_alertas_4h\n")
+    rows, bad = readers.read_batches(spark, str(folder), {"Tag": "string", "Fim": "timestamp", "n_alertas_24h": "double", "n_alertas_4h": "double"})
+    assert {r["batch_id"]: r["count"] for r in rows.groupBy("batch_id").count().collect()} == {"a.parquet": 10, "b.parquet": 10, "c.parquet": 10, "d.csv": 2}
+    assert {r["batch_id"] for r in bad.collect()} == {"torn.parquet", "zero.parquet", "spoilt.parquet"}
+    log = {r["batch_id"]: (r["accepted"], r["rows"]) for r in pipelines.daily_batches(spark, str(folder), str(tmp_path / "m"), out).collect()}
+    assert {k: v for k, v in log.items() if not v[0]} == dict.fromkeys(["torn.parquet", "zero.parquet", "spoilt.parquet", "head.csv"], (False, 0))
+    assert log["a.parquet"] == (True, 10) and log["d.csv"] == (True, 2)
+    assert sorted(p.name for p in (tmp_path / "out" / "archive" / "rejected").iterdir() if not p.name.startswith(".")) == ["head.csv", "spoilt.parquet", "torn.parquet", "zero.parquet"]
+    assert spark.read.parquet(f"{out}/scores").where("batch_id = 'd.csv' and score is not null").count() == 2
+
+
 def test_batch_stream_judges_each_drop(spark, tmp_path):
     data, names, out = modelled(spark), ["n_alertas_24h", "n_alertas_4h"], str(tmp_path / "out")
     pipelines.select_model(spark, data, names, [("logistic", {})], str(tmp_path / "m"))
     folder = tmp_path / "in"
     batch_files(spark, folder, {"a.parquet": "A", "bad.parquet": None})
-    schema = spark.read.parquet(str(folder)).schema
+    (folder / "torn.parquet").write_bytes((folder / "a.parquet").read_bytes()[:-40])
     for k in range(2):  # the same files again, as after a lost checkpoint
-        pipelines.watch_batches(spark, str(folder), schema, str(tmp_path / "m"), out, str(tmp_path / f"c{k}")).awaitTermination(120)
-    assert {(r["batch_id"], r["accepted"], r["rows"]) for r in spark.read.parquet(f"{out}/verdicts").collect()} == {("a.parquet", True, 10), ("bad.parquet", False, 10)}
+        pipelines.watch_batches(spark, str(folder), str(tmp_path / "m"), out, str(tmp_path / f"c{k}")).awaitTermination(120)
+    assert {(r["batch_id"], r["accepted"], r["rows"]) for r in spark.read.parquet(f"{out}/verdicts").collect()} == {("a.parquet", True, 10), ("bad.parquet", False, 10), ("torn.parquet", False, 0)}
     assert spark.read.parquet(f"{out}/scores").count() == spark.read.parquet(f"{out}/rejected").count() == 10
 
 

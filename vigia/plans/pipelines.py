@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from vigia.functions.scalar import shift_of
@@ -100,16 +100,33 @@ def explore(labeled: DataFrame) -> dict[str, DataFrame]:
 
 
 def daily_batches(spark: SparkSession, folder: str, model_path: str, out: str, encoder_path: str | None = None, top_k: int = 15) -> DataFrame:
-    """Score all pending batches in one job, archive their files, and write the log: rows of batches that break the contract go to ``rejected``."""
+    """Score all pending batches in one job, archive their files, and write the log.
+
+    Rows of batches that break the contract go to ``rejected``; files that can't be read are logged and archived as rejected, and stop no other.
+    """
     model, manifest = sinks.read_model(spark, model_path)
     encoder = sinks.read_encoder(spark, encoder_path) if encoder_path else None
-    verdict = score_batches(readers.read_batches(spark, folder), model, manifest, out, encoder, top_k)
+    verdict = judge_files(spark, folder, None, model, manifest, out, encoder, top_k)
     archived = sinks.archive(spark, folder, verdict, f"{out}/archive")
     log = verdict.join(F.broadcast(archived), "batch_id", "left")
     sinks.write_table(log, f"{out}/log")
     return spark.read.parquet(f"{out}/log")
 
 
+def judge_files(spark: SparkSession, folder: str, names: list[str] | None, model, manifest: dict, out: str, encoder: dict[str, DataFrame] | None = None, top_k: int = 15) -> DataFrame:
+    """The verdicts of ``score_batches`` on the files of a folder, with those that can't be read."""
+    types = {"Tag": "string", "Fim": "timestamp", "Inicio": "timestamp", **dict.fromkeys(manifest["feature_columns"], "double")}
+    rows, unreadable = readers.read_batches(spark, folder, types, names)
+    lost = unreadable.select("batch_id", F.lit(0).cast("long").alias("rows"), F.lit(False).alias("accepted"), "motivo")
+    if rows is None:
+        return lost
+    found = score_batches(rows, model, manifest, out, encoder, top_k)
+    # A file with a header and no rows has no rows to judge.
+    empty = set(names if names is not None else readers.list_batches(spark, folder)) - {r["batch_id"] for r in found.unionByName(lost).select("batch_id").toLocalIterator()}
+    nothing = spark.createDataFrame([(n, 0, False, "sem linhas") for n in sorted(empty)], "batch_id string, rows long, accepted boolean, motivo string")
+    return found.unionByName(lost).unionByName(nothing)
+
+
 def score_batches(rows: DataFrame, model, manifest: dict, out: str, encoder: dict[str, DataFrame] | None = None, top_k: int = 15) -> DataFrame:
     """``batch_id, rows, accepted, motivo``; accepted batches go to ``scores`` and ``priority``, others to ``rejected``.
 
@@ -131,11 +148,21 @@ def score_batches(rows: DataFrame, model, manifest: dict, out: str, encoder: dic
     return verdict
 
 
-def watch_batches(spark: SparkSession, folder: str, schema: StructType, model_path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Each drop of files is judged, scored and written as by ``score_batches``; the verdicts go to ``verdicts`` by batch."""
+def watch_batches(spark: SparkSession, folder: str, model_path: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Each drop of files is judged, scored and written as by ``daily_batches``, without archiving; the verdicts go to ``verdicts`` by batch.
+
+    The stream is of file names only; each drop reads its files by itself, so that a bad one is rejected and the stream goes on.
+    """
     model, manifest = sinks.read_model(spark, model_path)
-    drops = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder).withColumn("batch_id", F.col("_metadata.file_name"))
-    return jobs.score_drops(drops, lambda df: sinks.write_batch_scores(score_batches(df, model, manifest, out), f"{out}/verdicts"), checkpoint)
+    drops = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+    def judge(df: DataFrame) -> None:
+        names = [unquote(r["name"]) for r in df.collect()]
+        wanted = [n for n in names if n in set(readers.list_batches(spark, folder))]
+        if wanted:
+            sinks.write_batch_scores(judge_files(spark, folder, wanted, model, manifest, out), f"{out}/verdicts")
+
+    return jobs.score_drops(drops, judge, checkpoint)
 
 
 def drift_baseline(reference: DataFrame, names: list[str], out: str, segments_: list[str] | None = None, period: str | None = None) -> DataFrame:

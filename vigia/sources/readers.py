@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from vigia.operators.ordered import written
 from vigia.operators.labeling import critical_events, critical_rules, event_audit, flag_events, prepare_events
 
 CYCLES = T.StructType(
@@ -81,11 +86,77 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def read_batches(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
-    """Pending batch files of one kind as a table with ``batch_id``, the file's name; other files are left alone."""
-    reader = spark.read.option("pathGlobFilter", f"*.{kind}")
-    found = reader.parquet(folder) if kind == "parquet" else reader.option("header", True).csv(folder)
-    return found.withColumn("batch_id", F.col("_metadata.file_name"))
+#: Files whose headers are read at a time.
+PROBES = 8
+
+
+def list_batches(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the pending batch files in a folder in stable order; files that are neither Parquet nor CSV, and hidden ones, are left alone."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+    return sorted(n for n in names if n.lower().endswith((".parquet", ".csv")) and not n.startswith((".", "_")))
+
+
+def _open(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.option("mode", "FAILFAST")
+    reader = reader.schema(schema) if schema else reader
+    return reader.option("header", True).csv(paths) if paths[0].lower().endswith(".csv") else reader.parquet(*paths)
+
+
+def read_batches(spark: SparkSession, folder: str, types: dict[str, str] | None = None, names: list[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Pending batch files as one table with ``batch_id``, the file's name, and ``batch_id, motivo`` of those that can't be read.
+
+    A bad file costs itself only. The headers tell the schemas; files of one kind and schema are read in one scan, which
+    is written to scratch, so that a file counts as whole or not at all. Where that fails, the scan's files are halved until the bad ones
+    are alone. Columns in ``types`` are cast, what isn't of the type becoming null, so that CSV and Parquet agree;
+    a file whose other columns differ in type from those before has them as text. Null stands for no table at all.
+    """
+    names = list_batches(spark, folder) if names is None else sorted(names)
+    types = types or {}
+    bad: list[tuple[str, str]] = []
+    root = folder.rstrip("/")
+
+    def schema_of(name: str) -> tuple[str, T.StructType | None, str]:
+        try:
+            return name, _open(spark, [f"{root}/{name}"]).schema, ""
+        except Exception as error:  # whatever the reader makes of the bytes
+            return name, None, type(error).__name__
+
+    with ThreadPoolExecutor(PROBES) as pool:
+        probed = list(pool.map(inheritable_thread_target(spark)(schema_of), names))
+    groups: dict[tuple[bool, str], list[str]] = {}
+    schemas: dict[tuple[bool, str], T.StructType] = {}
+    for name, schema, why in probed:
+        if schema is None or not schema.fields:
+            bad.append((name, f"ilegivel: {why or 'vazio'}"))
+            continue
+        key = (name.lower().endswith(".csv"), schema.json())
+        groups.setdefault(key, []).append(name)
+        schemas[key] = schema
+
+    def whole(key: tuple[bool, str], files: list[str]) -> list[DataFrame]:
+        found = _open(spark, [f"{root}/{n}" for n in files], schemas[key])
+        kept = [F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in found.columns if c != "batch_id"]
+        try:
+            return [written(found.select(*kept, F.col("_metadata.file_name").alias("batch_id")), "batches")]
+        except Exception as error:
+            if len(files) == 1:
+                bad.append((files[0], f"ilegivel: {type(error).__name__}"))
+                return []
+            middle = len(files) // 2
+            return whole(key, files[:middle]) + whole(key, files[middle:])
+
+    parts = [part for key, files in groups.items() for part in whole(key, files)]
+    rejected = spark.createDataFrame(bad, "batch_id string, motivo string")
+    if not parts:
+        return None, rejected
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    alike = [part.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(kinds[c]) > 1 else F.col(f"`{c}`") for c in part.columns]) for part in parts]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), alike), rejected
 
 
 def read_priority(spark: SparkSession, path: str) -> DataFrame:
