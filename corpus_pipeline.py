@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,33 @@ from vigia.llm.quality_rules import quality_verdicts
 from vigia.llm.toxicity import fit_chain, toxicity_scores
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Scratch tables of stages of this process that are still there.
+_left: set[str] = set()
+
+
+def stage(work: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of the stages before it, whose results are written by then.
+
+    Those that its own input reads stay, and so do tables that no stage wrote.
+    """
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+            gone = {p for p in _left if p.rsplit("/", 1)[-1] not in read}
+            clear_scratch(spark, scratch_tables() - gone)
+            _left.difference_update(gone)
+        before = scratch_tables()
+        out = work(spark, docs, sf_dir)
+        _left.update(scratch_tables() - before)
+        return out
+
+    return run_stage
+
+
 #: The number of a row in a stage's input. Ids may lack or repeat, so verdicts are joined by it.
 ROW = "pipeline_row"
 
@@ -41,6 +69,7 @@ def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return without(rows, named.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_anti"))
 
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     chain = fit_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -48,12 +77,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(rows, toxicity_scores(rows, chain, key=ROW).where("toxic"))
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     rows = numbered(docs)
     return without(rows, quality_verdicts(rows, key=ROW).where("not kept").select(F.col("key").alias(ROW)))
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     rows = numbered(docs)
@@ -61,6 +92,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return first_of_groups(rows, marked.where("group_size > 1").select(F.col("key").alias(ROW), F.col("keep_id").alias("group")))
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; texts without words link with nothing."""
     rows = numbered(docs)
@@ -68,12 +100,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first_of_groups(rows, classes.select(F.col("key").alias(ROW), F.col("component_id").alias("group")))
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, with their sequences; null texts count as empty, repeated rows each keep their pieces."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity),
     ("quality rules", quality),
     ("exact dedup", exact_copies),
@@ -89,9 +122,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (_, work) in enumerate(STAGES):
         before = scratch_tables()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        work(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         clear_scratch(spark, before)
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
