@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,6 +18,7 @@ from vigia.functions.scalar import clip
 from vigia.operators import contract, encoding, metrics, ranking, scorecard, splits
 from vigia.operators.governance import compare, same_rows
 from vigia.operators.ordered import placed
+from vigia.plans.search import SIDE_BY_SIDE, SPACES, propose, side_by_side
 
 TARGET = "target_4h"
 
@@ -35,24 +36,29 @@ def prepared(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({**casts, "label": F.col(TARGET).cast("double"), "weight": F.when(F.col(TARGET) == 1, F.lit(float(ratio))).otherwise(1.0)})
 
 
-def pipeline(kind: str, features: list[str], rows: int, **params: float) -> Pipeline:
-    """Median imputation, assembly and a balanced classifier: ``logistic``, ``gbt`` or ``forest``."""
+def preparation(features: list[str]) -> list:
+    """Median imputation and assembly of the features as ``raw``."""
     filled = [f"_{f}" for f in features]
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
-    common = {"labelCol": "label", "weightCol": "weight", "featuresCol": "features"}
+    return [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
+
+
+def classifier(kind: str, rows: int, **params: float) -> list:
+    """A balanced classifier of ``raw``: ``logistic`` (scaled), ``gbt`` or ``forest``."""
+    common = {"labelCol": "label", "weightCol": "weight"}
     if kind == "logistic":
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-        stages.append(LogisticRegression(maxIter=int(params.get("maxIter", 50)), regParam=1 / (params.get("C", 0.5) * max(rows, 1)), **common))
-    else:
-        stages[-1].setOutputCol("features")
-        depth = int(params.get("maxDepth", 4))
-        if kind == "gbt":
-            stages.append(GBTClassifier(maxIter=int(params.get("maxIter", 10)), maxDepth=depth, stepSize=params.get("stepSize", 0.1), seed=42, **common))
-        elif kind == "forest":
-            stages.append(RandomForestClassifier(numTrees=int(params.get("numTrees", 20)), maxDepth=depth, seed=42, **common))
-        else:
-            raise ValueError(f"unknown kind of model: {kind}")
-    return Pipeline(stages=stages)
+        model = LogisticRegression(maxIter=int(params.get("maxIter", 50)), regParam=1 / (params.get("C", 0.5) * max(rows, 1)), featuresCol="features", **common)
+        return [StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]
+    depth = int(params.get("maxDepth", 4))
+    if kind == "gbt":
+        return [GBTClassifier(maxIter=int(params.get("maxIter", 10)), maxDepth=depth, stepSize=params.get("stepSize", 0.1), seed=42, featuresCol="raw", **common)]
+    if kind == "forest":
+        return [RandomForestClassifier(numTrees=int(params.get("numTrees", 20)), maxDepth=depth, seed=42, featuresCol="raw", **common)]
+    raise ValueError(f"unknown kind of model: {kind}")
+
+
+def pipeline(kind: str, features: list[str], rows: int, **params: float) -> Pipeline:
+    """Median imputation, assembly and a balanced classifier: ``logistic``, ``gbt`` or ``forest``."""
+    return Pipeline(stages=[*preparation(features), *classifier(kind, rows, **params)])
 
 
 def fit(train: DataFrame, features: list[str], kind: str = "logistic", **params: float) -> PipelineModel:
@@ -76,18 +82,6 @@ def evaluate(scored: DataFrame, min_recall: float = 0.80) -> tuple[DataFrame, fl
     return at.join(rank, "split").join(top, "split"), threshold
 
 
-def search(data: DataFrame, features: list[str], trials: list[tuple[str, dict]]) -> DataFrame:
-    """One row for each trial with its validation metrics; the test split isn't scored here."""
-    train, val = data.where("split = 'train'"), data.where("split = 'val'")
-    out = None
-    for k, (kind, params) in enumerate(trials):
-        scored = score(fit(train, features, kind, **params), val, features)
-        top = scorecard.topk_metrics(scorecard.tag_day_panel(scored), ks=(15,))
-        row = top.join(metrics.ranking_metrics(scored)).select(F.lit(k).alias("trial"), F.concat(F.lit(kind), F.lit(f"_{k}")).alias("model_name"), F.col("recall_at_k").alias("val_top15_recall_at_k"), F.col("precision_at_k").alias("val_top15_precision_at_k"), F.col("lift_vs_random").alias("val_top15_lift_vs_random"), F.col("auc_pr").alias("val_auc_pr"), F.lit(True).alias("eligible_for_selection"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def calibrate(val: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Isotonic calibration of scores, fitted on validation, where both classes must occur."""
     if val.select(TARGET).distinct().count() < 2:
@@ -96,11 +90,11 @@ def calibrate(val: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda df: model.transform(df).withColumn("score", clip(F.col("_p"), 0.0, 1.0)).drop("_p")
 
 
-def backtest(data: DataFrame, kind: str = "logistic", **params: float) -> DataFrame:
-    """For each fold: fit encoder, model and calibration, and score the fold's test part."""
+def backtest(data: DataFrame, kind: str = "logistic", at_a_time: int = SIDE_BY_SIDE, **params: float) -> DataFrame:
+    """For each fold: fit encoder, model and calibration, and score the fold's test part; the folds run side by side."""
     folds = splits.backtest_folds(data)
-    out = None
-    for k in [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+
+    def one(k: int) -> DataFrame:
         rows = folds.where(F.col("fold") == k)
         train, val, test = (rows.where(F.col("split") == s).drop("fold") for s in ("train", "val", "test"))
         coder = encoding.fit_encoder(train)
@@ -108,8 +102,11 @@ def backtest(data: DataFrame, kind: str = "logistic", **params: float) -> DataFr
         features = modelled_columns(coded)
         model = fit(coded, features, kind, **params)
         adjust = calibrate(score(model, encoding.transform(val, coder), features))
-        scored = adjust(score(model, encoding.transform(test, coder), features)).withColumn("fold", F.lit(k))
-        out = scored if out is None else out.unionByName(scored, allowMissingColumns=True)
+        return adjust(score(model, encoding.transform(test, coder), features)).withColumn("fold", F.lit(k))
+
+    names = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    scored = side_by_side(data.sparkSession, [lambda k=k: one(k) for k in names], at_a_time)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
     panel = scorecard.tag_day_panel(out, ["fold"])
     return scorecard.topk_metrics(panel, ["fold"]).where("top_k_tags_per_day = 15").select("fold", F.col("precision_at_k").alias("test_top15_precision_at_k"), F.col("recall_at_k").alias("test_top15_recall_at_k"))
 
@@ -179,24 +176,11 @@ def modelled_columns(df: DataFrame) -> list[str]:
     return [f for f in contract.feature_columns(df) if f not in ("block", "score", "prediction", "threshold")]
 
 
-#: Ranges of the parameters that trials are drawn from: low, high, whole numbers, by logarithm.
-SPACES = {
-    "logistic": {"C": (0.01, 10.0, False, True)},
-    "gbt": {"maxIter": (40, 200, True, False), "maxDepth": (3, 6, True, False), "stepSize": (0.02, 0.2, False, True)},
-    "forest": {"numTrees": (50, 300, True, False), "maxDepth": (4, 10, True, False)},
-}
-
-
 def propose_trials(n: int, kinds: tuple[str, ...] = ("gbt", "forest", "logistic"), seed: int = 42, spaces: dict = SPACES) -> list[tuple[str, dict]]:
     """``n`` trials of each kind of model, the same ones for a seed."""
     draw, out = random.Random(seed), []
     for kind in kinds:
-        for _ in range(n):
-            params = {}
-            for name, (low, high, whole, by_log) in spaces[kind].items():
-                value = math.exp(draw.uniform(math.log(low), math.log(high))) if by_log else draw.uniform(low, high)
-                params[name] = round(value) if whole else value
-            out.append((kind, params))
+        out += [(kind, propose([], spaces[kind], draw)) for _ in range(n)]
     return out
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from vigia.operators import encoding, features, metrics, scorecard, splits
 from vigia.operators.ordered import written
 from vigia.plans import canonical as c
-from vigia.plans import ml
+from vigia.plans import ml, pipelines
 from vigia.plans.queries import query
+from vigia.plans.search import search
+
 
 def modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Features of all cycles with their splits, written once for the passes of the fits, and the names of all that may be modelled."""
@@ -57,7 +59,7 @@ def _(spark, sf):
 
 @query("j3_search_trials")
 def _(spark, sf):
-    return ml.search(*modelled(spark, sf), [("logistic", {"C": 0.5}), ("gbt", {"maxIter": TREES, "maxDepth": 3})])
+    return search(*modelled(spark, sf), [("logistic", {"C": 0.5}), ("gbt", {"maxIter": TREES, "maxDepth": 3})])
 
 
 @query("j6_backtest")
@@ -77,6 +79,13 @@ def _(spark, sf):
     return ml.importance(ml.fit(data.where("split = 'train'"), names, "forest", numTrees=TREES), data, names)
 
 
+@query("j8_permutation_importance")
+def _(spark, sf):
+    data, names = modelled(spark, sf)
+    sample = splits.repeatable_sample(data.where("split = 'val'"), pipelines.IMPORTANCE_ROWS)
+    return ml.importance(ml.fit(data.where("split = 'train'"), names, "logistic"), sample, names)
+
+
 @query("j9_leakage_ablation")
 def _(spark, sf):
     return ml.leakage_ablation(_raw(spark, sf))

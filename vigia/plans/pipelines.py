@@ -14,6 +14,7 @@ from vigia.functions.scalar import shift_of
 from vigia.operators import contract, drift, drift_parts, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, splits
 from vigia.operators.ordered import written
 from vigia.plans import ml
+from vigia.plans.search import search
 from vigia.sources import readers, sinks
 from vigia.streaming import jobs
 
@@ -211,7 +212,7 @@ def select_model(spark: SparkSession, data: DataFrame, names: list[str], trials:
     its manifest, its threshold curve, importances, backtest, and a report. With ``calibrated``, scores are isotonic
     calibrations fitted on validation.
     """
-    sinks.write_table(ml.search(data, names, trials), f"{out}/trials")
+    sinks.write_table(search(data, names, trials), f"{out}/trials")
     table = spark.read.parquet(f"{out}/trials")
     chosen = governance.select_model(table).first()
     known, fitted, rows = data.where("split is not null"), {}, []
