@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigia.functions.scalar import safe_percent
+from vigia.functions.scalar import safe_percent, tag_key
 from vigia.operators.ordered import ordered_counts, quantiles
 
 TARGET = "target_4h"
@@ -169,3 +169,22 @@ def alert_profile(telemetry: DataFrame) -> DataFrame:
     """Flagged events by type and criticality: events, tags, first and last time."""
     flagged = telemetry.where(F.col("Is_Dont_Go") == 1)
     return flagged.groupBy("Tipo", "Criticidade").agg(F.count(F.lit(1)).alias("eventos"), F.countDistinct("TAG").alias("tags"), F.min("Data_Evento").alias("primeiro"), F.max("Data_Evento").alias("ultimo"))
+
+
+def rule_profile(rules: DataFrame) -> DataFrame:
+    """``TIPO, NIVEL, regras``: rules of the catalogue by type and level, as they are written."""
+    return rules.groupBy("TIPO", "NIVEL").agg(F.count(F.lit(1)).alias("regras"))
+
+
+def alert_tags(telemetry: DataFrame, top: int = 12) -> DataFrame:
+    """The tags with the most flagged events: ``tag, eventos, pct``, a share of all flagged events."""
+    flagged = telemetry.where(F.col("Is_Dont_Go") == 1)
+    counted = flagged.groupBy(tag_key("TAG").alias("tag")).agg(F.count(F.lit(1)).alias("eventos"))
+    share = counted.join(F.broadcast(flagged.agg(F.count(F.lit(1)).alias("_all")))).select("tag", "eventos", safe_percent(F.col("eventos"), F.col("_all")).alias("pct"))
+    return share.orderBy(F.desc("eventos"), "tag").limit(top)
+
+
+def alert_period(telemetry: DataFrame) -> DataFrame:
+    """``eventos, tags, primeiro, ultimo`` of all flagged events."""
+    flagged = telemetry.where(F.col("Is_Dont_Go") == 1)
+    return flagged.agg(F.count(F.lit(1)).alias("eventos"), F.countDistinct(tag_key("TAG")).alias("tags"), F.min("Data_Evento").alias("primeiro"), F.max("Data_Evento").alias("ultimo"))

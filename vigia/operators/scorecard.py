@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigia.functions.scalar import DAY_US, HOUR_US, UNKNOWN, micros, safe_divide
+from vigia.functions.scalar import DAY_US, HOUR_US, UNKNOWN, micros, safe_divide, safe_percent
 from vigia.operators.metrics import binary_metrics, score_counts
 from vigia.operators.ordered import ordered_counts, quantiles
 
@@ -212,6 +212,13 @@ def error_analysis(scored: DataFrame, top: int = 12) -> DataFrame:
     return missed.groupBy("Tag", "Frota", "Tipo", "Classe").agg(F.count(F.lit(1)).alias("fn")).orderBy(F.desc("fn"), "Tag", "Frota", "Tipo", "Classe").limit(top)
 
 
+def error_totals(scored: DataFrame) -> DataFrame:
+    """``split, linhas, fn, fp, fn_pct, fp_pct``: missed positives and false alarms, and their shares of positives and of alarms."""
+    y, hit = F.col(TARGET) == 1, F.col("prediction") == 1
+    counted = scored.groupBy("split").agg(F.count(F.lit(1)).alias("linhas"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & hit).alias("fp"), F.count_if(y).alias("_y"), F.count_if(hit).alias("_p"))
+    return counted.select("split", "linhas", "fn", "fp", safe_percent(F.col("fn"), F.col("_y")).alias("fn_pct"), safe_percent(F.col("fp"), F.col("_p")).alias("fp_pct"))
+
+
 def random_baseline(panel: DataFrame, k: int = 15) -> DataFrame:
     """Positives that a random choice of K tags a day would capture on average, and what the ranking captures."""
     top = ranked(panel).groupBy("data").agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("p"), F.sum(F.when(F.col("rank") <= k, F.col(TARGET)).otherwise(0)).alias("model"))

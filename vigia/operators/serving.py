@@ -141,8 +141,19 @@ def available_dates(*tables: DataFrame) -> DataFrame:
     return out.where("data is not null").distinct()
 
 
-def performance(topk: DataFrame, budgets: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """Metric tables and the first twenty hotspots as arrays of one row."""
+def performance(topk: DataFrame, budgets: DataFrame, hotspots: DataFrame, thresholds: DataFrame | None = None, dedup: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """One row: ``model_id, threshold, rule`` of the manifest, the metric tables as sorted arrays, and the first twenty hotspots.
+
+    Tables that aren't given have no column. Metric tables have a row for each split and K or budget, so arrays stay small.
+    """
     rows = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
     first = hotspots.orderBy(F.desc("positive_days"), "Tag").limit(20)
-    return rows(topk, "topk").join(F.broadcast(rows(budgets, "budgets"))).join(F.broadcast(rows(first, "hotspots")))
+    parts = [rows(topk, "topk"), rows(budgets, "budgets")]
+    parts += [rows(df, name) for df, name in ((thresholds, "thresholds"), (dedup, "dedup")) if df is not None]
+    parts.append(rows(first, "hotspots"))
+    if manifest is not None:
+        parts.insert(0, manifest.select(F.col("model_name").alias("model_id"), "threshold", F.col("selection_rule").alias("rule")).limit(1))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part))
+    return out

@@ -100,6 +100,18 @@ def explore(labeled: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def write_exploration(labeled: DataFrame, out: str, telemetry: DataFrame | None = None, rules: DataFrame | None = None) -> list[str]:
+    """Write the exploratory tables, each to a CSV folder of its name, with those of alerts and rules where these are given; their names."""
+    tables = explore(labeled)
+    if telemetry is not None:
+        tables |= {"alerts": profile.alert_profile(telemetry), "alert_period": profile.alert_period(telemetry), "alert_tags": profile.alert_tags(telemetry)}
+    if rules is not None:
+        tables["rules"] = profile.rule_profile(rules)
+    for name, table in tables.items():
+        sinks.write_csv(table, f"{out}/{name}")
+    return sorted(tables)
+
+
 def daily_batches(spark: SparkSession, folder: str, model_path: str, out: str, encoder_path: str | None = None, top_k: int = 15) -> DataFrame:
     """Score all pending batches in one job, archive their files, and write the log.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigia.operators import contract, drift, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, serving, splits
+from vigia.operators import contract, drift, drift_parts, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, serving, splits
 from vigia.plans import canonical as c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,6 +409,12 @@ def _(spark, sf):
     return scorecard.error_analysis(c.scored(spark, sf))
 
 
+@query("e44_error_totals", """SELECT split, count(*) AS linhas, count(*) FILTER (target_4h = 1 AND prediction = 0) AS fn, count(*) FILTER (target_4h = 0 AND prediction = 1) AS fp,
+  round(coalesce(100.0 * fn / nullif(count(*) FILTER (target_4h = 1), 0), 0), 4) AS fn_pct, round(coalesce(100.0 * fp / nullif(count(*) FILTER (prediction = 1), 0), 0), 4) AS fp_pct FROM scored GROUP BY split""", "linhas fn fp", "fn_pct fp_pct")
+def _(spark, sf):
+    return scorecard.error_totals(c.scored(spark, sf))
+
+
 @query("e51_random_baseline", "SELECT count(*) AS days, sum(p) AS positives, sum(p * least(1.0, 15.0 / n)) AS random_captures, sum(m) AS model_captures FROM (SELECT data, count(*) AS n, sum(target_4h) AS p, coalesce(sum(target_4h) FILTER (rank <= 15), 0) AS m FROM ranked GROUP BY 1)", "days positives model_captures", "random_captures")
 def _(spark, sf):
     return scorecard.random_baseline(scorecard.tag_day_panel(c.scored(spark, sf)))
@@ -461,6 +467,27 @@ def _(spark, sf):
     return drift.feature_drift(b, drift.reference_profile(a, _FEATURES))
 
 
+@query("e24_merged_profile", """SELECT 'hora' AS feature, row_number() OVER (ORDER BY hora) - 1 AS bin, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM profiled GROUP BY hora
+  UNION ALL SELECT 'dia_da_semana', row_number() OVER (ORDER BY dia_da_semana) - 1, count(*)::DOUBLE / sum(count(*)) OVER () FROM profiled GROUP BY dia_da_semana""", "bin", "p")
+def _(spark, sf):
+    rows = c.profiled(spark, sf).withColumn("dia", F.to_date("Fim"))
+    parts = drift_parts.feature_parts(rows, ["hora", "dia_da_semana"], "dia")
+    months = drift_parts.merge_features(parts, F.substring("periodo", 1, 7))
+    return drift_parts.profile_of(months).select("feature", F.posexplode("proportions").alias("bin", "p"))
+
+
+@query("e24_merged_alerts", "SELECT strftime(Fim, '%Y-%m') AS mes, count(*) AS linhas, sum(prediction) AS alertas FROM scored GROUP BY 1", "linhas alertas")
+def _(spark, sf):
+    parts = drift_parts.alert_parts(c.scored(spark, sf).withColumn("dia", F.to_date("Fim")), "dia")
+    return parts.groupBy(F.substring("periodo", 1, 7).alias("mes")).agg(F.sum("linhas").alias("linhas"), F.sum("alertas").alias("alertas"))
+
+
+@query("e24_merged_categories", "SELECT segmento, categoria, count(*) AS n FROM (SELECT unnest(['Frota', 'turno', 'Classe']) AS segmento, unnest([Frota, turno, Classe]) AS categoria FROM scored) WHERE categoria IS NOT NULL GROUP BY 1, 2", "n")
+def _(spark, sf):
+    parts = drift_parts.category_parts(c.scored(spark, sf).withColumn("dia", F.to_date("Fim")), ["Frota", "turno", "Classe"], "dia")
+    return parts.groupBy("segmento", "categoria").agg(F.sum("n").alias("n"))
+
+
 @query("e25_alert_volume", "SELECT a AS esperado, b AS observado, abs(b - a) / a AS variacao_relativa, abs(b - a) / a > 0.5 AS fora_da_tolerancia FROM (SELECT avg(prediction) FILTER (Fim < '2024-01-16') AS a, avg(prediction) FILTER (Fim >= '2024-01-16') AS b FROM scored)", "", "esperado observado variacao_relativa")
 def _(spark, sf):
     a, b = _halves(spark, sf)
@@ -636,6 +663,16 @@ def _(spark, sf):
     return profile.alert_profile(c.telemetry(spark, sf))
 
 
+@query("e43_alert_tags", "SELECT 'CA' || user_id AS tag, count(*) AS eventos, round(100.0 * count(*) / (SELECT count(*) FROM events WHERE value > 150), 4) AS pct FROM events WHERE value > 150 GROUP BY 1 ORDER BY eventos DESC, tag LIMIT 12", "eventos", "pct")
+def _(spark, sf):
+    return profile.alert_tags(c.telemetry(spark, sf))
+
+
+@query("e43_alert_period", "SELECT count(*) AS eventos, count(DISTINCT user_id) AS tags, min(ts) AS primeiro, max(ts) AS ultimo FROM events WHERE value > 150", "eventos tags")
+def _(spark, sf):
+    return profile.alert_period(c.telemetry(spark, sf))
+
+
 @query("e47_family_importance")
 def _(spark, sf):
     f = features.build_features(c.labeled(spark, sf), c.errors(spark, sf))

@@ -165,6 +165,20 @@ def read_priority(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"data": F.col("data").try_cast("date"), "rank": F.col("rank").try_cast("int"), "score": F.col("score").try_cast("double")}).orderBy(F.desc("data"), "rank")
 
 
+def read_backtest(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+    """The backtest report, one row for each fold, from CSV: columns that are numbers throughout are read as numbers.
+
+    Metrics that it must have and hasn't, and a report without folds, raise an error.
+    """
+    found = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    missing = [c for c in required or [] if c not in found.columns]
+    if missing:
+        raise ValueError(f"the backtest report lacks {missing}")
+    if found.isEmpty():
+        raise ValueError("the backtest report has no folds")
+    return found
+
+
 def read_report(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A JSON report; fields (dotted names) that it must have and hasn't raise an error."""
     report = spark.read.option("multiLine", True).json(path)

@@ -73,11 +73,6 @@ def read_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), manifest
 
 
-def append_action(action: DataFrame, path: str) -> None:
-    """An entry of the work log; reading takes the last entry of each key."""
-    action.withColumn("updated_at", F.coalesce("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))).write.mode("append").parquet(path)
-
-
 def archive(spark: SparkSession, folder: str, verdict: DataFrame, out: str) -> DataFrame:
     """Move the batch files of a verdict (``batch_id, accepted``) to ``processed`` or ``rejected``; an older file of the name goes.
 
