@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from vigia.llm.words import blocks, byte_kinds, cut_words, one_array
 
 #: Terms are runs of digits, letters and whatever isn't ASCII.
 TERM_KINDS = byte_kinds(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-#: Documents of one bucket, queries that are ranked at a time, and terms that they may have together.
-BUCKET, QUERIES_AT_A_TIME, MAX_TERMS = 512, 1_024, 200_000
+#: Documents of one bucket; numbers in a bucket's and in a block of queries' matrix; terms of the queries that texts are read for at a time.
+BUCKET, CELLS, MAX_TERMS = 512, 2_000_000, 200_000
 #: Leading coordinates of a query hold all but this share of its length.
 REST = 0.25
 #: Documents of a range whose vectors are longest; their scores are the first bounds.
@@ -78,23 +79,39 @@ def impacts(counted: DataFrame, documents: int, length: int) -> DataFrame:
 
 
 class Queries:
-    """The weight vectors of a block of queries, split into leading coordinates and the rest."""
+    """The weight vectors of a block of queries over the terms that they have, split into leading coordinates and the rest."""
 
-    def __init__(self, rows: list[dict[int, int]], terms: int):
-        self.rows = rows
-        self.weights = np.zeros((len(rows), terms))
-        self.lead = np.zeros((len(rows), terms), bool)
+    def __init__(self, rows: list[dict[int, int]]):
+        self.terms = np.array(sorted({t for row in rows for t in row}), np.int64)
+        self.weights = np.zeros((len(rows), len(self.terms)))
+        self.lead = np.zeros((len(rows), len(self.terms)), bool)
         for q, row in enumerate(rows):
-            at, w = np.array(list(row), np.int64), np.array(list(row.values()), float)
+            if not row:  # no document has any of its terms
+                continue
+            at, w = np.searchsorted(self.terms, np.array(list(row), np.int64)), np.array(list(row.values()), float)
             self.weights[q, at] = w
             order = np.argsort(-w, kind="stable")
             rest = np.sqrt(np.maximum((w**2).sum() - np.cumsum(w[order] ** 2), 0))
-            self.lead[q, at[order[: 1 + int(np.argmax(rest <= REST * rest[0]))]]] = True
-            self.lead[q, at[order[0]]] = True
+            few = 1 + int(np.argmax(rest <= REST * np.sqrt((w**2).sum())))
+            self.lead[q, at[order[:few]]] = True
         self.length = np.sqrt((self.weights**2).sum(1))
-        self.rest = np.sqrt((np.where(self.lead, 0, self.weights) ** 2).sum(1))
         self.support = self.weights > 0
 
+    def bucket_rows(self) -> int:
+        return max(16, min(BUCKET, CELLS // max(1, len(self.terms))))
+
+
+def query_blocks(rows: list[dict[int, int]]) -> Iterator[tuple[int, int]]:
+    """First and last number (exclusive) of blocks whose matrices of queries and terms stay small."""
+    start, terms = 0, set()
+    for k, row in enumerate(rows):
+        if k > start and (k + 1 - start) * len(terms | row.keys()) > CELLS:
+            yield start, k
+            start, terms = k, set()
+        terms |= row.keys()
+    if rows:
+        yield start, len(rows)
+
 
 class Ranking:
     """The best documents of each query so far, by score and then by key; ``floor`` is what a document must reach."""
@@ -117,10 +134,12 @@ def scan_bucket(queries: Queries, ranking: Ranking, keys: list, owner: np.ndarra
     live = np.flatnonzero(queries.length * norms.max() * wide >= np.maximum(ranking.floor, 1))
     if not len(live):
         return 0
-    # Only terms that occur in the bucket count.
-    used, inner = np.unique(term, return_inverse=True)
+    # Only terms of the block that occur in the bucket count.
+    column = np.minimum(np.searchsorted(queries.terms, term), len(queries.terms) - 1)
+    mine = queries.terms[column] == term
+    used, inner = np.unique(column[mine], return_inverse=True)
     x = np.zeros((len(keys), len(used)))
-    x[owner, inner] = impact
+    x[owner[mine], inner] = impact[mine]
     lead, weights = queries.lead[np.ix_(live, used)], queries.weights[np.ix_(live, used)]
     tail = queries.support[np.ix_(live, used)] & ~lead
     partial = x @ np.where(lead, weights, 0).T
@@ -139,10 +158,11 @@ def scan_bucket(queries: Queries, ranking: Ranking, keys: list, owner: np.ndarra
 
 def _ranked(batches: Iterator[pa.RecordBatch], queries: Queries, floors: np.ndarray, top: int, limit: int | None = None) -> Ranking:
     """Rank the documents of a partition, the longest vectors first."""
-    ranking, seen = Ranking(len(queries.rows), top, floors), 0
+    ranking, seen = Ranking(len(queries.length), top, floors), 0
     for batch in batches:
-        for start in range(0, batch.num_rows, BUCKET):
-            part = batch.slice(start, BUCKET)
+        size = queries.bucket_rows()
+        for start in range(0, batch.num_rows, size):
+            part = batch.slice(start, size)
             terms, values = part.column(1), part.column(2)
             sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
             scan_bucket(queries, ranking, part.column(0).to_pylist(), np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy(), values.flatten().to_numpy(), part.column(3).to_numpy())
@@ -152,7 +172,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], queries: Queries, floors: np.ndar
     return ranking
 
 
-def rank_block(vectors: DataFrame, rows: list[dict[int, int]], terms: int, top: int) -> DataFrame:
+def rank_block(vectors: DataFrame, rows: list[dict[int, int]], top: int) -> DataFrame:
     """``query, key, score``: each range's best documents of each query of a block. ``vectors`` lies sorted in its files."""
     spark = vectors.sparkSession
     kind = vectors.schema["key"].dataType.simpleString()
@@ -162,7 +182,7 @@ def rank_block(vectors: DataFrame, rows: list[dict[int, int]], terms: int, top:
 
     def scanned(floors: list[float], limit: int | None):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ranking = _ranked(batches, Queries(sent.value, terms), np.array(floors), top, limit)
+            ranking = _ranked(batches, Queries(sent.value), np.array(floors), top, limit)
             found = [(q, k, s) for q, best in enumerate(ranking.best) for s, k in best]
             if found:
                 q, k, s = zip(*found, strict=True)
@@ -192,16 +212,24 @@ def ranked_search(documents: DataFrame, queries: DataFrame, top: int = 20, text:
     repeat a key too; empty tables give no rows; other columns are not looked at. Queries are a stated set: they come to the driver and
     are ranked in blocks, each against all documents. The result is exact: bounds only leave out what can't be among the best.
     """
-    spark = documents.sparkSession
-    asked = query_terms(queries, query_key, query_text)
     kind, query_kind = documents.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    parts = _searched(documents, query_terms(queries, query_key, query_text), top, text, key, query_kind)
+    if not parts:
+        return documents.sparkSession.createDataFrame([], f"`{query_key}` {query_kind}, rank int, `{key}` {kind}, score long")
+    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"name": query_key, "key": key})
+
+
+def _searched(documents: DataFrame, asked: list, top: int, text: str, key: str, query_kind: str) -> list[DataFrame]:
+    """``name, rank, key, score`` for blocks of queries; query sets of very many terms read the texts once for each half."""
+    spark = documents.sparkSession
     terms = sorted({t for _, _, counts in asked for t in counts})
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"the queries have {len(terms)} terms; ask at most {MAX_TERMS} at a time")
+    if len(terms) > MAX_TERMS and len(asked) > 1:
+        half = len(asked) // 2
+        return [part for some in (asked[:half], asked[half:]) for part in _searched(documents, some, top, text, key, query_kind)]
     counted = materialize(term_counts(documents, terms, text, key), "search-terms")
     totals = counted.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("length")).first()
     if not asked or not totals["documents"]:
-        return spark.createDataFrame([], f"`{query_key}` {query_kind}, rank int, `{key}` {kind}, score long")
+        return []
     # One count for each term of the queries.
     df = {r["term"]: r["df"] for r in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     n = totals["documents"]
@@ -210,19 +238,15 @@ def ranked_search(documents: DataFrame, queries: DataFrame, top: int = 20, text:
     vectors = impacts(counted, n, totals["length"]).withColumn("salt", F.xxhash64("key", "terms"))
     ranged = vectors.repartitionByRange(partitions(spark), F.desc("norm"), "salt").sortWithinPartitions(F.desc("norm"), "salt")
     vectors = materialize(ranged, "search-vectors")
+    rows = [{place[t]: c * weight[place[t]] for t, c in counts.items() if weight[place[t]] and place[t] in df} for _, _, counts in asked]
     out = []
-    for start in range(0, len(asked), QUERIES_AT_A_TIME):
-        block = asked[start : start + QUERIES_AT_A_TIME]
-        rows = [{place[t]: c * weight[place[t]] for t, c in counts.items() if weight[place[t]] and place[t] in df} for _, _, counts in block]
-        names = spark.createDataFrame([(q, k) for q, (_, k, _) in enumerate(block)], f"query int, name {query_kind}")
-        best = rank_block(vectors, rows, len(terms), top)
+    for start, end in query_blocks(rows):
+        names = spark.createDataFrame([(q, k) for q, (_, k, _) in enumerate(asked[start:end])], f"query int, name {query_kind}")
+        best = rank_block(vectors, rows[start:end], top)
         # At most ``top`` rows of each range for a query.
         ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("key")))).where(F.col("rank") <= top)
-        out.append(ranked.join(F.broadcast(names), "query").select(F.col("name").alias(query_key), "rank", F.col("key").alias(key), "score"))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+        out.append(ranked.join(F.broadcast(names), "query").select("name", "rank", "key", "score"))
+    return out
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
