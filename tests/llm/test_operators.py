@@ -697,3 +697,15 @@ def test_html_query_keeps_the_article(spark):
     for r in QUERIES["op8_html_extraction"](spark, SF).collect():
         article = re.search(r"<article>(.*?)(</article>|\Z)", source[r["page_id"]], re.DOTALL)[1]
         assert r["text"] == " ".join(h.unescape(re.sub(r"<[^>]*(>|\Z)", " ", article)).split())
+
+
+def test_token_counts_remember_bounded_bytes(monkeypatch):
+    from vigia.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 20_000)
+    counts = token_counts._Counts(token_counts.LongestMatch(["a", "b"], ["a", "b", "ab"]), bytes.decode)
+    held = lambda: sum(len(w) + token_counts.ENTRY_BYTES for w in counts)
+    for k in range(300):
+        short, blob = b"ab" * (k % 50) + b"a", b"ab" * (5_000 + k)
+        assert counts[short] == counts[short] == (k % 50 + 2 if k % 50 else 1) and counts[blob] == 5_001 + k
+        assert blob not in counts and held() == counts.bytes <= 20_000

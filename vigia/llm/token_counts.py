@@ -14,7 +14,10 @@ from vigia.llm.tokenizer import byte_alphabet
 
 #: A vocabulary file larger than this isn't sent to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_ENTRIES = 400_000
+#: Bytes of the words that one Python worker remembers, with what an entry needs besides; then it forgets all.
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 160
+#: Longer words are counted anew each time.
+MEMO_WORD_BYTES = 1 << 10
 
 
 class LongestMatch:
@@ -75,15 +78,19 @@ _automata: dict[int, tuple] = {}
 
 
 class _Counts(dict):
-    """Counts of words met before in this worker, emptied when full."""
+    """Counts of words met before in this worker, emptied when they fill their bytes; very long words aren't kept."""
 
     def __init__(self, automaton: LongestMatch, spell):
-        self.automaton, self.spell = automaton, spell
+        self.automaton, self.spell, self.bytes = automaton, spell, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = n = self.automaton.count(self.spell(word))
+        n = self.automaton.count(self.spell(word))
+        if len(word) <= MEMO_WORD_BYTES:
+            self.bytes += len(word) + ENTRY_BYTES
+            if self.bytes > MEMO_BYTES:
+                self.clear()
+                self.bytes = len(word) + ENTRY_BYTES
+            self[word] = n
         return n
 
 
