@@ -450,7 +450,10 @@ def test_quality_agrees_with_labels(spark):
 
 def test_quality_rejects_bare_and_foreign_texts(spark):
     rng = np.random.default_rng(5)
-    word = lambda lang: str(rng.choice(quality_rules.COMMON_WORDS[lang])) if rng.random() < 0.22 else "".join(rng.choice(list("abcdefghij"), 6))
+    # The references are fixed, so the prose of a language has that language's shares of its common words.
+    shares = {lang: np.array(list(words.values())) for lang, words in quality_rules.REFERENCE_WORDS.items()}
+    common = lambda lang: str(rng.choice(list(quality_rules.REFERENCE_WORDS[lang]), p=shares[lang] / shares[lang].sum()))
+    word = lambda lang: common(lang) if rng.random() < shares[lang].sum() else "".join(rng.choice(list("abcdefghij"), 6))
     prose = lambda lang, n: " ".join(word(lang) for _ in range(n))
     rows = [(k, prose(lang, 400), lang) for k, lang in enumerate(["en", "de", "fr", "es"] * 25)]
     other = {"en": "de", "de": "en", "fr": "es", "es": "fr"}
@@ -467,6 +470,31 @@ def test_quality_limits_agree_with_labels(spark):
     kept = {r["quality"]: r["k"] for r in both.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert kept[1] > 0.99 and kept[0] < 0.15
 
+def test_quality_verdicts_depend_on_their_own_text_only(spark):
+    """A table of junk doesn't become its own norm: each text is judged alone as among the others."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    among = {r["key"]: (r["kept"], r["char_distance"], r["word_distance"]) for r in quality_rules.quality_verdicts(rows).collect()}
+    poor = [k for k, v in among.items() if v[1] is not None and not v[0]][:5]
+    alone = quality_rules.quality_verdicts(rows.where(F.col("doc_id").isin(poor))).collect()
+    assert poor and {r["key"]: (r["kept"], r["char_distance"], r["word_distance"]) for r in alone} == {k: among[k] for k in poor}
+
+
+def test_quality_references_are_shares():
+    for language in quality_rules.COMMON_WORDS:
+        for shares in quality_rules.reference_shares(language):
+            assert min(shares) >= 0 and sum(shares) == pytest.approx(1)
+
+
+def test_quality_distance_against_numpy(spark):
+    rows = quality_rules.measured(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("lang = 'de' and n_words >= 50").collect()
+    got = {r["key"]: r for r in quality_rules.quality_verdicts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    for r in rows:
+        for name, counts, q in (("char_distance", r["chars"], quality_rules.reference_shares("de")[0]), ("word_distance", r["commons"], quality_rules.reference_shares("de")[1])):
+            p = np.array(counts) / sum(counts)
+            m = (p + np.array(q)) / 2
+            kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)  # noqa: B023, E731
+            assert got[r["key"]][name] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2), abs=1e-9)
+
 
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"

@@ -18,17 +18,31 @@ COMMON_WORDS = {
 CHARACTER_CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": f"[{SPACE}]", "stop": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>]"}
 WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
+# Shares of the character classes, and of the common words, in all clean labelled texts of each language at sf0.1; what is left is "other".
+REFERENCE_CHARACTERS = {
+    "en": {"lower": 0.7952, "upper": 0.0138, "digit": 0.0006, "space": 0.1667, "stop": 0.0237, "symbol": 0.0},
+    "de": {"lower": 0.8103, "upper": 0.0128, "digit": 0.0004, "space": 0.1546, "stop": 0.0218, "symbol": 0.0},
+    "fr": {"lower": 0.7946, "upper": 0.014, "digit": 0.0008, "space": 0.1667, "stop": 0.0238, "symbol": 0.0},
+    "es": {"lower": 0.8011, "upper": 0.0135, "digit": 0.0008, "space": 0.1616, "stop": 0.023, "symbol": 0.0},
+}
+REFERENCE_WORDS = {
+    "en": {"a": 0.0138, "and": 0.0232, "are": 0.0045, "as": 0.0052, "be": 0.0048, "by": 0.0048, "en": 0.0029, "for": 0.0077, "from": 0.0037, "in": 0.0117, "is": 0.0105, "it": 0.0079, "of": 0.0286, "on": 0.0065, "that": 0.0092, "the": 0.0553, "this": 0.0045, "to": 0.0168, "was": 0.0068, "with": 0.0058},
+    "de": {"au": 0.0021, "auf": 0.0065, "be": 0.0031, "das": 0.0096, "dem": 0.0047, "den": 0.0143, "der": 0.0547, "des": 0.0067, "die": 0.0287, "ein": 0.0045, "en": 0.0035, "für": 0.0058, "im": 0.0049, "in": 0.0167, "ist": 0.0053, "mit": 0.008, "nicht": 0.0046, "sich": 0.0077, "und": 0.023, "von": 0.0116, "zu": 0.0099},
+    "fr": {"au": 0.0044, "dans": 0.0051, "de": 0.0551, "des": 0.0118, "du": 0.0079, "en": 0.0113, "est": 0.0062, "et": 0.0169, "la": 0.03, "le": 0.0221, "les": 0.014, "on": 0.0023, "par": 0.0044, "pour": 0.0064, "que": 0.0066, "qui": 0.005, "sur": 0.0043, "un": 0.0095, "une": 0.0072},
+    "es": {"as": 0.003, "con": 0.0057, "de": 0.0551, "del": 0.0076, "el": 0.0165, "en": 0.0142, "la": 0.0288, "las": 0.0086, "los": 0.0105, "no": 0.0055, "para": 0.0047, "por": 0.0068, "que": 0.0222, "se": 0.009, "su": 0.0048, "un": 0.0069, "una": 0.005, "y": 0.0114},
+}
+
 MIN_WORDS = 10
 MAX_REPEATED = (20, 100)
 #: Fewest words of each length band; shorter texts get no verdict from the histograms. Noise of the distances falls with length.
 BANDS = (50, 75, 100, 150, 200, 300, 500, 1000)
 #: Jensen-Shannon distances (base 2) above which a text of a band is rejected: the largest of a clean labelled text of the language at sf0.1
-#: in this or a longer band, and 0.04 more.
+#: in this or a longer band, and 0.10 (characters) or 0.04 (words) more.
 MAX_DISTANCES = {
-    "en": {"chars": (0.28, 0.27, 0.26, 0.24, 0.2, 0.2, 0.17, 0.17), "commons": (0.36, 0.33, 0.3, 0.27, 0.25, 0.21, 0.17, 0.13)},
-    "de": {"chars": (0.24, 0.24, 0.24, 0.18, 0.18, 0.18, 0.16, 0.16), "commons": (0.36, 0.36, 0.36, 0.24, 0.23, 0.2, 0.19, 0.13)},
-    "fr": {"chars": (0.3, 0.28, 0.27, 0.22, 0.19, 0.19, 0.18, 0.16), "commons": (0.42, 0.3, 0.28, 0.28, 0.24, 0.21, 0.17, 0.12)},
-    "es": {"chars": (0.24, 0.24, 0.24, 0.21, 0.19, 0.19, 0.18, 0.17), "commons": (0.37, 0.31, 0.3, 0.25, 0.25, 0.21, 0.15, 0.11)},
+    "en": {"chars": (0.32, 0.3, 0.29, 0.26, 0.22, 0.22, 0.17, 0.16), "commons": (0.35, 0.33, 0.3, 0.27, 0.25, 0.21, 0.18, 0.13)},
+    "de": {"chars": (0.27, 0.27, 0.27, 0.19, 0.19, 0.19, 0.17, 0.14), "commons": (0.37, 0.37, 0.37, 0.25, 0.23, 0.2, 0.2, 0.12)},
+    "fr": {"chars": (0.34, 0.32, 0.3, 0.24, 0.19, 0.19, 0.18, 0.15), "commons": (0.43, 0.3, 0.28, 0.28, 0.24, 0.2, 0.16, 0.12)},
+    "es": {"chars": (0.26, 0.26, 0.26, 0.22, 0.19, 0.19, 0.18, 0.13), "commons": (0.38, 0.31, 0.3, 0.25, 0.25, 0.22, 0.15, 0.12)},
 }
 
 
@@ -101,15 +115,30 @@ def measured(documents: DataFrame, text: str = "text", key: str = "doc_id", lang
     return found.select("key", "lang", "m.w.n_words", "m.w.word_chars", F.col("m.known")[names.index("symbol")].alias("n_symbols"), "m.n_dup_lines", "m.w.n_repeat_words", chars.alias("chars"), commons.alias("commons"))
 
 
+def reference_shares(language: str) -> tuple[list[float], list[float]]:
+    """The shares of a language's reference, in the order of the histograms."""
+    characters = [REFERENCE_CHARACTERS[language].get(c, 0.0) for c in CHARACTER_CLASSES]
+    words = [REFERENCE_WORDS[language].get(w, 0.0) for w in WORDS]
+    return [*characters, round(1 - sum(characters), 4)], [*words, round(1 - sum(words), 4)]
+
+
+def _reference(k: int) -> Column:
+    """The reference of a row's language: of characters (0) or common words (1); null for other languages."""
+    found = F.lit(None).cast("array<double>")
+    for language in COMMON_WORDS:
+        found = F.when(F.col("lang") == language, F.array(*map(F.lit, reference_shares(language)[k]))).otherwise(found)
+    return found
+
+
 def _shares(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
     return _let(F.nullif(total, F.lit(0)), lambda n: F.transform(counts, lambda c: c.cast("double") / n))
 
 
 def _distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two histograms; 0 * log(0) is 0, and null if either is empty."""
+    """Jensen-Shannon distance, base 2, of a histogram to shares; 0 * log(0) is 0, and null if the histogram is empty or there are no shares."""
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
-    terms = F.zip_with(_shares(counts), _shares(reference), lambda x, y: part(x, y) + part(y, x))
+    terms = F.zip_with(_shares(counts), reference, lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
@@ -125,26 +154,18 @@ def _limit(name: str) -> Column:
 def quality_verdicts(documents: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The base rule and the method's verdict on each text; one row for each row, copies and null keys included.
 
-    References are the histograms of all texts of a language in ``COMMON_WORDS``. A text is rejected when its
-    characters or its common words diverge too far from its language's, by the limits of its language and
+    References are fixed shares of clean texts (``reference_shares``), so a verdict depends on its own text only. A text is
+    rejected when its characters or its common words diverge too far from its language's, by the limits of its language and
     length, or when it has no common word at all: about every fifth word is one. Null texts count as empty and fail the
     base rule; an empty table gives no rows. Short texts and texts of other or null languages, or all texts where the
-    table has no such column, get no verdict from the histograms. The only shuffle is that of one partial sum for each
-    task and language; the references are at most one row for each language listed.
+    table has no such column, get no verdict from the histograms. There is no shuffle.
     """
     documents = documents if lang in documents.columns else documents.withColumn(lang, F.lit(None).cast("string"))
     rows = materialize(measured(documents, text, key, lang), "quality-measured")
-    n_chars, n_commons = len(CHARACTER_CLASSES) + 1, len(WORDS) + 1
-    listed = rows.where(F.col("lang").isin(list(COMMON_WORDS)))
-    sums = [F.sum(F.col(a)[k]).alias(f"{a}{k}") for a, n in (("chars", n_chars), ("commons", n_commons)) for k in range(n)]
-    summed = listed.groupBy("lang").agg(*sums)
-    reference = summed.select("lang", F.array(*[f"chars{k}" for k in range(n_chars)]).alias("ref_chars"), F.array(*[f"commons{k}" for k in range(n_commons)]).alias("ref_commons"))
-
-    both = rows.join(F.broadcast(reference), "lang", "left")
-    apart = both.withColumns({"char_distance": _distance(F.col("chars"), F.col("ref_chars")), "word_distance": _distance(F.col("commons"), F.col("ref_commons"))})
+    apart = rows.withColumns({"char_distance": _distance(F.col("chars"), _reference(0)), "word_distance": _distance(F.col("commons"), _reference(1))})
     n = F.col("n_words")
     base_failed = (n < MIN_WORDS) | (MAX_REPEATED[1] * F.col("n_repeat_words") > MAX_REPEATED[0] * n)
-    bare = F.col("commons")[n_commons - 1] == n
+    bare = F.col("commons")[len(WORDS)] == n
     apart = apart.withColumns({"max_char": _limit("chars"), "max_word": _limit("commons")})
     beyond = (F.col("char_distance") > F.col("max_char")) | (F.col("word_distance") > F.col("max_word"))
     diverges = F.coalesce(F.col("max_word").isNotNull() & (bare | beyond), F.lit(False))
@@ -164,7 +185,7 @@ def _sql() -> str:
     commons = [f"w{k}" for k in range(len(WORDS) + 1)]
     distance = lambda names: "sqrt(greatest((" + " + ".join(f"(CASE WHEN p.{c} > 0 THEN p.{c} * log2(2 * p.{c} / (p.{c} + q.{c})) ELSE 0 END + CASE WHEN q.{c} > 0 THEN q.{c} * log2(2 * q.{c} / (p.{c} + q.{c})) ELSE 0 END)" for c in names) + ") / 2, 0))"
     limit = lambda name: "CASE " + " ".join(f"WHEN p.lang = {quote(k)} AND n_words >= {n} THEN {x}" for k, v in MAX_DISTANCES.items() for n, x in reversed(list(zip(BANDS, v[name], strict=True)))) + " END"
-    share = lambda names: ", ".join(f"{c} / nullif({' + '.join(names)}, 0)::DOUBLE AS {c}" for c in names)
+    references = ", ".join(f"({quote(k)}, {', '.join(f'{x}::DOUBLE' for part in reference_shares(k) for x in part)})" for k in COMMON_WORDS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(regexp_split_to_array(t, '[{SPACE}]+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines FROM d),
@@ -177,8 +198,7 @@ m AS (SELECT s.r, doc_id, lang, len(words) AS n_words, length(array_to_string(wo
   {", ".join(f"len(list_filter(words, lambda x: lower(x) = {quote(v)})) AS {c}" for c, v in zip(commons, WORDS, strict=False))}
   FROM s LEFT JOIN rep ON s.r = rep.r),
 f AS (SELECT *, n_chars - ({" + ".join(chars[:-1])}) AS {chars[-1]}, n_words - ({" + ".join(commons[:-1])}) AS {commons[-1]} FROM m),
-refs AS (SELECT lang, {", ".join(f"sum({c}) AS {c}" for c in chars + commons)} FROM f WHERE lang IN ({", ".join(map(quote, COMMON_WORDS))}) GROUP BY lang),
-q AS (SELECT lang, {share(chars)}, {share(commons)} FROM refs),
+q AS (SELECT * FROM (VALUES {references}) AS t(lang, {", ".join(chars + commons)})),
 p AS (SELECT r, doc_id, lang, n_words, word_chars, {chars[list(CHARACTER_CLASSES).index("symbol")]} AS n_symbols, n_dup_lines, n_repeat_words,
   {", ".join(f"{c} / nullif({' + '.join(names)}, 0)::DOUBLE AS {c}x" for names in (chars, commons) for c in names)} FROM f),
 v AS (SELECT p.*, {limit("chars")} AS max_char, {limit("commons")} AS max_word, p.{commons[-1]} = 1 AS bare, {distance(chars)} AS cd, {distance(commons)} AS wd FROM (SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(f"{c}x AS {c}" for c in chars + commons)} FROM p) p LEFT JOIN q ON p.lang = q.lang)
