@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import DAY_US, HOUR_US, micros, safe_divide, shift_of, tag_key
-from vigia.operators.asof import before_row, checked_widths, edge_values, interval_counts, nearest, with_halo
+from vigia.operators.asof import Layout, before_row, checked_widths, edge_values, interval_counts, nearest, with_halo
 
 WINDOWS_HOURS = (4, 8, 24)
 
@@ -91,11 +91,14 @@ def cycle_rolling(cycles: DataFrame, time: str = "Fim", hours: tuple[int, ...] =
     return out.select("_row.*", *[F.when(timed, F.col(c)).alias(c) for c in names])
 
 
-def alert_history(cycles: DataFrame, events: DataFrame, time: str = "Fim", hours: tuple[int, ...] = WINDOWS_HOURS) -> DataFrame:
-    """Alerts in ``[t - h, t)``, alerts an hour, days since the last alert, and the two columns derived from them."""
-    keyed = cycles.withColumn("_key", tag_key("Tag"))
-    counted = interval_counts(keyed, events, time, "EVENT_TIME", {f"n_alertas_{h}h": h * HOUR_US for h in hours}, tag="_key", right_tag="TAG")
-    near = nearest(counted, events, time, "EVENT_TIME", tag="_key", right_tag="TAG", after=False, name="_last")
+def alert_history(cycles: DataFrame, events: DataFrame, time: str = "Fim", hours: tuple[int, ...] = WINDOWS_HOURS, layout: Layout | None = None) -> DataFrame:
+    """Alerts in ``[t - h, t)``, alerts an hour, days since the last alert, and the two columns derived from them.
+
+    With a ``layout`` both tables are stored by tag and day, cycles by ``time`` and events by theirs; the result stays placed like that.
+    """
+    keyed = cycles if layout else cycles.withColumn("_key", tag_key("Tag"))
+    counted = interval_counts(keyed, events, time, "EVENT_TIME", {f"n_alertas_{h}h": h * HOUR_US for h in hours}, tag="_key", right_tag="TAG", layout=layout)
+    near = nearest(counted, events, time, "EVENT_TIME", tag="_key", right_tag="TAG", after=False, name="_last", layout=layout)
     out = near.withColumn("dias_desde_ultimo_alerta", (micros(near, time) - F.col("_last.us")) / F.lit(DAY_US)).drop("_last", "_key")
     for h in hours:
         out = out.withColumn(f"alertas_por_hora_{h}h", F.col(f"n_alertas_{h}h") / F.lit(float(h)))

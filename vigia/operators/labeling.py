@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.scalar import HOUR_US, micros, tag_key, text_key, utc_time
-from vigia.operators.asof import nearest
+from vigia.operators.asof import Layout, nearest
 
 CRITICAL_LEVEL = "muito alto"
 RULE_COLUMNS = ["TIPO", "EVENTO", "SITUACAO", "NIVEL"]
@@ -87,13 +87,14 @@ def event_audit(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def label_cycles(cycles: DataFrame, events: DataFrame, time: str = "Fim", horizon_hours: float = 4.0) -> DataFrame:
+def label_cycles(cycles: DataFrame, events: DataFrame, time: str = "Fim", horizon_hours: float = 4.0, layout: Layout | None = None) -> DataFrame:
     """Cycles with the next critical event strictly after ``time``, hours to it and the target within the horizon.
 
-    A cycle without a time, or without a later event, has nulls and the target 0.
+    A cycle without a time, or without a later event, has nulls and the target 0. With a ``layout`` both tables are stored by
+    tag and day, cycles by ``time`` and events by theirs; the result stays placed like that.
     """
-    keyed = cycles.withColumn("_key", tag_key("Tag"))
-    near = nearest(keyed, events, time, "EVENT_TIME", tag="_key", right_tag="TAG", payload=["EVENT_TIME"], name="_next")
+    keyed = cycles if layout else cycles.withColumn("_key", tag_key("Tag"))
+    near = nearest(keyed, events, time, "EVENT_TIME", tag="_key", right_tag="TAG", payload=["EVENT_TIME"], name="_next", layout=layout)
     hours = (F.col("_next.us") - micros(near, time)) / F.lit(HOUR_US)
     near = near.withColumns({"next_critical_event_time": F.col("_next.EVENT_TIME"), "tte_horas": hours})
     return near.withColumn("target_4h", F.coalesce(F.col("tte_horas") <= horizon_hours, F.lit(False)).cast("int")).drop("_next", "_key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigia.operators import contract, drift, drift_parts, encoding, features, governance, labeling, metrics, profile, ranking, scorecard, serving, splits
+from vigia.operators.ordered import scratch_root
 from vigia.plans import canonical as c
+from vigia.sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,6 +179,16 @@ def _(spark, sf):
     return features.alert_history(c.cycles(spark, sf), c.errors(spark, sf)).select("Id", "n_alertas_4h", "n_alertas_8h", "n_alertas_24h", "dias_desde_ultimo_alerta", "alertas_por_hora_4h", "alertas_por_hora_24h", "nivel_maximo_evento_recente")
 
 
+@query("b1_stored_alert_history", f"SELECT a.*, l.target_4h, l.tte_horas FROM ({_ALERTS}) a JOIN labeled l USING (Id)", "n_alertas_4h n_alertas_8h n_alertas_24h target_4h", "dias_desde_ultimo_alerta tte_horas")
+def _(spark, sf):
+    stored, run = {}, uuid.uuid4().hex
+    for name, table, time, tag in (("cycles", c.cycles(spark, sf), "Fim", "Tag"), ("events", c.errors(spark, sf), "EVENT_TIME", "TAG")):
+        by = layout.write_tag_days(table, f"tag_days_{name}_{run}", time, tag, path=f"{scratch_root(spark)}/tag-days-{name}-{run}")
+        stored[name] = layout.read_tag_days(spark, f"tag_days_{name}_{run}")
+    labeled = labeling.label_cycles(stored["cycles"], stored["events"], layout=by)
+    return features.alert_history(labeled, stored["events"], layout=by).select("Id", "n_alertas_4h", "n_alertas_8h", "n_alertas_24h", "dias_desde_ultimo_alerta", "target_4h", "tte_horas")
+
+
 @query("c7_degradation", f"""SELECT r.Id, coalesce(duracao_media_ciclo_4h - duracao_media_ciclo_24h, 0) AS delta_duracao_ciclo_4h_24h, coalesce(duracao_media_ciclo_4h / nullif(duracao_media_ciclo_24h, 0), 0) AS ratio_duracao_ciclo_4h_24h,
   n_alertas_4h / 4.0 - n_alertas_24h / 24.0 AS delta_alertas_por_hora_4h_24h, coalesce(n_alertas_4h / nullif(n_alertas_24h, 0)::DOUBLE, 0) AS ratio_alertas_4h_24h, coalesce(n_ciclos_4h / 4.0 - n_ciclos_24h / 24.0, 0) AS delta_n_ciclos_4h_24h_norm,
   freq_classe_atividade_4h - freq_classe_atividade_24h AS delta_freq_classe_4h_24h, n_classes_distintas_4h - n_classes_distintas_24h AS delta_classes_distintas_4h_24h
