@@ -79,9 +79,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules, whose references are the texts of the stage, go."""
     rows = numbered(docs)
-    return without(rows, quality_verdicts(rows, key=ROW).where("not kept").select(F.col("key").alias(ROW)))
+    return without(rows, quality_verdicts(rows, key=ROW, of_table=True).where("not kept").select(F.col("key").alias(ROW)))
 
 
 @stage

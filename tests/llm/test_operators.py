@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -15,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.oracle import assert_same
+from tests.oracle import TABLES, assert_same
 from vigia.llm import bpe_codec, exact_dedup, html_extraction, jaccard_join, license_scan, packing, quality_rules, token_counts, token_files, toxicity
 from vigia.llm.queries import ORACLES, QUERIES
 from vigia.llm.tokenizer import Encoder, byte_alphabet, encoder_from_ranks, ranks_from_tiktoken
@@ -496,6 +498,34 @@ def test_quality_distance_against_numpy(spark):
             assert got[r["key"]][name] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2), abs=1e-9)
 
 
+def test_quality_query_takes_its_references_from_all_rows(spark, tmp_path):
+    """A language written in capitals and figures is the norm of its table; the query and the stage agree with the SQL, which sums all rows."""
+    rng = np.random.default_rng(11)
+    plain = lambda n: " ".join(str(rng.choice(quality_rules.COMMON_WORDS["en"])) if rng.random() < 0.22 else "".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    rows = [(k, f"{plain(300).upper()} {' '.join(str(x) for x in rng.integers(10**5, 10**6, 60))}", "en") for k in range(60)] + [(100 + k, plain(300), "en") for k in range(3)]
+    for t in set(TABLES) - {"documents"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(str(tmp_path / "made"))
+    duckdb.sql(f"COPY (SELECT * FROM '{tmp_path}/made/*.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    assert {r["doc_id"] for r in got.where("kept").collect()} == set(range(60))
+    assert_same(got, ORACLES["op9_quality_rules"], tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()} == set(range(60))
+
+    measured = quality_rules.measured(docs)
+    both = {r["key"]: r for r in measured.collect()}
+    found = {r["key"]: r for r in quality_rules.quality_verdicts(docs, of_table=True).collect()}
+    for name, histogram in (("char_distance", "chars"), ("word_distance", "commons")):
+        q = np.sum([r[histogram] for r in both.values()], axis=0, dtype=float)
+        q /= q.sum()
+        for k in (0, 101):
+            p = np.array(both[k][histogram]) / sum(both[k][histogram])
+            m = (p + q) / 2
+            kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)  # noqa: B023, E731
+            assert found[k][name] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2), abs=1e-9)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
