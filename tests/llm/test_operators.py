@@ -767,3 +767,41 @@ def test_token_counts_remember_bounded_bytes(monkeypatch):
         short, blob = b"ab" * (k % 50) + b"a", b"ab" * (5_000 + k)
         assert counts[short] == counts[short] == (k % 50 + 2 if k % 50 else 1) and counts[blob] == 5_001 + k
         assert blob not in counts and held() == counts.bytes <= 20_000
+
+
+def test_packing_encodes_in_bounded_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"{a}{b}" for a in ("la", "mo", "ti", "re") for b in range(50)])
+    texts = [" ".join(words[rng.integers(0, 200, 400)]) for _ in range(6_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+    encoder = Encoder(TOKENIZER)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in packing.cut_batches(encoder, [batch], 2048, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 12 MB of text; slices of 8 MB took more than 200 MB.
+    assert rows == len(texts) and peak < 80 << 20
+    before = spark.conf.get(packing.ARROW_BYTES)
+    packing.pack_documents(odd(spark), JSON)
+    assert spark.conf.get(packing.ARROW_BYTES) == before
+
+
+def test_encoders_remember_what_comes_again(monkeypatch):
+    from vigia.llm import tokenizer
+
+    encoder = Encoder(TOKENIZER)
+    encoder.memo_bytes, sizes, learned = 200 * tokenizer.ENTRY_BYTES, [], []
+    monkeypatch.setattr(tokenizer, "CALL_PIECES", 16)
+    monkeypatch.setattr(encoder, "tokenizer", type("Sized", (), {"encode_batch_fast": staticmethod(lambda some, **k: sizes.append(len(some)) or TOKENIZER.encode_batch_fast(some, **k))}))
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    for k in range(40):
+        texts = [f"common words come again, new{'abcdefgh'[k % 8]}{'xyzuv'[k // 8]} and {' '.join(f'{k}_{n}' for n in range(30))}"]
+        got = encoder.encode(texts)
+        assert np.frombuffer(got[0], "<u4").tolist() == TOKENIZER.encode(texts[0], add_special_tokens=False).ids
+        assert encoder.bytes == encoder._bytes(list(encoder.known), encoder.pool[: encoder.n_ids]) and encoder.bytes <= 300 * tokenizer.ENTRY_BYTES
+    assert max(sizes) <= 16 and learned.count(" common") + learned.count("common") == 1 and len(learned) > 1_000

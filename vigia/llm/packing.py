@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigia.llm.common import materialize, sized_batches, table, text_or_empty
-from vigia.llm.tokenizer import encoder_from_json, with_end
+from vigia.llm.tokenizer import Encoder, encoder_from_json, with_end
 
+#: Bytes of text that a task encodes at once, of what its encoder remembers, and of an Arrow batch. An executor's Python workers and
+#: its JVM, whose heap earlier stages have filled, share one limit.
+SLICE_BYTES, MEMO_BYTES, BATCH_BYTES = 2 << 20, 64 << 20, 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Pieces that one population packs; a larger table has more such groups, each of about this size.
 GROUP_PIECES = 4000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 3, 16, 6, 2
@@ -35,26 +40,43 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, length: int, end_id:
         sent = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_from_json(sent.value)
-        for batch in sized_batches(batches, 1):
-            ids, ends = with_end(*encoder.encode_array(batch.column(1)), end_id)
-            sizes = np.diff(ends, prepend=0)
-            # A longer text's first piece takes what is over.
-            n_pieces = -(-sizes // length)
-            row = np.repeat(np.arange(len(sizes)), n_pieces)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-            stop = sizes[row] - (n_pieces[row] - 1 - piece) * length
-            start = np.maximum(stop - length, 0)
-            first = (ends - sizes)[row]
-            data = memoryview(ids).cast("B")
-            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((first + start).tolist(), (first + stop).tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array(sums, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32"])
+        return cut_batches(encoder_from_json(sent.value, MEMO_BYTES), batches, length, end_id)
 
     rows = documents.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
 
 
+def cut_batches(encoder: Encoder, batches: Iterable[pa.RecordBatch], length: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of rows ``key, text``, a slice of ``SLICE_BYTES`` at a time: encoding builds many times the bytes of its texts."""
+    pool = pa.default_memory_pool()
+    for batch in sized_batches(batches, 1, SLICE_BYTES):
+        ids, ends = with_end(*encoder.encode_array(batch.column(1)), end_id)
+        sizes = np.diff(ends, prepend=0)
+        # A longer text's first piece takes what is over.
+        n_pieces = -(-sizes // length)
+        row = np.repeat(np.arange(len(sizes)), n_pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+        stop = sizes[row] - (n_pieces[row] - 1 - piece) * length
+        start = np.maximum(stop - length, 0)
+        first = (ends - sizes)[row]
+        data = memoryview(ids).cast("B")
+        sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((first + start).tolist(), (first + stop).tolist(), strict=True)]
+        columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array(sums, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32"])
+        pool.release_unused()
+
+
+@contextmanager
+def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends Python batches of ``BATCH_BYTES``; then the session's setting holds again."""
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def best_fit(lengths: list[int], items: list[int], room: list[int], bins: list[list[int]], capacity: int) -> None:
     """Put the items, longest first, each into the fullest bin that still takes it; open bins as needed.
 
@@ -277,7 +299,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     groups; what lies in bins that stay poorly filled is packed once more over all groups. Rows are told apart by
     a number each, so keys may lack or repeat.
     """
-    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    with small_arrow_batches(pieces.sparkSession):
+        pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     first = materialize(pack_groups(pieces.where(F.col("length") < capacity).select("row", "length"), capacity, "pack-a"), "pack-first")
     fill = first.groupBy("group", "bin").agg(F.sum("length").alias("used"))
     closed = first.join(fill.where(F.col("used") >= CLOSED * capacity), ["group", "bin"], "left_semi")

@@ -13,12 +13,15 @@ import base64
 import hashlib
 import json
 import re
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of the pieces that one Python worker remembers, with what an entry needs besides; then it forgets all.
+#: Bytes of the pieces that one Python worker remembers, with what an entry needs besides; then it forgets those that did not come again.
 MEMO_BYTES, ENTRY_BYTES = 160 << 20, 160
+#: Pieces that one call of the library gets; what it builds for a piece is many times as large as the piece.
+CALL_PIECES = 4_000
 # Fixed value: the word pattern of the byte-level vocabularies that texts are cut for; others are encoded uncut.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters of two bytes in UTF-8 at most.
@@ -121,6 +124,7 @@ class Encoder:
     def __init__(self, tokenizer):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.memo_bytes = MEMO_BYTES
         self.tokenizer, self.cuts = tokenizer, _cuts(tokenizer)
         self.vocabulary_size = tokenizer.get_vocab_size(with_added_tokens=True)
         self.lengths = np.zeros(self.vocabulary_size + 1, np.int64)
@@ -140,8 +144,26 @@ class Encoder:
         self.bytes = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        #: Whether a piece came again in a later batch.
+        self.again = np.zeros(1 << 12, bool)
         self.n_ids = self.n_pieces = 0
 
+    def _forget_rare(self) -> None:
+        """Keep the pieces that came again since they were learned or last kept, if they take half of the bound at most."""
+        known, pool, starts, counts = self.known, self.pool, self.starts, self.counts
+        kept = np.flatnonzero(self.again[: self.n_pieces])
+        # Pieces are numbered in the order in which the dictionary has them.
+        names = list(compress(known, self.again[: self.n_pieces].tolist()))
+        self._forget()
+        del known
+        ids = _gather(pool, starts[kept], counts[kept])
+        if self._bytes(names, ids) <= self.memo_bytes // 2:
+            self._add(names, ids, counts[kept])
+
+    @staticmethod
+    def _bytes(pieces: list[str], ids: np.ndarray) -> int:
+        return sum(map(len, pieces)) + ENTRY_BYTES * len(pieces) + 4 * len(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         ids, ends = self.encode_array(pa.array(texts, pa.string()))
@@ -150,12 +172,13 @@ class Encoder:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's end; null counts as empty."""
-        if self.bytes > MEMO_BYTES:
-            self._forget()
+        if self.bytes > self.memo_bytes:
+            self._forget_rare()
         pieces, per_text = self._pieces(texts)
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = list(map(self.known.get, distinct))
+        self.again[[k for k in numbers if k is not None]] = True
         if None in numbers:
             self._learn([p for p, k in zip(distinct, numbers, strict=True) if k is None])
             numbers = list(map(self.known.__getitem__, distinct))
@@ -196,13 +219,13 @@ class Encoder:
         if m > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.n_ids], np.zeros(m, np.uint32)])
         if n > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x[: self.n_pieces], np.zeros(n, np.int64)]) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.again = (np.concatenate([x[: self.n_pieces], np.zeros(n, x.dtype)]) for x in (self.starts, self.counts, self.again))
         self.pool[self.n_ids : m] = ids
         self.counts[self.n_pieces : n] = counts
         self.starts[self.n_pieces : n] = self.n_ids + np.cumsum(counts) - counts
         self.known.update(zip(pieces, range(self.n_pieces, n), strict=True))
         self.n_pieces, self.n_ids = n, m
-        self.bytes += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces) + 4 * len(ids)
+        self.bytes += self._bytes(pieces, ids)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known: words of letters in one text each call, other pieces as they are."""
@@ -219,13 +242,15 @@ class Encoder:
         self._learn_words(plain, "")
 
     def _learn_alone(self, pieces: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
-        self._add(pieces, np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64))
+        for start in range(0, len(pieces), CALL_PIECES):
+            some = pieces[start : start + CALL_PIECES]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.concatenate(found), np.array([len(x) for x in found], np.int64))
 
     def _learn_words(self, words: list[str], mark: str) -> None:
         """Encode many words in one text and deal the ids out by the lengths of their tokens in bytes."""
-        for start in range(0, len(words), 20_000):
-            some = words[start : start + 20_000]
+        for start in range(0, len(words), CALL_PIECES):
+            some = words[start : start + CALL_PIECES]
             text = " ".join(some)
             ids = np.array(self.words[mark].encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             data = np.frombuffer(text.encode(), np.uint8)
@@ -243,13 +268,14 @@ class Encoder:
 _built: dict[str, Encoder] = {}
 
 
-def encoder_from_json(content: str) -> Encoder:
-    """One encoder for each file content and Python worker."""
+def encoder_from_json(content: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
+    """One encoder for each file content and Python worker, which from now on remembers about ``memo_bytes``."""
     from tokenizers import Tokenizer
 
     key = hashlib.sha256(content.encode()).hexdigest()
     if key not in _built:
         _built[key] = Encoder(Tokenizer.from_str(content))
+    _built[key].memo_bytes = memo_bytes
     return _built[key]
 
 
