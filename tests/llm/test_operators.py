@@ -5,6 +5,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import duckdb
@@ -236,6 +237,40 @@ def test_swaps_keep_all_items():
         assert [2048 - sum(lengths[i] for i in b) for b in child.bins] == child.room and min(child.room) >= 0
 
 
+class Counted(list):
+    """A list that counts the elements read by number."""
+
+    reads = 0
+
+    def __getitem__(self, k):
+        Counted.reads += 1
+        return super().__getitem__(k)
+
+
+def test_swaps_read_displaced_lengths_once():
+    rng = np.random.default_rng(8)
+    lengths = Counted(rng.integers(100, 900, 2_000).tolist())
+    start = packing.Packing(lengths, 2048).filled(list(range(1_600)))
+    n_bins, Counted.reads = len(start.bins), 0
+    start.refilled(list(range(1_600, 2_000)), rng)
+    # It read the lengths of all 400 for each bin with room, again and again (op4_packing, round 3).
+    assert sorted(i for b in start.bins for i in b) == list(range(2_000))
+    assert 0 < Counted.reads < 30 * n_bins
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_swap_fills_a_bin_as_well_as_can_be(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 60, 24).tolist()
+    room, out = int(rng.integers(1, 12)), sorted(range(4, 24), key=lambda i: lengths[i])
+    found = packing.Packing(lengths, sum(lengths[:4]) + room, [[0, 1, 2, 3]])
+    some = lambda items: [sum(lengths[i] for i in c) for n in (1, 2) for c in combinations(items, n)]
+    best = max([come - gone for gone in some(range(4)) for come in some(out) if come - gone <= room] + [0])
+    sizes = [lengths[i] for i in out]
+    assert found._swap(0, out, sizes) == (best > 0) and found.room[0] == room - best
+    assert sizes == [lengths[i] for i in out] == sorted(sizes) and sorted(out + found.bins[0]) == list(range(24))
+
+
 def test_best_fit_uses_the_fullest_bin():
     room, bins = [], []
     packing.best_fit([6, 5, 4, 3, 2], list(range(5)), room, bins, 10)
@@ -790,6 +825,42 @@ def test_packing_encodes_in_bounded_memory(spark):
     assert spark.conf.get(packing.ARROW_BYTES) == before
 
 
+def test_encoders_look_up_each_piece_once():
+    class Known(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            Known.looked_up += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Known.looked_up += 1
+            return super().__getitem__(key)
+
+    encoder, words = Encoder(TOKENIZER), [f"w{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    encoder.encode([" ".join(words)])
+    encoder.known = Known(encoder.known)
+    texts = [" ".join([*words, "novelword", "Straße", "naïveté\tzwölf\n", "d'été", "×1"])]
+    assert np.frombuffer(encoder.encode(texts)[0], "<u4").tolist() == TOKENIZER.encode(texts[0], add_special_tokens=False).ids
+    # One look for each of the 64 known words and two for the few new pieces; it was two for all (op4_packing, round 3).
+    assert 64 < Known.looked_up < 64 + 20
+
+
+def test_words_are_encoded_by_the_rules_of_the_model():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = byte_alphabet()
+    vocabulary = {c: k for k, c in enumerate(letters.values())} | {"ab": 256, "abab": 257, "Ġa": 258}
+    for keys in ({"ignore_merges": True}, {"ignore_merges": False}):
+        tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=[("a", "b"), ("Ġ", "a")], **keys))
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        for text in ("abab abab\nabab", " abé ÿa\nb.ab, ab"):
+            assert np.frombuffer(Encoder(tokenizer).encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    whole = Tokenizer(models.WordLevel({"ab": 0, "Ġab": 1, "?": 2}, unk_token="?"))
+    whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert np.frombuffer(Encoder(whole).encode(["ab ab c"])[0], "<u4").tolist() == whole.encode("ab ab c").ids
+
+
 def test_encoders_remember_what_comes_again(monkeypatch):
     from vigia.llm import tokenizer
 

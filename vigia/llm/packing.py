@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -151,28 +151,32 @@ class Packing:
     def refilled(self, items: list[int], rng: np.random.Generator) -> Packing:
         """Displaced items first replace smaller ones in bins that this fills better, then what is left is best-fitted."""
         out = sorted(items, key=lambda i: self.lengths[i])
+        sizes = [self.lengths[i] for i in out]
         for k in rng.permutation(len(self.bins)).tolist():
-            while self.room[k] and self._swap(k, out):
+            while self.room[k] and self._swap(k, out, sizes):
                 pass
         return self.filled(out)
 
-    def _swap(self, k: int, out: list[int]) -> bool:
-        """Put one or two items of ``out`` (ascending lengths) in the place of one or two of bin ``k`` if this fills it better."""
+    def _swap(self, k: int, out: list[int], sizes: list[int]) -> bool:
+        """Put one or two items of ``out`` (of ascending ``sizes``) in the place of one or two of bin ``k`` if this fills it better."""
         size, room, members = self.lengths, self.room[k], self.bins[k][-SWAPS:]
         leaving = [(size[i], (i,)) for i in members]
         leaving += [(size[i] + size[j], (i, j)) for n, i in enumerate(members[:12]) for j in members[n + 1 : 12]]
-        sizes = [size[i] for i in out]
         best, found = 0, None
         for gone, who in leaving:
             limit = gone + room
             at = bisect_right(sizes, limit) - 1
             if at >= 0 and sizes[at] - gone > best:
                 best, found = sizes[at] - gone, (who, (at,))
-            # Two come in: the largest partner of each of the candidates nearest below the limit.
+            # Two come in: the largest partner of each of the candidates nearest below the limit. A partner is no larger than
+            # its candidate, so candidates of half of what it takes to do better end the search, as a full bin does.
             for first in range(at, max(-1, at - SWAPS), -1):
-                second = bisect_right(sizes, limit - sizes[first], 0, first) - 1
-                if second >= 0 and sizes[first] + sizes[second] - gone > best:
-                    best, found = sizes[first] + sizes[second] - gone, (who, (first, second))
+                one = sizes[first]
+                if best == room or 2 * one <= gone + best:
+                    break
+                second = bisect_right(sizes, limit - one, 0, first) - 1
+                if second >= 0 and one + sizes[second] - gone > best:
+                    best, found = one + sizes[second] - gone, (who, (first, second))
             if best == room:
                 break
         if not found:
@@ -180,9 +184,11 @@ class Packing:
         who, come = found
         self.bins[k] = [i for i in self.bins[k] if i not in who] + [out[n] for n in come]
         for n in sorted(come, reverse=True):
-            del out[n]
+            del out[n], sizes[n]
         for i in who:
-            insort(out, i, key=lambda i: size[i])
+            at = bisect_right(sizes, size[i])
+            out.insert(at, i)
+            sizes.insert(at, size[i])
         self.room[k] = room - best
         return True
 

@@ -13,7 +13,7 @@ import base64
 import hashlib
 import json
 import re
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ MEMO_BYTES, ENTRY_BYTES = 160 << 20, 160
 CALL_PIECES = 4_000
 # Fixed value: the word pattern of the byte-level vocabularies that texts are cut for; others are encoded uncut.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Letters of two bytes in UTF-8 at most.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Words of letters of two bytes in UTF-8 at most.
+LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -85,6 +85,17 @@ def _cuts(tokenizer) -> bool:
     return len(steps) == 2 and not steps[1]["use_regex"] and steps[0].get("pattern") == {"Regex": WORDS} and steps[0]["behavior"] == "Isolated" and not steps[0]["invert"]
 
 
+def _model(tokenizer):
+    """The tokenizer's model, without a cache of its own if it is BPE: words come here once, so a cache only takes time."""
+    from tokenizers import models
+
+    state = json.loads(tokenizer.to_str())["model"]
+    if state.pop("type") != "BPE":
+        return tokenizer.model
+    merges = [m.split(" ") if isinstance(m, str) else m for m in state.pop("merges")]
+    return models.BPE(merges=list(map(tuple, merges)), cache_capacity=0, **{k: v for k, v in state.items() if v is not None})
+
+
 #: Kinds of bytes. A stop is an ASCII sign that always starts a match after a letter; a lead starts a letter of two bytes.
 SIGN, LETTER, STOP, LEAD, INNER, SPACE, BREAK, OTHER = range(8)
 
@@ -131,11 +142,11 @@ class Encoder:
         for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
             self.lengths[k] = len(token)
         self.kinds = _kinds({c for t in tokenizer.get_added_tokens_decoder().values() for c in t.content})
-        # The same model for words of letters, which need no pattern: each is a match, after a space or not.
-        self.words = {}
-        for mark in (" ", ""):
-            self.words[mark] = Tokenizer(tokenizer.model)
-            self.words[mark].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=bool(mark), use_regex=False)])
+        # The same model for words of letters, which need no pattern: each is a match, with a space before it or not. They come
+        # one to a line and in the vocabulary's letters, as the library takes longer to turn bytes into these.
+        self.words = Tokenizer(_model(tokenizer))
+        self.words.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        self.letters = byte_alphabet() | {10: "\n"}
         self._forget()
 
     def _forget(self) -> None:
@@ -177,12 +188,14 @@ class Encoder:
         pieces, per_text = self._pieces(texts)
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers = list(map(self.known.get, distinct))
-        self.again[[k for k in numbers if k is not None]] = True
-        if None in numbers:
-            self._learn([p for p, k in zip(distinct, numbers, strict=True) if k is None])
-            numbers = list(map(self.known.__getitem__, distinct))
-        which = np.array(numbers, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        self.again[numbers[numbers >= 0]] = True
+        if len(new):
+            names = [distinct[k] for k in new.tolist()]
+            self._learn(names)
+            numbers[new] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        which = numbers[coded.indices.to_numpy(zero_copy_only=False)] if distinct else numbers
         lengths = self.counts[which]
         ends = np.r_[0, np.cumsum(lengths)][np.cumsum(per_text)]
         return _gather(self.pool, self.starts[which], lengths), ends
@@ -229,17 +242,14 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known: words of letters in one text each call, other pieces as they are."""
-        alone, spaced, plain = [], [], []
-        for piece in pieces:
-            mark = piece[:1] == " "
-            word = piece[1:] if mark else piece
-            if self.cuts and word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
-                (spaced if mark else plain).append(word)
-            else:
-                alone.append(piece)
+        if self.cuts:
+            words, alone = [], []
+            for piece in pieces:
+                (words if LATIN.fullmatch(piece) else alone).append(piece)
+            self._learn_words(words)
+        else:
+            alone = pieces
         self._learn_alone(alone)
-        self._learn_words(spaced, " ")
-        self._learn_words(plain, "")
 
     def _learn_alone(self, pieces: list[str]) -> None:
         for start in range(0, len(pieces), CALL_PIECES):
@@ -247,22 +257,22 @@ class Encoder:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             self._add(some, np.concatenate(found), np.array([len(x) for x in found], np.int64))
 
-    def _learn_words(self, words: list[str], mark: str) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         """Encode many words in one text and deal the ids out by the lengths of their tokens in bytes."""
         for start in range(0, len(words), CALL_PIECES):
             some = words[start : start + CALL_PIECES]
-            text = " ".join(some)
-            ids = np.array(self.words[mark].encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            data = np.frombuffer(text.encode(), np.uint8)
-            # Bytes of all tokens up to each word's last; spaces between words are tokens' only with the mark.
-            limits = np.append(np.flatnonzero(data == 32), len(data)) + (1 if mark else -np.arange(len(some)))
+            raw = "\n".join(some).encode()
+            shown = raw.decode("latin-1").translate(self.letters)
+            ids = np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+            data = np.frombuffer(raw, np.uint8)
+            # Bytes of all tokens up to each word's last; line breaks are no token's.
+            limits = np.append(np.flatnonzero(data == 10), len(data)) - np.arange(len(some))
             ends = np.cumsum(self.lengths[ids])
             stop = np.searchsorted(ends, limits) + 1
-            names = [mark + w for w in some] if mark else some
             if len(ids) and ends[-1] == limits[-1] and np.array_equal(ends[stop - 1], limits):
-                self._add(names, ids, np.diff(stop, prepend=0))
+                self._add(some, ids, np.diff(stop, prepend=0))
             else:  # a vocabulary that lacks letters
-                self._learn_alone(names)
+                self._learn_alone(some)
 
 
 _built: dict[str, Encoder] = {}
