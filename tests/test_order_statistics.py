@@ -2,12 +2,15 @@
 
 from datetime import timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import rows_of
 from tests.test_operators import cycles_frame, frame, ts
 from vigia.operators import encoding, metrics, ordered, profile, scorecard, serving, splits
+from vigia.plans.queries import ORACLES, QUERIES
 
 
 def test_quantiles_of_groups(spark):
@@ -106,3 +109,52 @@ def test_threshold_curve_of_one_score(spark):
     scored = frame(spark, [(0.5, 0), (0.5, 1), (0.5, 0), (0.5, 1), (None, 1)], "score double, target_4h int")
     best = metrics.calibrated_threshold(scored, 0.99).first()
     assert best["target_met"] and best["alert_rate"] == 1.0 and best["degenerate"]
+
+
+def test_quantiles_between_ties_are_the_tied_value(spark):
+    # Ten rows at each of 97 values: nearly all neighbours are ties, and thirds and the like aren't exact in binary.
+    values = [k / 97 for k in range(97) for _ in range(10)] + [k / 97 - 2.0 for k in range(97) for _ in range(10)]
+    shares = [k / 100 for k in range(101)]
+    got = ordered.quantiles(frame(spark, [(v,) for v in values], "v double"), "v", shares).first()["q"]
+    s = sorted(values)
+    for share, q in zip(shares, got, strict=True):
+        at = (len(s) - 1) * share
+        lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
+        assert lo <= q <= hi, (share, lo, q, hi)
+    # Places that miss a whole number by rounding, as 0.07 * 100 does, stay next to its value.
+    apart = [k * 7919 % 10007 / 10007 for k in range(101)]
+    got = ordered.quantiles(frame(spark, [(v,) for v in apart], "v double"), "v", shares).first()["q"]
+    assert np.allclose(got, sorted(apart), rtol=0, atol=1e-12)
+    inf = float("inf")
+    odd = ordered.quantiles(frame(spark, [(v,) for v in (-inf, -inf, -1e308, 1e308, inf, inf)], "v double"), "v", [0.1, 0.3, 0.5, 0.7, 0.9]).first()["q"]
+    assert odd == [-inf, -inf, 0.0, inf, inf]
+
+
+def test_threshold_curve_counts_all_ties_at_a_threshold(spark):
+    # As the registered query's scores: each of them held by about ten rows.
+    scores = [k * 7919 % 1009 / 1009 for k in range(10_000)]
+    scored = frame(spark, [(v, int(k % 7 == 0)) for k, v in enumerate(scores)], "score double, target_4h int")
+    curve = metrics.threshold_curve(scored).collect()
+    s, at = np.sort(scores), [(len(scores) - 1) * (k / 100) for k in range(101)]
+    ties = {s[int(np.floor(a))] for a in at if s[int(np.floor(a))] == s[int(np.ceil(a))]}
+    assert len(ties) > 50 and ties <= {r["threshold"] for r in curve}
+    for r in curve:
+        if r["threshold"] in ties:
+            hit = [k for k, v in enumerate(scores) if v >= r["threshold"]]
+            assert r["predicted_positive"] == len(hit) and r["false_positive"] == sum(k % 7 > 0 for k in hit)
+
+
+def test_threshold_curve_of_tied_scores_matches_sql(spark, tmp_path):
+    # Ids that are 10,007 apart have one score, so each of 97 scores is held by some 20 events.
+    events = spark.range(2000).select(
+        (F.col("id") % 97 * 103 + F.floor(F.col("id") / 97) * 10007).alias("event_id"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 307)").alias("ts"),
+        (F.col("id") * 31 % 17).alias("user_id"),
+        F.expr("element_at(array('click', 'error', 'view', 'purchase'), cast(id % 11 % 4 + 1 as int))").alias("event_type"),
+        (F.col("id") * 37 % 190).cast("double").alias("value"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want, got = con.sql(ORACLES["e19_threshold_curve"]).df(), QUERIES["e19_threshold_curve"](spark, str(tmp_path)).toPandas()
+    assert len(want) > 50 and rows_of(got) == rows_of(want)

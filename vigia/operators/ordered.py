@@ -84,7 +84,10 @@ def rows_at_places(counts: DataFrame, values: list[str], places: list[int]) -> l
 
 
 def quantiles(df: DataFrame, value: str, places: list[float], by: list[str] | None = None) -> DataFrame:
-    """``by, q``: exact quantiles of each group, interpolated between the two nearest rows; empty groups have no row, no groups at all an empty list."""
+    """``by, q``: exact quantiles of each group, interpolated between the two nearest rows; empty groups have no row, no groups at all an empty list.
+
+    A quantile is never outside the two values, and equals them where they are equal.
+    """
     return quantiles_of(ordered_counts(df, [value], by), value, places, by)
 
 
@@ -100,6 +103,10 @@ def quantiles_of(counts: DataFrame, value: str, places: list[float], by: list[st
     hit = counts.join(F.broadcast(wanted.select(*names, "_i", "_pos", "_k")), [*same, at] if by else at)
     v, low, high = F.col(value).cast("double"), F.floor("_pos"), F.ceil("_pos")
     ends = hit.groupBy(*by, "_i", "_pos").agg(F.max(F.when(F.col("_k") == low, v)).alias("_lo"), F.max(F.when(F.col("_k") == high, v)).alias("_hi"))
-    mixed = F.when(low == high, F.col("_lo")).otherwise((high - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - low) * F.col("_hi"))
+    # Between ties exactly their value: two rounded weights may add up to a bit more or less, and a comparison with the quantile
+    # would miss the ties. The weights are left for values without a finite difference.
+    lo, hi = F.col("_lo"), F.col("_hi")
+    near, far = F.least(lo + (F.col("_pos") - low) * (hi - lo), hi), (high - F.col("_pos")) * lo + (F.col("_pos") - low) * hi
+    mixed = F.when(low == high, lo).when(hi - lo < float("inf"), near).otherwise(far)
     listed = F.sort_array(F.collect_list(F.struct("_i", mixed.alias("v"))))
     return ends.groupBy(*by).agg(F.transform(listed, lambda x: x["v"]).alias("q"))
